@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality_rules, topk
+from . import bpe, line_dedup, near_dedup, packing, quality_rules, topk
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -41,4 +45,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op6_bpe, op7_quality_rules, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup)}
