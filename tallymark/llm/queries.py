@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing, quality_rules, topk
+from . import bpe, discriminant, line_dedup, near_dedup, packing, quality_rules, topk, toxicity
 from .common import table
 
 
@@ -26,6 +26,14 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, held=0, threshold=0.3)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", folds=4, held=2, threshold=0.3)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -45,4 +53,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup)}
