@@ -12,6 +12,7 @@ the trained machine folds into one weight for each letter triple, and scoring co
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship_code, text_chunks
+from .common import fold, mix64, ship_code, text_chunks
 from .discriminant import calibrate
 
 SPAN, DECAY = 6, 0.7
@@ -31,7 +32,7 @@ MOST_TOXIC, MOST_CLEAN = 3000, 5000
 #: Distinct words of clean texts in the training matrix.
 MOST_WORDS = 60_000
 LANDMARKS = 160
-ROUNDS = 4
+ROUNDS = 3
 #: Kernel value from which words count as alike when rare insults are looked for, among so many words.
 ALIKE, FAMILY_WORDS = 0.5, 6000
 COST = 30.0
@@ -178,7 +179,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, fl
 def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     """Train on the distinct words of toxic and clean texts."""
     rng = np.random.default_rng(7)
-    in_toxic, in_clean = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
+    in_toxic, in_clean = Counter(w for d in _merged(toxic) for w in d), Counter(w for d in clean for w in d)
     n_words = max(2, len(in_toxic.keys() | in_clean.keys()))
     share = len(toxic) / max(1, len(toxic) + len(clean))
     # words of toxic texts alone, in more of them than chance gives to any of the vocabulary
@@ -200,16 +201,19 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model:
         values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
         use = values > 1e-4 * values.max()
         whiten = vectors[:, use] / np.sqrt(values[use])
-        rows = witness + negatives
+        positives = witness + [v for w in witness for v in _bent(w, rng)]
+        rows = positives + negatives
         x = _kernel(rows, marks) @ whiten
-        y = np.concatenate([np.ones(len(witness)), -np.ones(len(negatives))])
-        balance = np.concatenate([np.full(len(witness), COST * max(1.0, len(negatives) / len(witness) / 4)), np.full(len(negatives), COST)])
+        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
+        balance = np.concatenate([np.full(len(positives), COST * max(1.0, len(negatives) / len(positives)) ** 0.5), np.full(len(negatives), COST)])
         beta, bias = _svm(x, y, balance)
         coefficient = whiten @ beta
         weight = np.zeros(LETTERS**3)
         for w, t, v in _feature_rows(marks):
             np.add.at(weight, t, v * coefficient[w])
         model = Model(weight, bias, 1.0, 0.0)
+        hard = np.flatnonzero(model.worst(_joined(pool))[0] > -0.6)  # clean words near the border join the training rows
+        negatives = list(dict.fromkeys([*negatives, *(pool[i] for i in hard)]))
         if turn == ROUNDS - 1:
             break
         found: Counter[str] = Counter()
@@ -233,6 +237,38 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     return model
 
 
+def _merged(texts: list[list[str]]) -> list[set[str]]:
+    """Word sets, those of texts that share much of their rare words united: copies of a text are one observation."""
+    df = Counter(w for d in texts for w in d)
+    rare = [sorted(zlib.crc32(w.encode()) for w in d if df[w] <= max(3, len(texts) // 20)) for d in texts]
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, d in enumerate(rare):
+        x = np.array(d, np.uint64)
+        for band in range(16):
+            if len(x) > 3:
+                low = [int(mix64(x + np.uint64(1 + 2 * band + k)).min()) for k in (0, 1)]
+                parent[root(i)] = root(seen.setdefault((band, *low), i))
+    united: dict[int, set[str]] = {}
+    for i, d in enumerate(texts):
+        united.setdefault(root(i), set()).update(d)
+    return list(united.values())
+
+
+def _bent(word: str, rng: np.random.Generator) -> list[str]:
+    """Two spellings of a longer word with a letter inserted or doubled."""
+    if len(word) < 5:
+        return []
+    a, b = rng.integers(1, len(word), 2)
+    return [word[:a] + chr(97 + int(rng.integers(26))) + word[a:], word[:b] + word[b - 1] + word[b:]]
+
+
 def _families(texts: list[list[str]], negatives: list[str], rng: np.random.Generator) -> list[str]:
     """Words of toxic texts whose like is in another of these texts and in no clean one: rare insults that share a stem."""
     pool = sorted({w for d in texts for w in d if len(w) > 3})
