@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, discriminant, line_dedup, near_dedup, packing, quality_rules, topk, toxicity
+from . import bpe, discriminant, line_dedup, near_dedup, packing, pii, quality_rules, topk, toxicity
 from .common import table
 
 
@@ -30,6 +30,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, held=0, threshold=0.3)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+    joined = lambda a: F.array_join(F.transform(F.array_sort(a), lambda s: F.concat_ws(":", F.get(names, s["kind"].cast("int")), s["start"], s["stop"])), ",")
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", folds=4, held=2, threshold=0.3)
 
@@ -53,4 +62,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_pii, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup)}
