@@ -196,3 +196,12 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     out = sketches.join(named, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each group: the one with the least doc_id.
+
+    Rows without doc_id are in no group and stay; rows that repeat a doc_id are one document and stay or go together.
+    """
+    gone = groups(docs.select("doc_id", "text"), size, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

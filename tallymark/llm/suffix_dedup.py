@@ -205,3 +205,28 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     rows = keyed(docs)
     found = repeated(rows, length, gram)
     return rows.join(found, ["dk", "h"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``, all columns, with repeated strings cut out of ``text``; what is left of a character that a cut splits goes too."""
+    names = docs.columns
+    own = keyed(docs).select("dk", "h", "text", "doc_id")
+    found = repeated(own, length, gram)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(text)})
+    rows = rows.join(found, (F.col("__dk") == F.col("dk")) & (F.col("__h") == F.col("h")), "left").select(*names, "ranges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                if ranges:
+                    body, out, free = text.encode("utf-8", "surrogatepass"), [], 0
+                    for a, b in merge([(r["a"], r["b"]) for r in ranges]):
+                        out.append(body[free:a])
+                        free = b
+                    text = b"".join([*out, body[free:]]).decode("utf-8", "ignore")
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    return rows.mapInArrow(run, docs.schema)

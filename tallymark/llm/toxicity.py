@@ -334,3 +334,20 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds
 
     out = base.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``classify`` doesn't predict to be toxic."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(fold(F.col("doc_id"), folds) != held)
+    model = spark.sparkContext.broadcast(train(base, learn))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for cut, _, _ in text_chunks(batches, limit=1 << 19):
+            ok = m.texts([t or "" for t in cut.column("text").to_pylist()]) < threshold if m else np.ones(cut.num_rows, bool)
+            yield cut.filter(pa.array(ok))
+
+    return docs.mapInArrow(clean, docs.schema)
