@@ -214,12 +214,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     found = repeated(own, length, gram)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(text)})
-    rows = rows.join(found, (F.col("__dk") == F.col("dk")) & (F.col("__h") == F.col("h")), "left").select(*names, "ranges")
+    found = found.select(F.col("dk").alias("__dk"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
+    rows = rows.join(found, ["__dk", "__h"], "left").select(*names, "__ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
                 if ranges:
                     body, out, free = text.encode("utf-8", "surrogatepass"), [], 0
                     for a, b in merge([(r["a"], r["b"]) for r in ranges]):
