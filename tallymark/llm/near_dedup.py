@@ -7,10 +7,11 @@
    further apart than DISTANCE.
 3. First round: in each key's bucket, everyone is paired with the bucket's least member only; pairs within DISTANCE are
    confirmed on the full sets, and links joined to components.
-4. Second round: buckets that still hold several components.  Every pair of different components in them is compared,
-   those outside the largest against all, in blocks of bounded size; again close pairs are confirmed on the full sets.
-So no bucket is emitted as all of its pairs, none is cut off, and every pair within DISTANCE is confirmed, or its
-members are already linked.
+4. Second round: buckets that still hold several components.  Members outside the largest component meet all others,
+   in blocks of bounded size: first by signature, which leaves the members that have a close partner of another
+   component, then these on the full sets.  A pair is looked at only in the first of the buckets that it shares.
+So no bucket is emitted as pairs, none is cut off, and every pair within DISTANCE is confirmed, or its members are
+already linked.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ WIDTH = SYMBOLS // CHUNKS
 #: more, a chance of 5.5e-7.
 DISTANCE = 15
 #: Rows on either side of one comparison in the second round.
-BLOCK = 1024
+BLOCK = 512
+#: Bits of a row's incidence with the block's shingles that are counted at once.
+BITS = 1 << 19
 
 _rng = np.random.default_rng(20240917)
 _A = (_rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -100,14 +103,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in range(WIDTH):
                     keys.append(mix64(total - whole[:, :, w] + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(w)) * np.uint64(0xD1342543DE82EF95)))
             keys = np.stack(keys, 2).reshape(len(sig), -1)
+            keys = (keys & ~np.uint64(63)) | np.arange(keys.shape[1], dtype=np.uint64)  # the last bits name chunk and symbol
             ids = cut.column("id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(-1)
-
-
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text_a, text_b) whose sets are similar enough."""
     last_id, last = None, None
@@ -129,21 +129,93 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([a_ids[k] for k in keep], pa.int64()), pa.array([b_ids[k] for k in keep], pa.int64())], names=["a", "b"])
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of one block: members asked about, against all, of other components and within DISTANCE."""
-    asked = np.asarray(table.column("asked").to_numpy(zero_copy_only=False), bool)
-    ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    q, r = np.flatnonzero(asked), np.flatnonzero(~asked)
+def limit(percent: int) -> int:
+    """Distance up to which pairs are confirmed: 4.5 standard deviations above the mean at the least similarity."""
+    miss = 1 - percent / 100
+    return max(DISTANCE, int(np.ceil(SYMBOLS * miss + 4.5 * np.sqrt(SYMBOLS * miss * (1 - miss)))))
+
+
+def _close(a: np.ndarray, b: np.ndarray, slot: int, most: int) -> np.ndarray:
+    """Whether each of ``a`` is within the distance of each of ``b``, and ``slot`` is the first key that they share."""
+    differ = (a[:, None] != b[None]).reshape(len(a), len(b), CHUNKS, WIDTH)
+    by_chunk = differ.sum(3, dtype=np.int8)
+    chunk = slot // WIDTH
+    first = (by_chunk[:, :, chunk] <= 1) & (by_chunk[:, :, :chunk] > 1).all(2)
+    wrong = np.where(by_chunk[:, :, chunk] == 1, differ[:, :, chunk].argmax(2), 0)
+    return first & (wrong == slot % WIDTH) & (by_chunk.sum(2, dtype=np.int16) <= most)
+
+
+class _Block:
+    """The rows of one comparison: those asked about, and those they are compared with."""
+
+    def __init__(self, table: pa.Table):
+        self.asked = np.asarray(table.column("asked").to_numpy(zero_copy_only=False), bool)
+        self.ids, self.comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        self.slot = int(np.uint64(table.column("key")[0].as_py() & 63))
+        self.q, self.r = np.flatnonzero(self.asked), np.flatnonzero(~self.asked)
+
+    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of close pairs of different components, a few askers at a time."""
+        for at in range(0, len(self.q), 32):
+            mine = self.q[at : at + 32]
+            i, j = np.nonzero(_close(self.sig[mine], self.sig[self.r], self.slot, most) & (self.comp[mine][:, None] != self.comp[self.r][None]))
+            yield mine[i], self.r[j]
+
+
+def _involved(table: pa.Table, most: int) -> pa.Table:
+    """The block's rows that have a close partner of another component."""
+    block = _Block(table)
+    keep = np.zeros(table.num_rows, bool)
+    for i, j in block.pairs(most):
+        keep[i] = keep[j] = True
+    return table.filter(pa.array(keep))
+
+
+def _common(sets: list[np.ndarray], q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``q`` with those at ``r``."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    use = times[place] > 1
+    place, owner = shared[place[use]], owner[use]
+    out = np.zeros((len(q), len(r)), np.int64)
+    for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, BITS):
+        here = (place >= at) & (place < at + BITS)
+        bits = np.zeros((len(sets), -(-min(BITS, int(shared[-1]) + 1 - at) // 64) * 64), bool)
+        bits[owner[here], place[here] - at] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for k, i in enumerate(q):
+            out[k] += np.bitwise_count(packed[i] & packed[r]).sum(1, dtype=np.int64)
+    return out
+
+
+def _settle(table: pa.Table, size: int, percent: int, most: int) -> pa.Table:
+    """Links of one block, confirmed on the full sets: enough of them to join whatever its links join."""
+    block = _Block(table)
+    sets = [x for _, d, o in text_chunks(table.select(["text"]).to_batches()) for x in shingle_sets(d, o, size)]
+    n = np.array([len(x) for x in sets])
+    both = dict(zip(block.q.tolist(), _common(sets, block.q, block.r), strict=True))
+    column = np.zeros(len(n), np.int64)
+    column[block.r] = np.arange(len(block.r))
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
     a, b = [], []
-    for at in range(0, len(q), 64):
-        mine = q[at : at + 64]
-        close = (_distance(sig[mine][:, None], sig[r][None]) <= DISTANCE) & (comp[mine][:, None] != comp[r][None])
-        i, j = np.nonzero(close)
-        a.append(ids[mine[i]])
-        b.append(ids[r[j]])
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    for i, j in block.pairs(most):
+        common = np.array([both[x][y] for x, y in zip(i.tolist(), column[j].tolist(), strict=True)], np.int64)
+        linked = 100 * common >= percent * (n[i] + n[j] - common)
+        for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+            u, v = root(int(block.comp[x])), root(int(block.comp[y]))
+            if u != v:
+                joined[u] = v
+                a.append(block.ids[x])
+                b.append(block.ids[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -164,6 +236,7 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     ship_code(spark)
+    most = limit(percent)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(base.mapInArrow(lambda it: _sketch(it, size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
     linked = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -187,8 +260,10 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     slot = F.abs(F.xxhash64("id"))
     rows = spread.select("key", (slot % F.col("nr")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "id", "comp", "sig", F.lit(False).alias("asked"))
     asked = spread.where("is_minor").select("key", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), (slot % F.col("nq")).cast("int").alias("q"), "id", "comp", "sig", F.lit(True).alias("asked"))
-    second = rows.unionByName(asked).groupBy("key", "r", "q").applyInArrow(_compare, "a long, b long").distinct()
-    links2 = materialize(_links(second, texts, size, percent), "links")
+    block_schema = "key long, r int, q int, id long, comp long, sig binary, asked boolean"
+    involved = materialize(rows.unionByName(asked).groupBy("key", "r", "q").applyInArrow(lambda t: _involved(t, most), block_schema), "involved")
+    links2 = involved.join(texts, "id").groupBy("key", "r", "q").applyInArrow(lambda t: _settle(t, size, percent, most), "a long, b long")
+    links2 = materialize(links2, "links")
 
     edges = links1.unionAll(links2).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(edges).withColumnRenamed("node", "id")
