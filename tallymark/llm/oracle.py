@@ -17,6 +17,29 @@ WITH v AS (
 SELECT * FROM r WHERE "rank" <= 10
 """
 
+OP4 = """
+WITH d AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS k FROM w) WHERE k > 1
+), o AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r)
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM o GROUP BY doc_id, island
+), k AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM s
+  UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), max(n) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT k.doc_id, string_agg(substr(x, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS x FROM k JOIN d USING (doc_id) GROUP BY k.doc_id
+), c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) JOIN kept USING (doc_id)
+"""
+
 OP7 = r"""
 WITH b AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -103,4 +126,4 @@ FROM documents d LEFT JOIN a USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op7_quality_rules": OP7, "op8_minhash_dedup": OP8, "op10_line_dedup": OP10}
+    return {"op1_exact_topk": OP1, "op4_suffix_dedup": OP4, "op7_quality_rules": OP7, "op8_minhash_dedup": OP8, "op10_line_dedup": OP10}
