@@ -148,8 +148,8 @@ def model_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.sum(F.when(F.col("score") >= threshold, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("score") >= threshold, F.col("n")).otherwise(0)).alias("fp"),
         F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"),
     )
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("np")
-    return t.select(F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(2 * precision * recall / (precision + recall), 6).alias("f1"), F.round(F.col("u") / (F.col("np") * F.col("nn")), 6).alias("auc"))
+    precision, recall = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide("tp", "np")
+    return t.select(F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(F.try_divide(2 * precision * recall, precision + recall), 6).alias("f1"), F.round(F.try_divide(F.col("u"), F.col("np") * F.col("nn")), 6).alias("auc"))
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

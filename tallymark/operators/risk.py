@@ -20,7 +20,7 @@ def _amount(name: str) -> Column:
 def with_rule_score(inv: DataFrame) -> DataFrame:
     """Adds rule_score (0 to 100) and rule_flags; zero and empty count as missing.  Uses vendor_avg and vendor_std if there."""
     total, tax = _amount("total_amount"), _amount("tax_amount")
-    rate = tax / total
+    rate = tax / F.nullif(total, F.lit(0.0))
     days = day_difference("due_date", "invoice_date")
     missing = [c for c in ("invoice_number", "vendor_name", "total_amount")]
     absent = F.filter(F.array(*[F.when(~truthy(c), F.lit(c)) for c in missing]), lambda x: x.isNotNull())
@@ -99,8 +99,9 @@ def vendor_statistics(inv: DataFrame) -> DataFrame:
     """Mean, population deviation and count of each vendor's amounts: inputs of the 3-sigma rule."""
     cents_ = F.round(F.col("total_amount") * 100).cast("long")
     n, s, q = F.count(cents_), F.sum(cents_), F.sum((cents_ * cents_).cast("decimal(38,0)"))
-    mean = s / n / 100
-    return inv.where("vendor_name IS NOT NULL").groupBy("vendor_name").agg(n.alias("n"), F.round(mean, 6).alias("vendor_avg"), F.round(F.sqrt(F.greatest(F.lit(0.0), (q * n - (s.cast("decimal(38,0)") * s)).cast("double"))) / n / 100, 4).alias("vendor_std"))
+    n_ = F.nullif(n, F.lit(0))
+    mean = s / n_ / 100
+    return inv.where("vendor_name IS NOT NULL").groupBy("vendor_name").agg(n.alias("n"), F.round(mean, 6).alias("vendor_avg"), F.round(F.sqrt(F.greatest(F.lit(0.0), (q * n - (s.cast("decimal(38,0)") * s)).cast("double"))) / n_ / 100, 4).alias("vendor_std"))
 
 
 def forgery(df: DataFrame) -> DataFrame:
