@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,30 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     return r, s - offsets[r], e - offsets[r], a - offsets[r], grams[a].view(np.int64), span_hash(prefix, s, e + length).view(np.int64)
 
 
+def packed(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns and ``z``, the text compressed: what crosses a shuffle is a third smaller than under the shuffle's own codec."""
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = [press(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(z, pa.binary())], names=[*columns, "z"])
+
+    return rows.select(*columns, "text").mapInArrow(run, f"{schema}, z binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows with ``text`` (string) in place of ``z``."""
+    press = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        names = ["text" if c == "z" else c for c in batch.schema.names]
+        for at in range(0, batch.num_rows, 64):
+            cut = batch.slice(at, 64)
+            texts = pa.array([press(z) for z in cut.column("z").to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == "z" else cut.column(c) for c in cut.schema.names], names=names)
+
+
 def _find_runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for cut, data, offsets in text_chunks(batches):
         r, s, e, a, kh, c = runs(data, offsets, length, gram)
@@ -89,7 +114,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
     A stretch holds the starts at certain distances from the anchor; ``text`` is its own bytes, ``lo`` its first start
     and ``dist`` the distance from there to the anchor.  ``digit`` is what all of its possible suffixes have in common.
     """
-    for cut, data, offsets in text_chunks(batches):
+    for cut, data, offsets in text_chunks(unpacked(batches)):
         ends = cut.column("ends")
         sizes = np.diff(ends.offsets.to_numpy())
         flat_ends = ends.flatten()
@@ -165,7 +190,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     ranges = whole(live.where("NOT contested")).unionAll(whole(contested.join(digit2.where("n > 1").select("kh", "c"), ["kh", "c"])))
 
     ends = digit2.select("one.*", "kh", (F.col("n") == 1).alias("single")).groupBy("dk", "h").agg(F.collect_list(F.struct("pos", "kh", "single")).alias("ends"))
-    texts = base.join(ends, ["dk", "h"]).select("dk", "h", "text", "ends")
+    texts = packed(base, "dk", "h").join(ends, ["dk", "h"]).select("dk", "h", "z", "ends")
     parts = materialize(texts.mapInArrow(lambda it: _stretches(it, length), "dk long, h long, kh long, single boolean, text binary, digit long, lo long, dist long"), "stretches")
     digit3 = parts.groupBy("kh", "digit").agg(F.count("*").alias("n")).where("n > 1").select("kh", "digit")
     suffixes = materialize(parts.join(digit3, ["kh", "digit"]).select("dk", "h", "kh", "single", "text", "lo", "dist").mapInArrow(lambda it: _suffixes(it, length), "kh long, w long, dk long, h long, start long, single boolean"), "suffixes")
@@ -176,21 +201,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            cut = batch.slice(at, 256)
-            kept, spans, sizes = [], [], []
-            for text, ranges in zip(cut.column("text").to_pylist(), cut.column("ranges").to_pylist(), strict=True):
-                body = text.encode("utf-8", "surrogatepass")
-                gone = merge([(r["a"], r["b"]) for r in ranges or []])
-                out, free = [], 0
-                for a, b in gone:
-                    out.append(body[free:a])
-                    free = b
-                kept.append(b"".join([*out, body[free:]]))
-                spans.append([{"start": a, "stop": b} for a, b in gone])
-                sizes.append(len(body))
-            yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+    for batch in unpacked(batches):
+        kept, spans, sizes = [], [], []
+        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            body = text.encode("utf-8", "surrogatepass")
+            gone = merge([(r["a"], r["b"]) for r in ranges or []])
+            out, free = [], 0
+            for a, b in gone:
+                out.append(body[free:a])
+                free = b
+            kept.append(b"".join([*out, body[free:]]))
+            spans.append([{"start": a, "stop": b} for a, b in gone])
+            sizes.append(len(body))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -204,7 +227,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """
     rows = keyed(docs)
     found = repeated(rows, length, gram)
-    return rows.join(found, ["dk", "h"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    return packed(rows, "doc_id", "dk", "h").join(found, ["dk", "h"], "left").select("doc_id", "z", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
