@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +32,12 @@ MOST_TOXIC, MOST_CLEAN = 3000, 5000
 #: Distinct words of clean texts in the training matrix.
 MOST_WORDS = 60_000
 LANDMARKS = 160
-ROUNDS = 3
+ROUNDS = 4
 #: Kernel value from which words count as alike when rare insults are looked for, among so many words.
-ALIKE, FAMILY_WORDS = 0.5, 6000
+ALIKE, FAMILY_WORDS = 0.5, 2000
 COST = 30.0
+#: Rows of the training matrix that one step takes at once.
+BLOCK = 8192
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 _SKIP = 255
@@ -120,6 +122,10 @@ class Model:
         sums = np.add.reduceat(total, zero[:-1])
         return sums / scale(np.diff(zero) - 1) + self.bias, zero[:-1]
 
+    def words(self, vocab: list[str]) -> np.ndarray:
+        """Margin of each normalised word."""
+        return np.concatenate([np.empty(0), *(self.worst(_joined(vocab[at : at + 20_000]))[0] for at in range(0, len(vocab), 20_000))])
+
     def texts(self, many: list[str]) -> np.ndarray:
         """Score of each text: calibrated margin of its worst word; a text without words has the least."""
         parts = [letters(t) for t in many]
@@ -148,8 +154,8 @@ def _kernel(vocab: list[str], landmarks: list[str]) -> np.ndarray:
     for w, t, x in _feature_rows(landmarks):
         np.add.at(table, (t, w), x)
     out = np.zeros((len(vocab), len(landmarks)), np.float32)
-    for at in range(0, len(vocab), 4000):
-        for w, t, x in _feature_rows(vocab[at : at + 4000]):
+    for at in range(0, len(vocab), 2000):
+        for w, t, x in _feature_rows(vocab[at : at + 2000]):
             # rows come in order of words: sum each word's rows at once
             first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.empty(0, int)
             if len(first):
@@ -158,17 +164,19 @@ def _kernel(vocab: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the primal."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.ones(x.shape[1])
+    """Linear machine with squared hinge loss, by Newton steps on the primal, a block of rows at a time."""
+    d = x.shape[1] + 1
+    w, ridge = np.zeros(d), np.ones(d)
     ridge[-1] = 1e-3
     for _ in range(30):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xs, cs = x[on], cost[on]
-        g = ridge * w - 2 * xs.T @ (cs * y[on] * slack[on])
-        h = np.diag(ridge) + 2 * (xs * cs[:, None]).T @ xs
+        g, h = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), BLOCK):
+            part = np.column_stack([x[at : at + BLOCK], np.ones(len(x[at : at + BLOCK]))]).astype(np.float64)
+            slack = 1 - y[at : at + BLOCK] * (part @ w)
+            on = slack > 0
+            part, c = part[on], cost[at : at + BLOCK][on]
+            g -= 2 * part.T @ (c * y[at : at + BLOCK][on] * slack[on])
+            h += 2 * (part * c[:, None]).T @ part
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -176,71 +184,74 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, fl
     return w[:-1], float(w[-1])
 
 
-def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model:
-    """Train on the distinct words of toxic and clean texts."""
+def fit(vocab: list[str], texts: list[np.ndarray], label: np.ndarray) -> Model:
+    """Train on texts that are given as the numbers of their distinct words in ``vocab``."""
     rng = np.random.default_rng(7)
-    in_toxic, in_clean = Counter(w for d in _merged(toxic) for w in d), Counter(w for d in clean for w in d)
-    n_words = max(2, len(in_toxic.keys() | in_clean.keys()))
-    share = len(toxic) / max(1, len(toxic) + len(clean))
+    toxic = [t for t, k in zip(texts, label, strict=True) if k == 1]
+    clean = [t for t, k in zip(texts, label, strict=True) if k == 0]
+    count = lambda many: np.bincount(np.concatenate([*many, np.empty(0, np.int64)]).astype(np.int64), minlength=len(vocab))
+    in_clean, in_toxic = count(clean), count(_merged(toxic, vocab))
+    share = len(toxic) / max(1, len(texts))
     # words of toxic texts alone, in more of them than chance gives to any of the vocabulary
-    needed = max(2.0, np.log(n_words) / max(0.05, -np.log(max(share, 1e-6))))
-    seeds = sorted((w for w, n in in_toxic.items() if not in_clean[w] and n >= needed), key=lambda w: (-in_toxic[w], w))
-    if not seeds:
-        seeds = sorted((w for w in in_toxic if not in_clean[w]), key=lambda w: (-in_toxic[w], w))[:20]
+    needed = max(2.0, np.log(max(2, len(vocab))) / max(0.05, -np.log(max(share, 1e-6))))
+    alone = np.flatnonzero((in_clean == 0) & (in_toxic > 0))
+    ranked = lambda ids: sorted(ids, key=lambda i: (-in_toxic[i], vocab[i]))
+    seeds = ranked(i for i in alone.tolist() if in_toxic[i] >= needed) or ranked(alone.tolist())[:20]
     if not seeds:
         return Model(np.zeros(LETTERS**3), -1.0, 1.0, float(np.log((len(toxic) + 1) / (len(clean) + 1))) + 1.0)
-    pool = sorted(in_clean)
+    pool = sorted(np.flatnonzero(in_clean).tolist(), key=vocab.__getitem__)
+    names = lambda ids: [vocab[i] for i in ids]
     negatives = [pool[i] for i in rng.permutation(len(pool))[:MOST_WORDS]]
+    only = np.zeros(len(vocab), bool)
+    only[alone] = True
+    own = [d[only[d]] for d in toxic]
+    candidates = np.unique(np.concatenate(own)) if own else np.empty(0, np.int64)
     witness = seeds
-    own = [[w for w in d if not in_clean[w]] for d in toxic]
     for turn in range(ROUNDS):
-        marks = witness[: LANDMARKS * 2 // 3]
-        marks = marks + [negatives[i] for i in rng.permutation(len(negatives))[: LANDMARKS - len(marks)]]
-        marks = list(dict.fromkeys(marks))
+        marks = names(witness[: LANDMARKS * 2 // 3])
+        marks = list(dict.fromkeys(marks + names(negatives[i] for i in rng.permutation(len(negatives))[: LANDMARKS - len(marks)])))
         kmm = _kernel(marks, marks).astype(np.float64)
         values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
         use = values > 1e-4 * values.max()
         whiten = vectors[:, use] / np.sqrt(values[use])
-        positives = witness + [v for w in witness for v in _bent(w, rng)]
-        rows = positives + negatives
-        x = _kernel(rows, marks) @ whiten
-        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
-        balance = np.concatenate([np.full(len(positives), COST * max(1.0, len(negatives) / len(positives)) ** 0.5), np.full(len(negatives), COST)])
-        beta, bias = _svm(x, y, balance)
-        coefficient = whiten @ beta
+        positives = names(witness) + [v for i in witness for v in _bent(vocab[i], rng)]
+        n1, n0 = len(positives), len(negatives)
+        x = _kernel(positives + names(negatives), marks) @ whiten.astype(np.float32)
+        y = np.concatenate([np.ones(n1), -np.ones(n0)])
+        beta, bias = _svm(x, y, np.concatenate([np.full(n1, COST * max(1.0, n0 / n1) ** 0.5), np.full(n0, COST)]))
+        del x
         weight = np.zeros(LETTERS**3)
         for w, t, v in _feature_rows(marks):
-            np.add.at(weight, t, v * coefficient[w])
+            np.add.at(weight, t, v * (whiten @ beta)[w])
         model = Model(weight, bias, 1.0, 0.0)
-        hard = np.flatnonzero(model.worst(_joined(pool))[0] > -0.6)  # clean words near the border join the training rows
-        negatives = list(dict.fromkeys([*negatives, *(pool[i] for i in hard)]))
+        at_pool = model.words(names(pool))
+        negatives = list(dict.fromkeys([*negatives, *(pool[i] for i in np.flatnonzero(at_pool > -0.6))]))  # clean words near the border join
+        margin = np.full(len(vocab), -5.0)
+        margin[pool] = at_pool
+        margin[candidates] = model.words(names(candidates))
+        margin[in_clean + in_toxic == 0] = -5.0
         if turn == ROUNDS - 1:
             break
-        found: Counter[str] = Counter()
-        seen = sorted({w for d in own for w in d})
-        if not seen:
-            break
-        margin, _ = model.worst(_joined(seen))
-        of = dict(zip(seen, margin, strict=True))
+        found = set(seeds)
         for d in own:
-            if d and of[best := max(d, key=lambda w: (of[w], w))] > 0:
-                found[best] += 1
-                found.update(w for w in d if of[w] > 0.5)
-        unexplained = [d for d in own if d and max(of[w] for w in d) <= 0]
+            if len(d) and margin[best := d[np.argmax(margin[d])]] > 0.3:
+                found.update([int(best), *d[margin[d] > 0.8].tolist()])
+        unexplained = [d for d in own if len(d) and margin[d].max() <= 0]
         if turn == 0 and len(unexplained) > 1:
-            seeds = seeds + _families(unexplained, negatives, rng)
-        witness = sorted(set(seeds) | set(found), key=lambda w: (-in_toxic[w], w))
-    best = lambda d: float(model.worst(_joined(d))[0].max()) if d else -5.0
-    at = np.array([best(d) for d in toxic] + [best(d) for d in clean])
+            seeds = seeds + _families(unexplained, vocab, names(negatives), rng)
+        witness = ranked(found | set(seeds))
+    at = np.array([margin[d].max() if len(d) else -5.0 for d in toxic + clean])
     n1 = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     model.slope, model.shift = calibrate(at, 1 - n1, n1)
     return model
 
 
-def _merged(texts: list[list[str]]) -> list[set[str]]:
-    """Word sets, those of texts that share much of their rare words united: copies of a text are one observation."""
-    df = Counter(w for d in texts for w in d)
-    rare = [sorted(zlib.crc32(w.encode()) for w in d if df[w] <= max(3, len(texts) // 20)) for d in texts]
+def _merged(texts: list[np.ndarray], vocab: list[str]) -> list[np.ndarray]:
+    """Words of the texts, those of texts that share much of their rare words united: copies of a text are one observation."""
+    if not texts:
+        return []
+    df = np.bincount(np.concatenate(texts), minlength=len(vocab))
+    rare = df <= max(3, len(texts) // 20)
     parent = list(range(len(texts)))
 
     def root(i: int) -> int:
@@ -249,16 +260,16 @@ def _merged(texts: list[list[str]]) -> list[set[str]]:
         return i
 
     seen: dict[tuple, int] = {}
-    for i, d in enumerate(rare):
-        x = np.array(d, np.uint64)
+    for i, d in enumerate(texts):
+        x = np.array([zlib.crc32(vocab[k].encode()) for k in d[rare[d]].tolist()], np.uint64)
         for band in range(16):
             if len(x) > 3:
                 low = [int(mix64(x + np.uint64(1 + 2 * band + k)).min()) for k in (0, 1)]
                 parent[root(i)] = root(seen.setdefault((band, *low), i))
-    united: dict[int, set[str]] = {}
+    united: dict[int, list[np.ndarray]] = {}
     for i, d in enumerate(texts):
-        united.setdefault(root(i), set()).update(d)
-    return list(united.values())
+        united.setdefault(root(i), []).append(d)
+    return [np.unique(np.concatenate(d)) for d in united.values()]
 
 
 def _bent(word: str, rng: np.random.Generator) -> list[str]:
@@ -269,23 +280,19 @@ def _bent(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:a] + chr(97 + int(rng.integers(26))) + word[a:], word[:b] + word[b - 1] + word[b:]]
 
 
-def _families(texts: list[list[str]], negatives: list[str], rng: np.random.Generator) -> list[str]:
+def _families(texts: list[np.ndarray], vocab: list[str], negatives: list[str], rng: np.random.Generator) -> list[int]:
     """Words of toxic texts whose like is in another of these texts and in no clean one: rare insults that share a stem."""
-    pool = sorted({w for d in texts for w in d if len(w) > 3})
-    pool = [pool[i] for i in rng.permutation(len(pool))[:FAMILY_WORDS]]
-    holds = np.zeros((len(texts), len(pool)), bool)
-    place = {w: i for i, w in enumerate(pool)}
-    for r, d in enumerate(texts):
-        holds[r, [place[w] for w in d if w in place]] = True
-    out = []
+    every = np.array([i for i in np.unique(np.concatenate(texts)).tolist() if len(vocab[i]) > 3], np.int64)
+    pool = every[rng.permutation(len(every))[:FAMILY_WORDS]]
+    holds = np.array([np.isin(pool, d) for d in texts], np.float32)
+    words_ = [vocab[i] for i in pool.tolist()]
+    out: list[int] = []
     for at in range(0, len(pool), 200):
-        marks = pool[at : at + 200]
-        like = _kernel(pool, marks) >= ALIKE
-        spread = (holds.astype(np.float32) @ like.astype(np.float32) > 0).sum(0)
-        ok = spread > 1
-        if ok.any():
-            kept = [w for w, k in zip(marks, ok, strict=True) if k]
-            out += [w for w, near in zip(kept, _kernel(negatives, kept).max(0), strict=True) if near < ALIKE]
+        like = _kernel(words_, words_[at : at + 200]) >= ALIKE
+        kept = np.flatnonzero((holds @ like.astype(np.float32) > 0).sum(0) > 1) + at
+        if len(kept):
+            near = _kernel(negatives, [words_[k] for k in kept]).max(0)
+            out += pool[kept[near < ALIKE]].tolist()
     return out
 
 
@@ -305,10 +312,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "label"])
     pick = lambda k, n: known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, MOST_TOXIC).unionAll(pick(0, MOST_CLEAN))  # bounded by the two parameters, so it may be broadcast
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
-    rows = texts.mapInArrow(_word_lists, "label int, words array<string>").collect()
-    toxic, clean = ([list(r.words) for r in rows if r.label == k] for k in (1, 0))
-    return fit(toxic, clean) if toxic and clean else None
+    got = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_word_lists, "label int, words array<string>").toArrow()
+    label = got.column("label").to_numpy()
+    if not (label == 1).any() or not (label == 0).any():
+        return None
+    lists = got.column("words").combine_chunks()
+    coded = pc.dictionary_encode(lists.flatten())
+    ids, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return fit(coded.dictionary.to_pylist(), [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], label)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
