@@ -78,8 +78,10 @@ def packed(rows: DataFrame, *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            z = [press(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(z, pa.binary())], names=[*columns, "z"])
+            for at in range(0, batch.num_rows, 256):
+                cut = batch.slice(at, 256)
+                z = [press(t.encode("utf-8", "surrogatepass")) for t in cut.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in columns), pa.array(z, pa.binary())], names=[*columns, "z"])
 
     return rows.select(*columns, "text").mapInArrow(run, f"{schema}, z binary")
 
