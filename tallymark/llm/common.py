@@ -63,6 +63,8 @@ def ship_code(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package (clusters pass it with --py-files)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    env.setdefault("OMP_NUM_THREADS", "1")  # a worker has one core; matrix libraries would start a thread for each of the machine's
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
