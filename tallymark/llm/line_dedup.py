@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship_code
 
-#: Lines of fewer words are not judged: "The." or "Page 3" recur in documents that have nothing else in common.
+#: Default for callers that spare short lines ("The.", "Page 3"); the registered query judges every non-blank line.
 MIN_WORDS = 5
 UNIT_SCHEMA = "doc_id long, h long, unit int, start int, stop int, d1 long, d2 long"
 

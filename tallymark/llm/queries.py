@@ -62,7 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"), min_words=1)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", spans.alias("spans"))
 
