@@ -32,13 +32,41 @@ def number_similarity(a: str = "invoice_number", b: str = "b_invoice_number") ->
     return F.greatest(F.lit(0.0), 1 - strings.udf_damerau_levenshtein()(F.col(a), F.col(b)) / longest) * 100
 
 
-def candidates(inv: DataFrame) -> DataFrame:
-    """Blocked pairs a < b: equal vendor words and close amounts, or equal amounts.  Lossy by design: scores renormalise over what is present, so any one field can carry a pair."""
-    v = inv.where(truthy("total_amount")).withColumn("vendor_key", sorted_tokens("vendor_name")).withColumn("bucket", F.floor(F.log("total_amount") / F.log(F.lit(1.1))))
-    b = v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
-    near = v.withColumn("probe", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).join(b, (F.col("vendor_key") == F.col("b_vendor_key")) & (F.col("probe") == F.col("b_bucket")) & (F.col("invoice_id") < F.col("b_invoice_id"))).drop("probe")
-    same = v.join(b, (F.col("total_amount") == F.col("b_total_amount")) & (F.col("invoice_id") < F.col("b_invoice_id")))
-    return near.unionByName(same).dropDuplicates(["invoice_id", "b_invoice_id"])
+#: Rows of one block key that meet a whole block in one task; larger blocks are salted.
+HOT = 2048
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a with the rows of b (columns ``b_``...) that have equal keys.  Large blocks are split: a's rows over salts, b's to each."""
+    sizes = b.groupBy(*[F.col(f"b_{k}").alias(f"s_{k}") for k in keys]).agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    sized = lambda df, pre: df.join(sizes, [F.col(f"{pre}{k}") == F.col(f"s_{k}") for k in keys], "left").drop(*[f"s_{k}" for k in keys])
+    left = sized(a, "").withColumn("salt", F.pmod(F.xxhash64("invoice_id"), salts).cast("int")).drop("salts")
+    right = sized(b, "b_").withColumn("b_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [F.col(k) == F.col(f"b_{k}") for k in (*keys, "salt")]).drop("salt", "b_salt")
+
+
+def candidates(inv: DataFrame, exact: bool = False) -> DataFrame:
+    """Blocked pairs a < b: equal vendor words, or equal amounts, or invoice numbers one edit apart; ``exact`` gives all pairs.
+
+    A missing field keeps an invoice out of that field's block only.  Lossy by design: scores renormalise over what is
+    present, so any one field can carry a pair.  Two numbers one edit (or one swap of neighbours) apart share the number
+    or what is left of it without one character.
+    """
+    number = F.col("invoice_number")
+    cut = F.transform(F.sequence(F.lit(1), F.length(number)), lambda i: F.concat(F.substring(number, 1, i - 1), F.substring(number, i + 1, F.length(number))))
+    v = inv.withColumns({"vendor_key": F.when(truthy("vendor_name"), sorted_tokens("vendor_name")), "amount_key": F.when(truthy("total_amount"), F.col("total_amount"))})
+    other = lambda df: df.select(*[F.col(c).alias(f"b_{c}") for c in df.columns])
+    ordered = F.col("invoice_id") < F.col("b_invoice_id")
+    if exact:
+        return v.join(other(v), ordered)
+    apart = lambda k: ~F.coalesce(F.col(k) == F.col(f"b_{k}"), F.lit(False))
+    of = lambda k: v.where(F.col(k).isNotNull())
+    vendor = _met(of("vendor_key"), other(of("vendor_key")), ["vendor_key"]).where(ordered)
+    amount = _met(of("amount_key"), other(of("amount_key")), ["amount_key"]).where(ordered & apart("vendor_key"))
+    keyed = v.where(truthy("invoice_number")).withColumn("number_key", F.explode(F.array_distinct(F.concat(F.array(number), cut))))
+    near = _met(keyed, other(keyed), ["number_key"]).where(ordered & apart("vendor_key") & apart("amount_key")).drop("number_key", "b_number_key")
+    return vendor.unionByName(amount).unionByName(near.dropDuplicates(["invoice_id", "b_invoice_id"]))
 
 
 def fuzzy(pairs: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
@@ -47,7 +75,7 @@ def fuzzy(pairs: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     number = F.when(both("invoice_number"), number_similarity())
     vendor = F.when(both("vendor_name"), strings.udf_token_sort_ratio()(F.col("vendor_name"), F.col("b_vendor_name")))
     amount = F.when(both("total_amount"), amount_similarity("total_amount", "b_total_amount"))
-    date = date_similarity("invoice_date", "b_invoice_date")
+    date = F.when(F.col("invoice_date").isNotNull() & F.col("b_invoice_date").isNotNull(), date_similarity("invoice_date", "b_invoice_date"))
     parts = [("number", number, 0.30), ("vendor", vendor, 0.20), ("amount", amount, 0.25), ("date", date, 0.15)]
     if "raw_text" in pairs.columns:
         parts.append(("raw", F.when(both("raw_text"), strings.udf_partial_ratio()(F.substring("raw_text", 1, 500), F.substring("b_raw_text", 1, 500))), 0.10))

@@ -380,9 +380,7 @@ def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inv = invoices(spark, sf_dir)
-    same_day = inv.withColumn("vendor_name", F.concat_ws(" ", "vendor_name", F.date_format("invoice_date", "yyyy")))
-    pairs = duplicates.candidates(same_day)
+    pairs = duplicates.candidates(invoices(spark, sf_dir))
     return duplicates.fuzzy(pairs).select("invoice_id", "b_invoice_id", "sim_number", "sim_vendor", "sim_amount", "sim_date", "similarity", "near_duplicate")
 
 
