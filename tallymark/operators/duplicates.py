@@ -18,13 +18,24 @@ def exact(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFr
 
 
 def time_window(inv: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
-    """Pairs of one vendor (same words) and one amount, at most ``window_days`` apart; nearest first, ``top_k`` per invoice."""
-    v = inv.where(truthy("vendor_name") & truthy("total_amount") & F.col("invoice_date").isNotNull()).select("invoice_id", sorted_tokens("vendor_name").alias("vendor"), "total_amount", "invoice_date")
-    a, b = v.alias("a"), v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
+    """Pairs of similar vendors (token-sort ratio) and one amount, at most ``window_days`` apart; nearest first, ``top_k`` per invoice.
+
+    Blocks are an amount and a stretch of days as long as the window, met with its neighbours.  The JVM's edit distance,
+    which never exceeds the one behind the ratio, leaves few pairs to the exact ratio.
+    """
+    day = F.floor(F.unix_timestamp(F.col("invoice_date").cast("timestamp")) / (86400 * (cfg.window_days + 1)))
+    vendor = sorted_tokens(F.regexp_replace("vendor_name", r"(?U)[\s\x1c-\x1f]", " "))
+    v = inv.where(truthy("vendor_name") & truthy("total_amount") & F.col("invoice_date").isNotNull()).select("invoice_id", vendor.alias("vendor"), "total_amount", "invoice_date", day.alias("stretch"))
+    a, b = v.withColumn("stretch", F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)]))), v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
     diff = F.abs(day_difference("invoice_date", "b_invoice_date"))
-    pairs = a.join(b, (F.col("vendor") == F.col("b_vendor")) & (F.col("total_amount") == F.col("b_total_amount")) & (F.col("invoice_id") != F.col("b_invoice_id")) & (diff <= cfg.window_days))
+    most = F.floor((1 - cfg.vendor_cutoff / 100) * (F.length("vendor") + F.length("b_vendor")) + 1e-9)
+    met = _met(a, b, ["total_amount", "stretch"]).where((F.col("invoice_id") != F.col("b_invoice_id")) & (diff <= cfg.window_days))
+    met = met.select("invoice_id", F.col("b_invoice_id").alias("matched_id"), diff.alias("day_diff"), "vendor", "b_vendor", (F.col("vendor") == F.col("b_vendor")).alias("same"), most.alias("most"))
+    like = met.where(~F.col("same") & (F.abs(F.length("vendor") - F.length("b_vendor")) <= F.col("most")) & (F.levenshtein("vendor", "b_vendor") <= F.col("most")))
+    like = like.withColumn("ratio", strings.udf_token_sort_ratio()(F.col("vendor"), F.col("b_vendor"))).where(F.col("ratio") >= cfg.vendor_cutoff)
+    pairs = met.where("same").select("invoice_id", "matched_id", "day_diff").unionByName(like.select("invoice_id", "matched_id", "day_diff"))
     w = Window.partitionBy("invoice_id").orderBy("day_diff", "matched_id")
-    return pairs.select("invoice_id", F.col("b_invoice_id").alias("matched_id"), diff.alias("day_diff")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.top_k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.top_k)
 
 
 def number_similarity(a: str = "invoice_number", b: str = "b_invoice_number") -> Column:
