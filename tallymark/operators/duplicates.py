@@ -95,6 +95,11 @@ def fuzzy(pairs: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     return out.withColumn("similarity", score).where(F.col("similarity") > cfg.fuzzy_keep).withColumn("near_duplicate", F.col("similarity") > cfg.near)
 
 
+def _bag(text: str, chars: int) -> Column:
+    """Words of the first ``chars`` characters, sorted."""
+    return F.array_sort(F.regexp_extract_all(F.lower(F.substring(text, 1, chars)), F.lit(r"(?U)\b\w\w+\b"), 0))
+
+
 def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = 500, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     """Pairs whose pairwise TF-IDF cosine is at least ``semantic_min``.
 
@@ -102,10 +107,9 @@ def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: in
     form in three sums.  It never exceeds the plain cosine of the counts, so a lossless prefix filter finds the pairs:
     with tokens in order of document frequency, two texts must share one of the rare tokens that come before the rest
     holds less than the threshold of a text's norm.  Frequent tokens are therefore no join keys.  Texts with equal
-    words are one class (key: least), so copies do not multiply.
+    words are one class (key: least), so copies do not multiply; ``semantic_members`` gives the class of every text.
     """
-    tokens = F.regexp_extract_all(F.lower(F.substring(text, 1, chars)), F.lit(r"(?U)\b\w\w+\b"), 0)
-    bags = docs.select(key, F.array_sort(tokens).alias("w")).groupBy("w").agg(F.min(key).alias("id"))
+    bags = docs.select(key, _bag(text, chars).alias("w")).groupBy("w").agg(F.min(key).alias("id"))
     counts = bags.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
     total = counts.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
     df = counts.groupBy("t").agg(F.count("*").alias("df"))
@@ -121,6 +125,14 @@ def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: in
     return full.select("a", "b", F.round(cos, 6).alias("similarity")).where(F.col("similarity") >= cfg.semantic_min)
 
 
+def semantic_members(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = 500) -> DataFrame:
+    """The class of every text in the pairs of ``semantic``: representative (least key with equal words; null without words) and class size."""
+    bag = _bag(text, chars)
+    words = docs.select(key, F.when(F.size(bag) > 0, F.sha2(F.array_join(bag, " "), 256)).alias("h"))
+    first = words.where("h IS NOT NULL").groupBy("h").agg(F.min(key).alias("representative"), F.count("*").alias("members"))
+    return words.join(first, "h", "left").select(key, "representative", "members")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, cfg: DuplicateConfig = DUPLICATE, cutoff: bool = True) -> DataFrame:
     """The ``knn_k`` nearest vectors by squared distance for each query (vec_id, embedding).
 

@@ -355,6 +355,14 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.semantic(table(spark, sf_dir, "documents"))
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(substr(text, 1, 500)), '[\pL\pN\p{Mn}\p{Mc}_]{2,}')) AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) END AS representative, CASE WHEN len(w) > 0 THEN count(*) OVER (PARTITION BY w) END AS members FROM w"""
+)
+def semantic_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.semantic_members(table(spark, sf_dir, "documents"))
+
+
 @query(
     """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS "rank", vec_id, distance FROM d)
