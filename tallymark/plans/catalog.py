@@ -501,8 +501,7 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS doc_id, 2 AS quantity, 'Blue widget' AS description, 3.0::DOUBLE AS unit_price, 6.0::DOUBLE AS total FROM orders")
 def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _texts(spark, sf_dir).withColumn("text", F.element_at(F.split("text", "\n"), -1))
-    return t.select("doc_id", F.inline(extraction.line_items(F.col("text"))))
+    return _texts(spark, sf_dir).select("doc_id", F.inline(extraction.line_items(F.col("text"))))
 
 
 @query("SELECT o_orderkey AS invoice_id, CASE WHEN a <= 0 AND b <= 0 THEN 0 ELSE round((a * a + b * b) / (a + b), 6) END AS confidence, b - a > 15 AS second FROM (SELECT o_orderkey, ((o_orderkey * 7) % 100)::DOUBLE AS a, ((o_orderkey * 11) % 100)::DOUBLE AS b FROM orders)")
