@@ -15,9 +15,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Sketch size: ranks are right to one row in so many.
 ACCURACY = 10_000
-#: A ratio is out of bounds beyond upper quartile + FENCE * quartile range, and never below the floor given here.
+#: A ratio is out of bounds beyond upper quartile + FENCE * quartile range, or + the width given here if that is more (a page of four lines may repeat one).
 FENCE = 3.0
-FLOORS = {"symbol_ratio": 0.2, "bang_ratio": 0.3, "dup_line_ratio": 0.3}
+WIDTHS = {"symbol_ratio": 0.05, "bang_ratio": 0.05, "dup_line_ratio": 0.25}
 #: Mean word length has a fence on both sides, of at least this width.
 WORD_CHARS_MARGIN = 3.0
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -45,16 +45,16 @@ def metrics(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     of_words = _once(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
     lines = F.filter(F.split("text", "\n"), lambda s: F.translate(s, BLANKS, "") != "")
-    dup_lines = _once(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
+    of_lines = _once(lines, lambda a: F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines")))
     less = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("long")
     return base.select(
-        "doc_id", "lang", "source", of_words.alias("w"), dup_lines.alias("n_dup_lines"), F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"), less(SYMBOLS).alias("n_symbols"), less("!").alias("n_bangs")
-    ).select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_bangs")
+        "doc_id", "lang", "source", of_words.alias("w"), of_lines.alias("l"), F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"), less(SYMBOLS).alias("n_symbols"), less("!").alias("n_bangs")
+    ).select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "l.n_lines", "w.n_repeat_words", "n_bangs")
 
 
 def _ratios() -> dict[str, Column]:
     n = F.col("n_words")
-    return {"symbol_ratio": F.col("n_symbols") / n, "bang_ratio": F.col("n_bangs") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "mean_chars": F.col("word_chars") / n}
+    return {"symbol_ratio": F.col("n_symbols") / n, "bang_ratio": F.col("n_bangs") / n, "dup_line_ratio": F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0)), "mean_chars": F.col("word_chars") / n}
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     lo, hi = (lambda c: F.get(F.col(c), F.lit(0))), (lambda c: F.get(F.col(c), F.lit(1)))
     spread = lambda c: F.lit(FENCE) * (hi(c) - lo(c))
     wide = F.greatest(F.lit(WORD_CHARS_MARGIN), spread("mean_chars"))
-    return q.select("lang", "source", *[F.greatest(F.lit(f), hi(c) + spread(c)).alias(f"max_{c}") for c, f in FLOORS.items()], (lo("mean_chars") - wide).alias("min_mean_chars"), (hi("mean_chars") + wide).alias("max_mean_chars"))
+    return q.select("lang", "source", *[(hi(c) + F.greatest(F.lit(w), spread(c))).alias(f"max_{c}") for c, w in WIDTHS.items()], (lo("mean_chars") - wide).alias("min_mean_chars"), (hi("mean_chars") + wide).alias("max_mean_chars"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -81,6 +81,6 @@ def judge(docs: DataFrame) -> DataFrame:
     row = measured.join(t, measured["lang"].eqNullSafe(t["t_lang"]) & measured["source"].eqNullSafe(t["t_source"]), "left")
     r = _ratios()
     out = (r["mean_chars"] < F.col("min_mean_chars")) | (r["mean_chars"] > F.col("max_mean_chars"))
-    for c in FLOORS:
+    for c in WIDTHS:
         out = out | (r[c] > F.col(f"max_{c}"))
     return row.select("doc_id", *METRICS, "base_failed", (~F.col("base_failed") & ~F.coalesce(out, F.lit(False))).alias("kept"))

@@ -14,3 +14,14 @@ def test_short_lines_are_units(spark, tmp_path):
     rows = [(1, f"first\n{footer}\n{han}", "en", "s"), (2, f"second\n \n{footer.upper()}\n{han}", "en", "s"), (3, "first", "en", "s")]
     got = {r.doc_id: (r.n_units, r.n_removed, r.removed_chars, r.spans) for r in queries.op10_line_dedup(spark, documents(spark, tmp_path, rows)).collect()}
     assert got == {1: (3, 0, 0, ""), 2: (3, 2, 38, "9:36,37:48"), 3: (1, 1, 5, "0:5")}
+
+
+# -- 7 ----------------------------------------------------------------------------------------------------------------
+def test_repeated_lines_and_tight_fences(spark, tmp_path):
+    word = lambda i, k: f"w{i}x{k}"
+    line = lambda i, j: " ".join(word(i, 8 * j + k) for k in range(8))
+    clean = [(i, "\n".join(line(i, j) for j in range(6)), "en", "s") for i in range(20)]
+    shared = (50, "\n".join(x for j in range(8) for x in (line(50, j), "Share this")), "en", "s")
+    marked = (51, "\n".join(f"{line(51, j)} #" for j in range(6)), "en", "s")
+    kept = {r.doc_id for r in queries.op7_quality_rules(spark, documents(spark, tmp_path, [*clean, shared, marked])).where("kept").collect()}
+    assert kept == set(range(20))
