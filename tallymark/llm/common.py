@@ -24,11 +24,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, but on a single machine only."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tallymark-")
     return _own_dir
@@ -56,7 +58,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._handed_over = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` whose last reader has run; the others go when the process ends."""
+    for df in tables:
+        _written.remove((df.sparkSession, df._handed_over))
+        _forget(df.sparkSession, df._handed_over)
+
+
+def valid_text(column: str = "text") -> Column:
+    """The column as a string; bytes that are no UTF-8 read as U+FFFD, so that no worker fails on them."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
+#: A key is hot if it has more than one row in so many.  By counting, fewer keys than that can be hot.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` (a table) with ``counted`` (a table; one row a key, ``n``: its number of rows in ``rows``).
+
+    Keys with more than 1 / HOT_SHARE of the rows, fewer than HOT_SHARE of them, are broadcast, so their rows stay where they are;
+    only the others are shuffled.
+    """
+    total = rows.count()
+    hot = F.col("n") * HOT_SHARE > total
+    known = F.broadcast(counted.where(hot))
+    there = rows.join(known, keys)
+    rest = rows.join(F.broadcast(counted.where(hot).select(*keys)), keys, "left_anti").join(counted.where(~hot), keys)
+    return there.unionByName(rest)
 
 
 def ship_code(spark: SparkSession) -> None:

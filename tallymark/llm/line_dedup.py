@@ -1,72 +1,151 @@
-"""Exact removal of repeated lines across the corpus, keeping the earliest occurrence."""
+"""Exact removal of repeated lines and passages across the corpus, keeping the earliest occurrence.
+
+Units are normalised and known by their digests.  There are two sorts: lines, and paragraphs of whole clauses.  A
+paragraph starts at any clause and ends with the first clause that brings it to ``passage_words`` words, so a passage
+that was set into the middle of another text is met, wherever its lines were broken.  Shorter lines meet by chance in
+texts that are clean, so these may be taken out only where they are boilerplate, held by ``common`` of all documents or
+more; their other repeats are counted and stay.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import BLANKS, join_counted, materialize, ship_code, valid_text
 
 #: Default for callers that spare short lines ("The.", "Page 3"); the registered query judges every non-blank line.
 MIN_WORDS = 5
-UNIT_SCHEMA = "doc_id long, h long, unit int, start int, stop int, d1 long, d2 long"
+#: Words of a paragraph: a passage of over 50 words that starts and ends within clauses still has so many in whole ones.
+PASSAGE_WORDS = 25
+#: Share of all documents that must hold a line shorter than a paragraph for its repeats to go.
+COMMON = 0.25
+#: Bytes of a normalised unit that count as a word where blanks are rare (eight letters of a script of three bytes each).
+WORD_BYTES = 24
+#: A clause ends behind these before a blank, behind wide marks, and at the end of a line.
+_CLAUSE = re.compile(r"[.,;:!?…]+(?=[\x20\x09-\x0D])|[。，、；：！？]+|\n")
+UNIT_SCHEMA = "doc_id long, h long, start int, stop int, long boolean, fresh boolean, d1 long, d2 long"
+
+
+def normalise(text: str) -> tuple[bytes, int]:
+    """(A-Z in lower case, runs of ASCII blanks as one space, none at the ends; number of words)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return b" ".join(words), len(words)
+
+
+def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    part = text[start:stop]
+    return stop - len(part.lstrip(BLANKS)), start + len(part.rstrip(BLANKS))
 
 
-def normalise(line: str) -> bytes:
-    """A-Z in lower case, runs of ASCII blanks as one space, none at the ends."""
-    return b" ".join(line.encode("utf-8", "surrogatepass").lower().split())
+def _pieces(text: str, ends: Iterator[int]) -> list[tuple[int, int, bytes, int]]:
+    """(start, stop, normal form, weight) of the parts of ``text`` between ``ends`` that have a word."""
+    out, at = [], 0
+    for end in [*ends, len(text)]:
+        form, n = normalise(text[at:end])
+        if n:
+            out.append((*_trimmed(text, at, end), form, max(n, len(form) // WORD_BYTES)))
+        at = end
+    return out
 
 
-def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def units(text: str, min_words: int, passage_words: int | None) -> list[tuple[int, int, bool, bytes]]:
+    """(start, stop, of ``passage_words`` or more, normal form) of the paragraphs, and of the lines that stand elsewhere."""
+    out = []
+    if passage_words is not None and (clauses := _pieces(text, (m.end() for m in _CLAUSE.finditer(text)))):
+        whole = b" ".join(c[2] for c in clauses)
+        lengths = np.array([len(c[2]) for c in clauses], np.int64)
+        begin = (np.cumsum(lengths + 1) - lengths - 1).tolist()
+        weight = np.array([c[3] for c in clauses], np.int64)
+        total = np.cumsum(weight)
+        last = np.searchsorted(total, total - weight + passage_words).tolist()
+        out = [(clauses[i][0], clauses[j][1], True, whole[begin[i] : begin[j] + len(clauses[j][2])]) for i, j in enumerate(last) if j < len(clauses)]
+    known = {(s, e) for s, e, _, _ in out}
+    lines = _pieces(text, (m.end() for m in re.finditer("\n", text)))
+    return out + [(s, e, w >= (passage_words or 0), form) for s, e, form, w in lines if w >= min_words and (s, e) not in known]
+
+
+def _units(batches: Iterator[pa.RecordBatch], min_words: int, passage_words: int | None) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    names = ["doc_id", "h", "start", "stop", "long", "fresh", "d1", "d2"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            cut = batch.slice(at, 512).to_pydict()
-            out: list[tuple] = []
+        for at in range(0, batch.num_rows, 256):
+            cut = batch.slice(at, 256).to_pydict()
+            rows: list[tuple] = []
+            digests: list[bytes] = []
             for doc_id, text, h in zip(cut["doc_id"], cut["text"], cut["h"], strict=True):
-                start = 0
-                for i, line in enumerate((text or "").split("\n")):
-                    words = line.encode("utf-8", "surrogatepass").lower().split()
-                    if len(words) >= min_words:
-                        d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                        out.append((doc_id, h, i, start, start + len(line), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-                    start += len(line) + 1
-            cols = zip(*out, strict=True) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "h", "unit", "start", "stop", "d1", "d2"])
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text): the lines to remove.
-
-    Returns doc_id, n_units (lines of at least ``min_words`` words), n_removed, removed_chars, spans (array of
-    (start, stop) in code points of the text, in order; the newline after a line is not part of it).
-    A line goes if its normal form occurs earlier, by (doc_id, hash of the text, line number); so the earliest stays.
-    Null text reads as empty, a null doc_id ranks first, repeated rows (same doc_id and text) are one document and get
-    the same result, documents with one doc_id but different texts are two.  Empty tables give no rows; other columns
-    are ignored.
+                met: set[bytes] = set()
+                for start, stop, long, form in units(text or "", min_words, passage_words):
+                    digests.append(hashlib.blake2b(form, digest_size=16).digest())
+                    rows.append((doc_id, h, start, stop, long, digests[-1] not in met))
+                    met.add(digests[-1])
+            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=names)
+            yield from (out.slice(k, 16384) for k in range(0, max(1, out.num_rows), 16384))
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            cut = batch.slice(at, 1024)
+            spans = [merge([(s["start"], s["stop"]) for s in x or []]) for x in cut.column("gone").to_pylist()]
+            cols = [[len(x) for x in spans], [sum(b - a for a, b in x) for x in spans]]
+            listed = [[{"start": a, "stop": b} for a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("n_units"), *(pa.array(c, pa.int64()) for c in cols), cut.column("n_short_repeats"), pa.array(listed, _SPANS)], names=["doc_id", "n_units", "n_removed", "removed_chars", "n_short_repeats", "spans"])
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int | None = None, common: float = 0.0) -> DataFrame:
+    """For every row of ``docs`` (doc_id, text): the lines and passages to remove.
+
+    Units are the lines of at least ``min_words`` words and, unless it is None, paragraphs of ``passage_words``.
+    Returns doc_id, n_units, n_removed (spans), removed_chars, n_short_repeats (lines shorter than a paragraph, in fewer
+    than ``common`` of all rows, that occur earlier, too; they stay), spans (array of (start, stop) in code points of
+    the text, in order, none touching the next).  Any other unit goes if its normal form occurs earlier, by (doc_id,
+    hash of the text, start, stop); so the earliest stays, and nothing that overlaps it goes on its account.  In a script without
+    blanks, WORD_BYTES bytes count as a word.  Null text reads as empty, bytes that are no UTF-8 as U+FFFD; a null
+    doc_id ranks first; repeated rows (same doc_id and text) are one document and get the same result, documents with
+    one doc_id but different texts are two; texts are read whole, however long.  Empty tables give no rows; other
+    columns are ignored.
     """
     ship_code(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    units = materialize(keyed.mapInArrow(lambda it: _units(it, min_words), UNIT_SCHEMA), "units")
-    first = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "unit")).alias("first")).where("n > 1").drop("n")
-    here = F.struct("doc_id", "h", "unit")
-    gone = units.join(first, ["d1", "d2"]).where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    counted = units.groupBy("doc_id", "h").agg(F.count_distinct("unit").alias("n_units"))
-    ids = keyed.select("doc_id", "h")
+    text = valid_text()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    found = materialize(base.mapInArrow(lambda it: _units(it, min_words, passage_words), UNIT_SCHEMA), "units")
+    here = F.struct("doc_id", "h", "start", "stop")
+    groups = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.sum(F.col("fresh").cast("long")).alias("docs"), F.min(here).alias("first")).where("n > 1")
+    repeats = materialize(groups, "repeats")
+    clear = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("start") < F.col("first.stop")))
+    goes = F.col("long") | (F.col("docs") >= common * base.count())
+    late = join_counted(found, repeats, ["d1", "d2"]).where(clear)
+    gone = late.groupBy("doc_id", "h").agg(F.collect_set(F.when(goes, F.struct("start", "stop"))).alias("gone"), F.count_distinct(F.when(~goes, F.col("start"))).alias("n_short_repeats"))
+    counted = found.groupBy("doc_id", "h").agg(F.count_distinct("start", "stop").alias("n_units"))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
-    full = ids.join(counted, on(ids, counted), "left").select(ids["doc_id"], ids["h"], "n_units")
-    full = full.join(gone, on(full, gone), "left").select(full["doc_id"], "n_units", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
-    return full.select(
-        "doc_id",
-        F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"),
-        F.size("spans").cast("long").alias("n_removed"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("removed_chars"),
-        "spans",
-    )
+    full = base.select("doc_id", "h")
+    full = full.join(counted, on(full, counted), "left").select(full["doc_id"], full["h"], F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
+    full = full.join(gone, on(full, gone), "left").select(full["doc_id"], "n_units", F.coalesce("n_short_repeats", F.lit(0)).cast("long").alias("n_short_repeats"), "gone")
+    out = "doc_id long, n_units long, n_removed long, removed_chars long, n_short_repeats long, spans array<struct<start:int,stop:int>>"
+    return full.mapInArrow(_merged, out)
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

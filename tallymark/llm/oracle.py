@@ -103,25 +103,49 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r G
 """
 
 OP10 = r"""
-WITH l AS (
-  SELECT doc_id, i, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::BIGINT AS start
-  FROM (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS line
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), cut AS (  -- U+E000 stands at every end: of lines, and of clauses
+  SELECT doc_id, text, 'line' AS kind, string_split(replace(low, chr(10), chr(10) || chr(57344)), chr(57344)) AS s FROM d
+  UNION ALL
+  SELECT doc_id, text, 'clause', string_split(regexp_replace(regexp_replace(replace(low, chr(10), chr(10) || chr(57344)),
+    '([.,;:!?\x{2026}]+)([\x20\x09-\x0D])', '\1' || chr(57344) || '\2', 'g'), '([\x{3002}\x{FF0C}\x{3001}\x{FF1B}\x{FF1A}\x{FF01}\x{FF1F}]+)', '\1' || chr(57344), 'g'), chr(57344)) FROM d
+), part AS (
+  SELECT doc_id, kind, i, piece, (sum(length(piece)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(piece))::BIGINT AS base
+  FROM (SELECT doc_id, kind, generate_subscripts(s, 1) AS i, unnest(s) AS piece FROM cut)
+), word AS (
+  SELECT doc_id, kind, i, regexp_extract_all(piece, '[^\x20\x09-\x0D]+') AS w,
+         base + length(regexp_extract(piece, '^[\x20\x09-\x0D]*')) AS start, base + length(regexp_replace(piece, '[\x20\x09-\x0D]+$', '')) AS stop
+  FROM part WHERE regexp_matches(piece, '[^\x20\x09-\x0D]')
+), form AS (
+  SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS i, start, stop, array_to_string(w, ' ') AS norm,
+         greatest(len(w), strlen(array_to_string(w, ' ')) // 24) AS weight
+  FROM word
+), total AS (
+  SELECT *, (sum(weight) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS upto FROM form WHERE kind = 'clause'
+), ends AS (  -- the first clause that brings a paragraph to 25 words
+  SELECT a.doc_id, a.i, a.start, b.stop, b.i AS j FROM (SELECT *, upto - weight + 25 AS goal FROM total) a ASOF JOIN total b ON a.doc_id = b.doc_id AND b.upto >= a.goal
+), listed AS (SELECT doc_id, list(norm ORDER BY i) AS norms FROM total GROUP BY doc_id
+), para AS (
+  SELECT e.doc_id, e.start, e.stop, TRUE AS long, array_to_string(norms[e.i:e.j], ' ') AS norm FROM ends e JOIN listed USING (doc_id)
 ), u AS (
-  SELECT doc_id, i, start, start + length(line) AS stop,
-         array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm
-  FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS k FROM u
-), a AS (
-  SELECT doc_id, count(*)::BIGINT AS n_units, (count(*) FILTER (k > 1))::BIGINT AS n_removed,
-         coalesce(sum(stop - start) FILTER (k > 1), 0)::BIGINT AS removed_chars,
-         coalesce(string_agg(start || ':' || stop, ',' ORDER BY start) FILTER (k > 1), '') AS spans
-  FROM r GROUP BY doc_id
+  SELECT * FROM para
+  UNION ALL SELECT doc_id, start, stop, weight >= 25, norm FROM form f WHERE kind = 'line' AND NOT EXISTS (FROM para p WHERE p.doc_id = f.doc_id AND p.start = f.start AND p.stop = f.stop)
+), g AS (SELECT norm, count(*) AS n, count(DISTINCT doc_id) AS docs, min({'doc_id': doc_id, 'start': start, 'stop': stop}) AS one FROM u GROUP BY norm
+), late AS (
+  SELECT u.doc_id, u.start, u.stop, u.long OR g.docs >= 0.25 * (SELECT count(*) FROM documents) AS goes
+  FROM u JOIN g USING (norm) WHERE g.n > 1 AND NOT (u.doc_id = g.one.doc_id AND u.start < g.one.stop)
+), island AS (
+  SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS k
+  FROM (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT doc_id, start, stop FROM late WHERE goes))
+), gone AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM island GROUP BY doc_id, k
+), removed AS (
+  SELECT doc_id, count(*)::BIGINT AS n_removed, sum(b - a)::BIGINT AS removed_chars, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM gone GROUP BY doc_id
+), counted AS (SELECT doc_id, count(*)::BIGINT AS n_units FROM u GROUP BY doc_id
+), short AS (SELECT doc_id, count(DISTINCT start)::BIGINT AS n_short_repeats FROM late WHERE NOT goes GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(removed_chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS spans
-FROM documents d LEFT JOIN a USING (doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars,
+       coalesce(n_short_repeats, 0)::BIGINT AS n_short_repeats, coalesce(spans, '') AS spans
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN short USING (doc_id)
 """
 
 
