@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import ship_code, valid_text
 
 #: Distinct words, and pieces of words, whose ids a worker remembers; beyond it, it starts anew.
 CACHE_WORDS = 600_000
@@ -244,11 +244,11 @@ def encoded(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[tuple[pa.Ar
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ``ids`` (array of int) of each row's whole text; null text has no ids, repeated rows each have theirs."""
+    """doc_id and ``ids`` (array of int) of each row's whole text; null text has no ids, bytes that are no UTF-8 read as U+FFFD, repeated rows each have theirs."""
     ship_code(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(spec_of(path))
 
@@ -278,7 +278,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: its whole text encoded and decoded again.
 
-    Null text is empty: no tokens, digests of nothing.  Repeated rows each have a result; ties do not arise; an empty
+    Null text is empty: no tokens, digests of nothing.  Bytes that are no UTF-8 read as U+FFFD; texts are read whole.  Repeated rows each have a result; ties do not arise; an empty
     table gives no rows; other columns are ignored.
     """
     ship_code(docs.sparkSession)

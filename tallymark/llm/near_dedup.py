@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, words_of
+from .common import materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
 from .common import _LOWER
 from .components import components
 
@@ -237,7 +237,7 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     ship_code(spark)
     most = limit(percent)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     sketches = materialize(base.mapInArrow(lambda it: _sketch(it, size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
     linked = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(linked.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")

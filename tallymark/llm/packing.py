@@ -1,8 +1,12 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, in a tree of rounds.
 
-Round 0 packs what a task reads, best fit in order of decreasing length.  Bins that are nearly full are final.  The
-others travel on, whole, as items: neighbouring tasks' open bins meet in one task of the next round, and are packed
-again by best fit, until one task is left.
+Round 0 packs what a task reads, best fit in order of decreasing length.  Then bins travel, whole, as items: the open
+bins of FAN_IN neighbours meet in one group of the next round, are packed again by best fit, and so on to one group.
+
+Few bins need to travel, and this loses none.  Best fit leaves at most one bin that is half full or less, as two would
+have been one; and two fuller ones never fit together.  So at most FAN_IN bins receive anything in a group of a round,
+and FAN_IN * ROUNDS on the way up.  An emptier bin takes whatever a fuller one can, so handing on the emptiest
+FAN_IN * ROUNDS fuller ones, and the one that is not, leaves as many sequences as handing on all.
 """
 
 from __future__ import annotations
@@ -21,17 +25,12 @@ from .common import materialize, ship_code
 CAPACITY = 4096
 #: Id that ends every document.
 SEPARATOR = 1
-#: A bin with so few free places is final.
-SLACK = 8
-#: Pieces that one local packing holds at once.
-LOCAL = 200_000
-#: Open bins, emptiest first, that a task hands on at most; the rest are final as they are.
-FORWARD = 4096
-#: Tasks whose open bins meet in one task of the next round.
-FAN_IN = 8
+#: Tasks or groups whose open bins meet in one group of the next round, and rounds that any job needs at most.
+FAN_IN, ROUNDS = 8, 8
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-BIN_SCHEMA = "sequence_id long, size int, final boolean, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_COLUMNS = [f.name for f in _PIECE][:5]
+BIN_SCHEMA = "sequence_id long, part long, size int, final boolean, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -56,45 +55,47 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Item:
-    """Pieces that stay together: columns of doc_id, piece, start, length, crc."""
-
-    __slots__ = ("pieces", "size")
-
-    def __init__(self, pieces: list[tuple], size: int):
-        self.pieces, self.size = pieces, size
-
-
-def _emit(bins: list[_Item], final: list[bool], first_id: int) -> pa.RecordBatch:
-    rows = []
-    for b in bins:
-        at, placed = 0, []
-        for doc_id, piece, start, length, crc in b.pieces:
-            placed.append({"doc_id": doc_id, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "offset": at})
-            at += length
-        rows.append(placed)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(range(first_id, first_id + len(bins)), pa.int64()), pa.array([b.size for b in bins], pa.int32()), pa.array(final, pa.bool_()), pa.array(rows, pa.list_(_PIECE))],
-        names=["sequence_id", "size", "final", "pieces"],
-    )
+def _round(pieces: pa.StructArray, ends: np.ndarray, capacity: int, level: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Bins of one task or group, the emptiest first; all are final but those that can be of use further up.
 
-
-def _round(items: list[_Item], capacity: int, last: bool, first_id: int) -> Iterator[pa.RecordBatch]:
-    packed = [_Item([p for i in b for p in items[i].pieces], sum(items[i].size for i in b)) for b in best_fit([x.size for x in items], capacity)]
-    packed.sort(key=lambda b: b.size)
-    final = [last or b.size >= capacity - SLACK or i >= FORWARD for i, b in enumerate(packed)]
-    for at in range(0, len(packed), 256):
-        yield _emit(packed[at : at + 256], final[at : at + 256], first_id + at)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], c: bpe.Codec, capacity: int, separator: int) -> Iterator[_Item]:
-    tail = np.array([separator], "<u4").tobytes()
+    Items are runs of ``pieces``, up to each of ``ends``.
+    """
+    length = pieces.field("length").to_numpy()
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(length)])
+    sizes = upto[ends] - upto[first]
+    bins = best_fit(sizes.tolist(), capacity)
+    size = np.array([sizes[b].sum() for b in bins], np.int64)
+    order = np.argsort(size, kind="stable")
+    final = (size[order] == capacity) | (np.arange(len(bins)) > FAN_IN * ROUNDS)
+    for at in range(0, len(bins), 256):
+        mine = order[at : at + 256]
+        rows = [np.concatenate([np.arange(first[i], ends[i]) for i in bins[b]]) for b in mine.tolist()]
+        stops = np.cumsum([len(x) for x in rows])
+        rows = np.concatenate(rows)
+        begin = np.cumsum(length[rows]) - length[rows]
+        offset = begin - np.repeat(np.cumsum(size[mine]) - size[mine], np.diff(stops, prepend=0))
+        taken = pieces.take(pa.array(rows))
+        placed = pa.StructArray.from_arrays([*(taken.field(c) for c in _COLUMNS), pa.array(offset)], fields=list(_PIECE))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), placed)
+        ids = ((level << 58) | (part << 32)) + np.arange(at, at + len(mine))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(mine), part)), pa.array(size[mine].astype(np.int32)), pa.array(final[at : at + 256]), lists], names=["sequence_id", "part", "size", "final", "pieces"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], c: bpe.Codec, capacity: int, separator: int) -> pa.StructArray:
+    tail, parts = np.array([separator], "<u4").tobytes(), []
     for doc_ids, all_ids in bpe.encoded(batches, c):
-        for doc_id, ids in zip(doc_ids.to_pylist(), all_ids, strict=True):
+        row, out = [], []
+        for r, ids in enumerate(all_ids):
             ids += tail
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                yield _Item([(doc_id, k, at // 4, len(part) // 4, bpe.crc32(part))], len(part) // 4)
+                row.append(r)
+                out.append((k, at // 4, len(part) // 4, bpe.crc32(part)))
+        cols = [doc_ids.take(pa.array(row, pa.int64())), *(pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), list(_PIECE)[1:5], strict=True))] if out else []
+        if cols:
+            parts.append(pa.StructArray.from_arrays(cols, fields=list(_PIECE)[:5]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(_PIECE)[:5]))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
@@ -103,42 +104,37 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     Returns, per piece: doc_id, piece (from 0), start (tokens of its document before it), length, ids_crc32,
     sequence_id, offset.  A row's tokens are those of its whole text and then ``separator``; only longer ones are cut.
     Null text is empty: the separator alone.  Repeated rows are packed each; equal sizes go in the order read; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  Texts are read whole, however long; bytes that are no UTF-8 read
+    as U+FFFD.
     """
     spark = docs.sparkSession
     ship_code(spark)
     spec = spark.sparkContext.broadcast(bpe.spec_of(path))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_id, items = TaskContext.get().partitionId() << 32, []
-        for item in _pieces(batches, bpe.codec(spec.value), capacity, separator):
-            items.append(item)
-            if len(items) >= LOCAL:
-                yield from _round(items, capacity, False, next_id)
-                next_id, items = next_id + len(items), []
-        yield from _round(items, capacity, False, next_id)
-
-    def merge(level: int, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = []
-            for batch in batches:
-                for pieces, size in zip(batch.column("pieces").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                    items.append(_Item([(p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in pieces], size))
-            yield from _round(items, capacity, last, (level << 56) | (TaskContext.get().partitionId() << 32))
+        pieces = _pieces(batches, bpe.codec(spec.value), capacity, separator)
+        if len(pieces):
+            yield from _round(pieces, np.arange(1, len(pieces) + 1), capacity, 0, TaskContext.get().partitionId())
+
+    def merge(level: int):
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            lists = group.column("pieces").combine_chunks()
+            ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+            return pa.Table.from_batches(_round(lists.flatten(), ends, capacity, level, key[0].as_py()))
 
         return run
 
     bins = materialize(bpe._columns(docs).mapInArrow(first, BIN_SCHEMA), "bins")
-    done = [bins.where("final")]
-    level, parts = 1, bins.rdd.getNumPartitions()
-    while True:
-        parts = max(1, -(-parts // FAN_IN))
-        waiting = bins.where("not final").coalesce(parts)
-        bins = materialize(waiting.mapInArrow(merge(level, parts == 1), BIN_SCHEMA), "bins")
+    parts = (bins.agg(F.max("part")).first()[0] or 0) + 1
+    if parts > FAN_IN**ROUNDS:
+        raise ValueError("more tasks than the rounds can join")
+    done, level = [bins.where("final")], 0
+    while parts > 1:
+        level, parts = level + 1, -(-parts // FAN_IN)
+        waiting = bins.where("NOT final").withColumn("part", F.floor(F.col("part") / FAN_IN))
+        bins = materialize(waiting.groupBy("part").applyInArrow(merge(level), BIN_SCHEMA), "bins")
         done.append(bins.where("final"))
-        if parts == 1:
-            break
-        level += 1
+    done.append(bins.where("NOT final"))
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)

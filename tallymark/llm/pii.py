@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, BLANKS, flat, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, words_of
+from .common import _LOWER, BLANKS, flat, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, the confidence that a pattern and an instance need, and the rounds of scoring.
@@ -233,7 +233,7 @@ def spans(docs: DataFrame) -> DataFrame:
     graph); equal confidences go to the kind listed first; empty tables give no rows; other columns are ignored.
     """
     ship_code(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     found = materialize(base.mapInArrow(_find, _FOUND), "mentions")
     trusted = discover(found, base)
     cand = found.select("uid", F.explode(F.filter("mentions", lambda x: x["kind"] < 0)).alias("m")).select("uid", "m.start", "m.stop", "m.i")
@@ -248,8 +248,8 @@ def mask(docs: DataFrame) -> DataFrame:
 
     A row's spans are those of its own text, found by the hash of the text, so repeated rows are masked alike.
     """
-    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    of = spans(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"))
+    keyed = docs.withColumn("__h", F.xxhash64(valid_text()))
+    of = spans(docs.select(F.xxhash64(valid_text()).alias("doc_id"), "text"))
     hit = of.select(F.col("doc_id").alias("__h"), F.concat("base", "more").alias("__s")).where(F.size("__s") > 0)
     one = hit.groupBy("__h").agg(F.max("__s").alias("__s"))
     names = docs.columns

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks
+from .common import materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text
 
 LENGTH = 200
 GRAM = 48
@@ -172,7 +172,7 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, dk, h): dk and h name a document in joins; rows that share both have the same id and text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(valid_text(), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-(2**63))).alias("dk"), F.xxhash64(text).alias("h"))
 
@@ -237,7 +237,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     names = docs.columns
     own = keyed(docs).select("dk", "h", "text", "doc_id")
     found = repeated(own, length, gram)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(valid_text(), F.lit(""))
     rows = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(text)})
     found = found.select(F.col("dk").alias("__dk"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
     rows = rows.join(found, ["__dk", "__h"], "left").select(*names, "__ranges")

@@ -298,3 +298,19 @@ def test_lines(spark):
     twice = line_dedup.repeated_lines(frame(spark, [(1, a), (1, a), (2, a)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in twice) == [(1, 0), (1, 0), (2, 1)]
     assert line_dedup.repeated_lines(frame(spark, []).where("false")).count() == 0
+
+
+def test_packing_with_many_open_bins(spark):
+    rows = [(i, "ab " * (5 + i % 2)) for i in range(6000)] + [(10_000 + i, "ab") for i in range(40)]
+    out = packing.pack(frame(spark, rows).repartition(23), PATH, capacity=9).toPandas()
+    assert len(out) == len(rows) and out.groupby("sequence_id").length.sum().max() <= 9
+    n = out.groupby("doc_id").length.sum()
+    bound = max(-(-int(n.sum()) // 9), int((n > 4.5).sum()))
+    assert out.sequence_id.nunique() == bound
+
+
+@pytest.mark.parametrize("operator", ["encode", "pack", "suffixes", "lines", "groups", "spans"])
+def test_bytes_that_are_no_utf8(spark, operator):
+    docs = spark.createDataFrame([(1, bytearray(b"\xff\x61\x20bob@mail.example.com")), (2, bytearray(b"fine"))], "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text")
+    run = {"encode": lambda d: bpe.round_trip(d, PATH), "pack": lambda d: packing.pack(d, PATH), "suffixes": suffix_dedup.remove, "lines": lambda d: line_dedup.repeated_lines(d, 1, 25), "groups": near_dedup.groups, "spans": pii.spans}
+    assert sorted(r.doc_id for r in run[operator](docs).collect()) == [1, 2]
