@@ -248,7 +248,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
     A row's spans are those of its own text, found by the hash of the text, so repeated rows are masked alike.
     """
-    keyed = docs.withColumn("__h", F.xxhash64(valid_text()))
+    keyed = docs.withColumn("text", valid_text()).withColumn("__h", F.xxhash64("text"))
     of = spans(docs.select(F.xxhash64(valid_text()).alias("doc_id"), "text"))
     hit = of.select(F.col("doc_id").alias("__h"), F.concat("base", "more").alias("__s")).where(F.size("__s") > 0)
     one = hit.groupBy("__h").agg(F.max("__s").alias("__s"))

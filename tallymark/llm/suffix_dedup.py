@@ -12,7 +12,8 @@ The digits are chosen so that nearly all suffixes leave before they become rows:
   all suffixes of one stretch of STRETCH starts have in common; stretches that share it with no other run are done.
 * digit 4 is the rest of the single suffix.
 
-Classes are counted, never gathered, so a string that a third of all documents hold is no single task's work.
+Classes are counted, never gathered, and the rows of a class that is hot meet its count where they are, so a string
+that a third of all documents hold is no single task's work.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text
+from .common import CHUNK_BYTES, discard, join_counted, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text
 
 LENGTH = 200
 GRAM = 48
@@ -99,10 +100,14 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _find_runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for cut, data, offsets in text_chunks(batches):
-        r, s, e, a, kh, c = runs(data, offsets, length, gram)
-        dk, h = (cut.column(k).to_numpy()[r] for k in ("dk", "h"))
-        pos = (s << 16) | ((a - s) << 8) | (e - s)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (dk, h, pos, kh, c)], names=["dk", "h", "pos", "kh", "c"])
+        # a long text in overlapping windows: a run that a window's end cuts is two runs, which later digits compare
+        step = CHUNK_BYTES if cut.num_rows == 1 else max(1, len(data))
+        for at in range(0, max(1, len(data) - length + 1), step):
+            part = data[at : at + step + length - 1]
+            r, s, e, a, kh, c = runs(part, offsets if len(part) == len(data) else np.array([0, len(part)]), length, gram)
+            dk, h = (cut.column(k).to_numpy()[r] for k in ("dk", "h"))
+            pos = ((s + at) << 16) | ((a - s) << 8) | (e - s)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (dk, h, pos, kh, c)], names=["dk", "h", "pos", "kh", "c"])
 
 
 def _unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,23 +184,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(dk, h, ranges): for every document with repeated strings, the [from, to) byte ranges that they cover, unmerged."""
+    if not 0 < gram <= length <= gram + 255:
+        raise ValueError("length must be from gram to gram + 255")
     spark = docs.sparkSession
     ship_code(spark)
     base = docs.select("dk", "h", "text")
     found = materialize(base.mapInArrow(lambda it: _find_runs(it, length, gram), _RUNS), "runs")
-    digit1 = found.groupBy("kh").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("kh", (F.col("lo") != F.col("hi")).alias("contested"))
-    live = materialize(found.join(digit1, "kh"), "runs")
+    digit1 = materialize(found.groupBy("kh").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("kh", "n", (F.col("lo") != F.col("hi")).alias("contested")), "digits")
+    live = materialize(join_counted(found, digit1, ["kh"]).drop("n"), "runs")
+    discard(found, digit1)
     first, last = F.shiftright("pos", 16), F.shiftright("pos", 16) + F.col("pos").bitwiseAND(F.lit(255))
     whole = lambda d: d.select("dk", "h", first.alias("a"), (last + length).alias("b"))
     contested = live.where("contested")
     digit2 = materialize(contested.groupBy("kh", "c").agg(F.count("*").alias("n"), F.min(F.struct("dk", "h", "pos")).alias("one")), "runs")
-    ranges = whole(live.where("NOT contested")).unionAll(whole(contested.join(digit2.where("n > 1").select("kh", "c"), ["kh", "c"])))
+    ranges = whole(live.where("NOT contested")).unionAll(whole(join_counted(contested, digit2.where("n > 1").select("kh", "c", "n"), ["kh", "c"])))
 
     ends = digit2.select("one.*", "kh", (F.col("n") == 1).alias("single")).groupBy("dk", "h").agg(F.collect_list(F.struct("pos", "kh", "single")).alias("ends"))
     texts = packed(base, "dk", "h").join(ends, ["dk", "h"]).select("dk", "h", "z", "ends")
     parts = materialize(texts.mapInArrow(lambda it: _stretches(it, length), "dk long, h long, kh long, single boolean, text binary, digit long, lo long, dist long"), "stretches")
-    digit3 = parts.groupBy("kh", "digit").agg(F.count("*").alias("n")).where("n > 1").select("kh", "digit")
-    suffixes = materialize(parts.join(digit3, ["kh", "digit"]).select("dk", "h", "kh", "single", "text", "lo", "dist").mapInArrow(lambda it: _suffixes(it, length), "kh long, w long, dk long, h long, start long, single boolean"), "suffixes")
+    digit3 = materialize(parts.groupBy("kh", "digit").agg(F.count("*").alias("n")).where("n > 1"), "digits")
+    suffixes = materialize(join_counted(parts, digit3, ["kh", "digit"]).select("dk", "h", "kh", "single", "text", "lo", "dist").mapInArrow(lambda it: _suffixes(it, length), "kh long, w long, dk long, h long, start long, single boolean"), "suffixes")
+    discard(parts, digit3)
     digit4 = suffixes.groupBy("kh", "w").agg(F.count("*").alias("n")).where("n > 1").select("kh", "w")
     alone = suffixes.where("single").join(digit4, ["kh", "w"]).select("dk", "h", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
     every = ranges.unionAll(alone)
@@ -224,8 +233,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     A string is ``length`` bytes; it is repeated if it starts at two places or more, in one document or several,
     overlapping or not, all judged on the input.  Returns doc_id, n_bytes, spans (array of (start, stop) in bytes,
     maximal runs), kept (binary).  Null text is empty; texts shorter than ``length`` stay as they are; repeated rows
-    are documents of their own, so all of what is long enough in them goes; null doc_ids are allowed; an empty table
-    gives no rows; other columns are ignored.
+    are documents of their own, so all of what is long enough in them goes; null doc_ids are allowed; bytes that are no
+    UTF-8 read as U+FFFD; long texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs)
     found = repeated(rows, length, gram)
@@ -233,12 +242,15 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs``, all columns, with repeated strings cut out of ``text``; what is left of a character that a cut splits goes too."""
+    """The rows of ``docs``, all columns, with repeated strings cut out of ``text``; what is left of a character that a cut splits goes too.
+
+    Rows are judged as in ``remove``: null texts stay null, rows that repeat lose all that is long enough in them.
+    """
     names = docs.columns
     own = keyed(docs).select("dk", "h", "text", "doc_id")
     found = repeated(own, length, gram)
     text = F.coalesce(valid_text(), F.lit(""))
-    rows = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(text)})
+    rows = docs.withColumn("text", valid_text()).withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(text)})
     found = found.select(F.col("dk").alias("__dk"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
     rows = rows.join(found, ["__dk", "__h"], "left").select(*names, "__ranges")
 
@@ -246,7 +258,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         for batch in batches:
             texts = []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
-                if ranges:
+                if ranges and text:
                     body, out, free = text.encode("utf-8", "surrogatepass"), [], 0
                     for a, b in merge([(r["a"], r["b"]) for r in ranges]):
                         out.append(body[free:a])
