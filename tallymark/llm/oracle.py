@@ -53,32 +53,40 @@ WITH b AS (
 ), rw AS (
   SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM d, range(0, 5) t(k) GROUP BY doc_id
 ), ln AS (
-  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines
+  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines, count(*)::BIGINT AS n_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM b)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), m AS (
   SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          (length(text) - length(replace(text, '!', '')))::BIGINT AS n_bangs
   FROM b LEFT JOIN rw USING (doc_id) LEFT JOIN ln USING (doc_id)
 ), f AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-         n_symbols::DOUBLE / n_words AS sr, n_bangs::DOUBLE / n_words AS br, n_dup_lines::DOUBLE / n_words AS dr, word_chars::DOUBLE / n_words AS mc
+         n_symbols::DOUBLE / nullif(n_words, 0) AS sr, n_bangs::DOUBLE / nullif(n_words, 0) AS br, n_dup_lines::DOUBLE / nullif(n_lines, 0) AS dr, word_chars::DOUBLE / nullif(n_words, 0) AS mc
   FROM m
 ), q AS (
-  SELECT lang, source, quantile_disc(sr, [0.25, 0.75]) AS sr, quantile_disc(br, [0.25, 0.75]) AS br,
-         quantile_disc(dr, [0.25, 0.75]) AS dr, quantile_disc(mc, [0.25, 0.75]) AS mc
-  FROM f WHERE NOT base_failed GROUP BY ALL
+  SELECT lang, source, grouping(lang, source) AS level, count(*)::DOUBLE AS n, quantile_disc(sr, [0.1, 0.9]) AS sr, quantile_disc(br, [0.1, 0.9]) AS br,
+         quantile_disc(dr, [0.1, 0.9]) AS dr, quantile_disc(mc, [0.1, 0.9]) AS mc
+  FROM f WHERE NOT base_failed GROUP BY ROLLUP (lang, source)
+), c AS (  -- each quantile averaged with 30 rows of its language, and that with 30 of all rows
+  SELECT g.lang, g.source, k, (g.n * x + 30 * ((l.n * y + 30 * z) / (l.n + 30))) / (g.n + 30) AS v, metric
+  FROM q g JOIN q l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM g.lang JOIN q a ON a.level = 3,
+       LATERAL (SELECT unnest([1, 2, 1, 2, 1, 2, 1, 2]) AS k, unnest(['sr', 'sr', 'br', 'br', 'dr', 'dr', 'mc', 'mc']) AS metric,
+                unnest(g.sr || g.br || g.dr || g.mc) AS x, unnest(l.sr || l.br || l.dr || l.mc) AS y, unnest(a.sr || a.br || a.dr || a.mc) AS z)
+  WHERE g.level = 0
+), e AS (
+  SELECT lang, source, metric, max(v) FILTER (k = 1) AS lo, max(v) FILTER (k = 2) AS hi FROM c GROUP BY ALL
 ), t AS (
-  SELECT lang, source, greatest(0.2::DOUBLE, sr[2] + 3.0::DOUBLE * (sr[2] - sr[1])) AS max_sr, greatest(0.3::DOUBLE, br[2] + 3.0::DOUBLE * (br[2] - br[1])) AS max_br,
-         greatest(0.3::DOUBLE, dr[2] + 3.0::DOUBLE * (dr[2] - dr[1])) AS max_dr,
-         mc[1] - greatest(3.0::DOUBLE, 3.0::DOUBLE * (mc[2] - mc[1])) AS min_mc, mc[2] + greatest(3.0::DOUBLE, 3.0::DOUBLE * (mc[2] - mc[1])) AS max_mc
-  FROM q
+  SELECT lang, source, max(hi + 1.0::DOUBLE * (hi - lo)) FILTER (metric = 'sr') AS max_sr, max(hi + 1.0::DOUBLE * (hi - lo)) FILTER (metric = 'br') AS max_br,
+         max(hi + 1.0::DOUBLE * (hi - lo)) FILTER (metric = 'dr') AS max_dr, max(hi + 1.0::DOUBLE * (hi - lo)) FILTER (metric = 'mc') AS max_mc,
+         max(lo - 1.0::DOUBLE * (hi - lo)) FILTER (metric = 'mc') AS min_mc
+  FROM e GROUP BY ALL
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND NOT coalesce(mc < min_mc OR mc > max_mc OR sr > max_sr OR br > max_br OR dr > max_dr, FALSE)) AS kept
+       (NOT base_failed AND NOT coalesce(mc < min_mc OR mc > max_mc OR n_symbols > max_sr * n_words + 3 OR n_bangs > max_br * n_words + 3 OR n_dup_lines > max_dr * n_lines + 3, FALSE)) AS kept
 FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
 """
 

@@ -254,6 +254,16 @@ def test_adaptive_bounds(spark):
     assert kept == set(range(40))
 
 
+def test_a_source_full_of_symbols_sets_its_own_bound(spark):
+    rng = random.Random(3)
+    say = lambda mark, share: " ".join(f"{rng.choice(['alpha', 'beta', 'gamma'])}{rng.randint(0, 999)}" + mark * (rng.random() < share) for _ in range(100))
+    code = [(i, say("|", 0.5), "en", "code") for i in range(200)]
+    news = [(1000 + i, say("", 0), "en", "news") for i in range(200)] + [(2000, say("|", 0.5), "en", "news")]
+    docs = spark.createDataFrame(code + news, "doc_id long, text string, lang string, source string")
+    lost = {r.doc_id for r in quality_rules.judge(docs).where("NOT kept").collect()}
+    assert 2000 in lost and not lost & set(range(200)) and len(lost) <= 5
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 def near_copies(seed, n):
     """A large group around one text, some members too far from it but close to each other, and its exact copies."""
