@@ -1,15 +1,15 @@
 """Exact top-k inner-product search without random access (NRA).
 
-Rows are cut into blocks; in a block every dimension is a sorted list.  A query reads, in step, the upper end of the
-lists with positive weight and the lower end of those with negative weight.  What has been read bounds each row's
-score from below (unread entries at the list's worst value) and above (at the value last read).  Reading stops once the
-rows whose upper bound reaches the k-th lower bound are few; only their scores are then completed.  The threshold is
-carried from block to block within a task.
+Queries and rows are dealt into groups, every block of queries with every part of the rows.  In a group, rows come in
+blocks in which every dimension is a sorted list.  A query reads the lists in step and in order, from the upper end
+where its weight is positive and from the lower end where it is negative.  What it has read adds up to a part of each
+row's score; what it has not is bounded by the list's last value read (above) and its far end (below).  Rows whose upper
+bound is under the k-th lower bound leave for good.  Reading stops when few rows are left; these scores are completed.
+The k-th best score is carried from block to block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import ship_code
 
-#: Queries that travel with a task at once (about; 64 dimensions: 1 MB).  More queries make more passes over the rows.
-QUERY_BLOCK = 2048
+#: Queries and rows that one group holds at most (about; of 64 dimensions: 1 MB and 64 MB).
+QUERY_BLOCK, ROW_PART = 4096, 1 << 18
+#: Entries of each list that are read before the bounds are looked at first; twice as many before the next time.
+FIRST_DEPTH = 64
 ROW_BLOCK = 4096
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -59,54 +61,56 @@ class _Best:
 
 
 def scan_block(best: _Best, ids: np.ndarray, x: np.ndarray) -> int:
-    """Run NRA for all queries over one block; returns the depth to which the lists were read."""
+    """Run NRA for all queries over one block; returns the greatest depth to which a query has read the lists."""
     n, k = x.shape[0], best.k
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-    lists = np.take_along_axis(x, order, 0)
-    plus, minus = np.maximum(best.q, 0), np.minimum(best.q, 0)
-    live, depth = np.arange(len(best.ids)), min(n, max(4 * k, n // 4))
-    while len(live):
-        upper_end, lower_end = rank >= n - depth, rank < depth
-        p, m = plus[live], minus[live]
-        low = p @ np.where(upper_end, x, lists[0]).T + m @ np.where(lower_end, x, lists[-1]).T
-        high = p @ np.where(upper_end, x, lists[n - depth]).T + m @ np.where(lower_end, x, lists[depth - 1]).T
-        own = ids[None, :] == best.ids[live][:, None]
-        low[own] = high[own] = -np.inf
-        tau = best.score[live, -1]
-        if n >= k:
-            tau = np.maximum(tau, np.partition(low, n - k, axis=1)[:, n - k])
-        open_ = (high >= tau[:, None]) & ~own
-        done = (open_.sum(1) <= 8 * k) | (depth == n)
-        for row in np.flatnonzero(done):
-            i, c = live[row], np.flatnonzero(open_[row])
-            if len(c) > 8 * k:  # lists read to their end: bounds are scores; ties at the threshold stay
-                s = low[row, c]
-                if len(c) > k:
-                    c = c[s >= np.partition(s, len(c) - k)[len(c) - k]]
-                    c = c[np.lexsort((ids[c], -low[row, c]))[:k]]
-            best.offer(i, x[c] @ best.q[i], ids[c])
-        live, depth = live[~done], min(n, 2 * depth)
-    return depth
-
-
-def _scan(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, list[float]]], k: int, scale: int) -> Iterator[pa.RecordBatch]:
+    up = np.argsort(x, axis=0, kind="stable").astype(np.int32)  # row numbers, each list in ascending order
+    place = np.empty_like(up)
+    np.put_along_axis(place, up, np.arange(n, dtype=np.int32)[:, None], 0)
+    lists = np.take_along_axis(x, up, 0)
+    down, back, tops = up[::-1], n - 1 - place, lists[::-1]
+    dims, deepest = np.arange(x.shape[1]), 0
+    for i, q in enumerate(best.q):
+        plus = q > 0
+        own = ids == best.ids[i]
+        rows, read, score = np.flatnonzero(~own), 0, np.zeros(n)
+        tau = best.score[i, -1]
+        while True:
+            depth = min(n, max(FIRST_DEPTH, 2 * read))
+            entries = np.where(plus, down[read:depth], up[read:depth])
+            score += np.bincount(entries.ravel(), (x[entries, dims] * q).ravel(), n)
+            read = depth
+            unread = np.where(plus, back[rows], place[rows]) >= read
+            high = score[rows] + unread @ (q * np.where(plus, tops[read - 1], lists[read - 1]))
+            if len(rows) >= k:
+                low = score[rows] + unread @ (q * np.where(plus, lists[0], lists[-1]))
+                tau = max(tau, np.partition(low, len(low) - k)[len(low) - k])
+            rows = rows[high >= tau]
+            if len(rows) <= 8 * k or read == n:
+                break
+        deepest = max(deepest, read)
+        if len(rows):
+            best.offer(i, x[rows] @ q, ids[rows])
+    return deepest
+
+
+def _part(key: tuple, rows: pa.Table, queries: pa.Table, k: int, scale: int) -> pa.Table:
+    """Best rows of one part for one block of queries."""
     by_dim: dict[int, _Best] = {}
-    for d in {len(v) for _, v in queries}:
-        mine = [(i, v) for i, v in queries if len(v) == d]
-        by_dim[d] = _Best(np.array([i for i, _ in mine]), np.floor(scale * np.array([v for _, v in mine], np.float64).reshape(len(mine), d)), k)
-    for batch in batches:
+    for batch in queries.combine_chunks().to_batches():
+        for ids, q in _matrix(batch, scale):
+            by_dim[q.shape[1]] = _Best(ids, q, k)
+    for batch in rows.to_batches(max_chunksize=ROW_BLOCK):
         for ids, x in _matrix(batch, scale):
-            if (best := by_dim.get(x.shape[1])) is None:
+            if (best := by_dim.get(x.shape[1])) is None or not x.shape[1]:
                 continue
-            if x.size and np.abs(x).max() * max(1.0, np.abs(best.q).max()) * x.shape[1] >= 2**53:
+            if np.abs(x).max() * max(1.0, np.abs(best.q).max()) * x.shape[1] >= 2**53:
                 raise ValueError("scaled components are too large for exact scores")
-            for at in range(0, len(ids), ROW_BLOCK):
-                scan_block(best, ids[at : at + ROW_BLOCK], x[at : at + ROW_BLOCK])
+            scan_block(best, ids, x)
+    out = []
     for best in by_dim.values():
         q, r = np.nonzero(np.isfinite(best.score))
-        yield pa.RecordBatch.from_arrays([pa.array(best.ids[q], pa.int64()), pa.array(best.vec[q, r], pa.int64()), pa.array(best.score[q, r].astype(np.int64))], names=["query_id", "vec_id", "score"])
+        out.append(pa.table({"query_id": pa.array(best.ids[q], pa.int64()), "vec_id": pa.array(best.vec[q, r], pa.int64()), "score": pa.array(best.score[q, r].astype(np.int64))}))
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -114,27 +118,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
 
     Both take (vec_id, embedding); components count as floor(scale * x).  Returns query_id, rank (from 1), vec_id,
     score; ties go to the smaller vec_id; a query never finds its own id; fewer candidates give fewer rows.
-    Rows with a null id or vector, or null or non-finite components, take no part; vectors of another length than the
-    query's are no candidates of it.  Repeated vec_ids among the rows are candidates each; among the queries the least
-    vector stands for the id.  Empty tables give no rows; other columns are ignored.  Scores at or beyond 2^53 raise.
-    Queries go to the executors in blocks of about QUERY_BLOCK, however many there are.
+    Rows with a null id or vector, or null or non-finite components, take no part, nor do empty vectors; vectors of
+    another length than the query's are no candidates of it.  Repeated vec_ids among the rows are candidates each; among
+    the queries the least vector stands for the id.  Empty tables give no rows; other columns are ignored.  Scores at or
+    beyond 2^53 raise.
     """
     spark = vectors.sparkSession
     ship_code(spark)
-    rows = usable(vectors)
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        local = [(r.vec_id, list(r.embedding)) for r in block.toLocalIterator()]
-        if local:
-            shared = spark.sparkContext.broadcast(local)
-            parts.append(rows.mapInArrow(lambda it, s=shared: _scan(it, s.value, k, scale), SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    rows, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n = rows.count()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = max(1, -(-n // ROW_PART), min(2 * spark.sparkContext.defaultParallelism, n // ROW_BLOCK + 1))
+    number = lambda of: F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = rows.select("vec_id", "embedding", number(parts).alias("part"), every(blocks).alias("block"))
+    right = asked.select("vec_id", "embedding", number(blocks).alias("block"), every(parts).alias("part"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(lambda key, a, b: _part(key, a.select(["vec_id", "embedding"]), b.select(["vec_id", "embedding"]), k, scale), SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
