@@ -30,7 +30,7 @@ COMMON = 0.25
 WORD_BYTES = 24
 #: A clause ends behind these before a blank, behind wide marks, and at the end of a line.
 _CLAUSE = re.compile(r"[.,;:!?…]+(?=[\x20\x09-\x0D])|[。，、；：！？]+|\n")
-UNIT_SCHEMA = "doc_id long, h long, start int, stop int, long boolean, fresh boolean, d1 long, d2 long"
+UNIT_SCHEMA = "doc_id long, h long, start int, stop int, long boolean, fresh boolean, n int, d1 long, d2 int"
 
 
 def normalise(text: str) -> tuple[bytes, int]:
@@ -72,8 +72,8 @@ def units(text: str, min_words: int, passage_words: int | None) -> list[tuple[in
 
 
 def _units(batches: Iterator[pa.RecordBatch], min_words: int, passage_words: int | None) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-    names = ["doc_id", "h", "start", "stop", "long", "fresh", "d1", "d2"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
+    names = ["doc_id", "h", "start", "stop", "long", "fresh", "n", "d1", "d2"]
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             cut = batch.slice(at, 256).to_pydict()
@@ -81,13 +81,14 @@ def _units(batches: Iterator[pa.RecordBatch], min_words: int, passage_words: int
             digests: list[bytes] = []
             for doc_id, text, h in zip(cut["doc_id"], cut["text"], cut["h"], strict=True):
                 met: set[bytes] = set()
-                for start, stop, long, form in units(text or "", min_words, passage_words):
-                    digests.append(hashlib.blake2b(form, digest_size=16).digest())
-                    rows.append((doc_id, h, start, stop, long, digests[-1] not in met))
+                every = units(text or "", min_words, passage_words)
+                for k, (start, stop, long, form) in enumerate(every):
+                    digests.append(hashlib.blake2b(form, digest_size=12).digest())
+                    rows.append((doc_id, h, start, stop, long, digests[-1] not in met, len(every) if k == 0 else None))
                     met.add(digests[-1])
             cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=names)
+            d = np.frombuffer(b"".join(digests), [("d1", "<i8"), ("d2", "<i4")])
+            out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(np.ascontiguousarray(d["d1"])), pa.array(np.ascontiguousarray(d["d2"]))], names=names)
             yield from (out.slice(k, 16384) for k in range(0, max(1, out.num_rows), 16384))
 
 
@@ -137,9 +138,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: i
     repeats = materialize(groups, "repeats")
     clear = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("start") < F.col("first.stop")))
     goes = F.col("long") | (F.col("docs") >= common * base.count())
-    late = join_counted(found, repeats, ["d1", "d2"]).where(clear)
+    late = join_counted(found.drop("n", "fresh"), repeats, ["d1", "d2"]).where(clear)
     gone = late.groupBy("doc_id", "h").agg(F.collect_set(F.when(goes, F.struct("start", "stop"))).alias("gone"), F.count_distinct(F.when(~goes, F.col("start"))).alias("n_short_repeats"))
-    counted = found.groupBy("doc_id", "h").agg(F.count_distinct("start", "stop").alias("n_units"))
+    counted = found.where("n IS NOT NULL").groupBy("doc_id", "h").agg(F.max("n").alias("n_units"))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
     full = base.select("doc_id", "h")
     full = full.join(counted, on(full, counted), "left").select(full["doc_id"], full["h"], F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
