@@ -126,3 +126,16 @@ def hamming_similarity(a: ColumnLike, b: ColumnLike, bits: int = 256) -> Column:
 
 def squared_distance(a: ColumnLike, b: ColumnLike) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def iso_timestamp(x: ColumnLike) -> Column:
+    """A date or time in ISO form as a timestamp; anything else is null."""
+    c = F.trim(col(x))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), F.replace(c, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
+
+
+def relative_time(x: ColumnLike, now: ColumnLike) -> Column:
+    """Age in words: just now, then whole minutes, hours and days."""
+    sec = F.unix_timestamp(col(now).cast("timestamp")) - F.unix_timestamp(col(x).cast("timestamp"))
+    said = lambda n, unit: F.concat(F.floor(sec / n).cast("string"), F.lit(unit))
+    return F.when(sec < 60, "just now").when(sec < 3600, said(60, "m ago")).when(sec < 86400, said(3600, "h ago")).otherwise(said(86400, "d ago"))

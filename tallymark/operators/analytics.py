@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions import strings
 from tallymark.functions.expressions import cents, first_argmax, mean_to_cents
 
 LEVELS = ("low", "medium", "high", "critical")
@@ -46,7 +48,7 @@ def vendor_ranking(inv: DataFrame) -> DataFrame:
 
 
 def vendor_rollup(ranking: DataFrame) -> DataFrame:
-    return ranking.agg(F.count_if(F.col("flag_rate") > 20).alias("high_risk_vendors"), mean_to_cents(F.sum(cents("avg_risk_score")), F.count("*")).alias("mean_risk"), F.count("*").alias("vendors"))
+    return ranking.agg(F.count_if(F.col("flag_rate") > 20).alias("high_risk_vendors"), mean_to_cents(F.sum(cents("avg_risk_score")), F.count("*")).alias("mean_risk"), F.count("*").alias("vendors"), (F.sum(cents("total_amount")) / 100).alias("total_volume"))
 
 
 def risk_distribution(inv: DataFrame) -> DataFrame:
@@ -81,7 +83,8 @@ def listing(inv: DataFrame, status: str | None = None, risk_level: str | None =
     if vendor:
         out = out.where(F.col("vendor_name").ilike(f"%{vendor}%"))
     if search:
-        out = out.where(F.col("vendor_name").ilike(f"%{search}%") | F.col("invoice_number").ilike(f"%{search}%"))
+        fields = [c for c in ("filename", "vendor_name", "invoice_number") if c in out.columns]
+        out = out.where(functools.reduce(Column.__or__, (F.col(c).ilike(f"%{search}%") for c in fields)))
     if date_from:
         out = out.where(F.col("created_at") >= F.lit(date_from).cast("timestamp_ntz"))
     if date_to:
@@ -113,16 +116,56 @@ def audit_query(audit: DataFrame, action: str | None = None, user_id: int | None
     return audit
 
 
+#: Salts over which events meet the configurations that take all of them.
+SALTS = 64
+
+
 def outbox(events: DataFrame, configs: DataFrame) -> DataFrame:
-    """Messages to deliver: each event to each active configuration that lists its type or *.
+    """Messages to deliver: each event to each active configuration that lists its type or *, with the signature of its body.
 
-    ``configs`` (url, events array, secret, is_active) is small by nature; the planner broadcasts it if its size allows.
+    ``configs`` (url, events array, secret, is_active) is small by nature.  Events meet those that take every type by a
+    salt, so that no key holds all events if the planner doesn't broadcast.  Without a secret there is no signature.
     """
     subs = configs.where("is_active").select("url", "secret", F.explode(F.array_distinct("events")).alias("type"))
     exact = events.join(subs, events["event_type"] == subs["type"])
-    every = events.withColumn("__all", F.lit("*")).join(subs, F.col("__all") == subs["type"]).drop("__all")
+    all_of = subs.where("type = '*'").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = events.withColumn("__salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")).join(all_of, "__salt").drop("__salt")
     body = F.to_json(F.struct(F.col("event_type").alias("event"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("props").alias("data")))
-    return exact.unionByName(every).select("event_id", "url", "event_type", body.alias("body")).dropDuplicates(["event_id", "url"])
+    rows = exact.unionByName(every).select("event_id", "url", "event_type", "secret", body.alias("body")).dropDuplicates(["event_id", "url"])
+    return rows.withColumn("signature", strings.udf_signature()(F.col("body"), F.col("secret"))).drop("secret")
+
+
+def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of a report."""
+    return df.orderBy(*order).limit(k)
+
+
+#: Roles that may see or change something.
+ROLES = {"upload": ("admin", "manager", "auditor", "analyst"), "rank_vendors": ("admin", "manager", "auditor"), "read_audit": ("admin", "auditor"), "configure": ("admin",)}
+
+
+def allowed(users: DataFrame, right: str) -> DataFrame:
+    """Users whose role has the right; unknown rights are nobody's."""
+    return users.where(F.col("role").isin(*ROLES.get(right, ())))
+
+
+def taken(users: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (email, username) with ``exists``: a user has that email or that name.  Nulls are equal to nothing."""
+    key = lambda c: users.where(F.col(c).isNotNull()).select(F.col(c).alias(f"__{c}")).distinct()
+    out = asked.join(key("email"), F.col("email") == F.col("__email"), "left").join(key("username"), F.col("username") == F.col("__username"), "left")
+    return out.withColumn("exists", F.col("__email").isNotNull() | F.col("__username").isNotNull()).drop("__email", "__username")
+
+
+def heatmap_of(results: DataFrame, files: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """The image of each invoice's first forgery result (by created_at, then path); ``found`` is false where the file is missing."""
+    one = results.where("heatmap_path IS NOT NULL").groupBy(key).agg(F.min_by("heatmap_path", F.struct("created_at", "heatmap_path")).alias("path"))
+    return one.join(files.select("path", "content"), "path", "left").select(key, "path", "content", F.col("content").isNotNull().alias("found"))
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    """Append rows (action, user_id, entity_type, entity_id, details, created_at) to the trail; what is absent gets its default."""
+    kind = F.coalesce("entity_type", F.when(F.col("entity_id").isNotNull(), "invoice").otherwise("system"))
+    entries.withColumns({"entity_type": kind, "details": F.coalesce("details", F.lit("{}"))}).write.mode("append").parquet(path)
 
 
 def apply_reviews(inv: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -76,10 +76,11 @@ def segment(pages: DataFrame) -> DataFrame:
 
 
 def content_type(text: Column, heading: Column | None = None) -> Column:
-    """table: ruled, tabbed or mostly numeric lines; heading: nothing but one; else text."""
+    """table: ruled, tabbed (three tabs in a line) or more than two in five lines numbers; heading: nothing but one; else text."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    numeric = F.filter(lines, lambda x: F.trim(x).rlike(r"^[\d\s.,$€£%-]+$"))
-    is_table = text.rlike(r"\|.*\|") | text.rlike(r"\+-{2,}") | text.rlike(r"\t.*\t") | ((F.size(lines) > 0) & (F.size(numeric) / F.size(lines) > 0.4))
+    numeric = F.filter(lines, lambda x: x.rlike(r"^\s*[\d,]+\.?\d*\s*$"))
+    ruled = text.rlike(r"\|.*\|") | text.rlike(r"\+[-+]+\+") | text.rlike(r"\t.*\t.*\t")
+    is_table = ruled | ((F.size(lines) > 0) & (F.size(numeric) / F.size(lines) > 0.4))
     alone = F.lit(False) if heading is None else F.coalesce(F.trim(text) == F.trim(heading), F.lit(False))
     return F.when(alone, "heading").when(is_table, "table").otherwise("text")
 
@@ -101,6 +102,25 @@ def contents(headed: DataFrame) -> DataFrame:
     return rows.withColumn("parent", parent).drop("__1", "__2")
 
 
+def table_of_contents(parts: DataFrame, least_pages: int = 4) -> DataFrame:
+    """Entries (document_id, entry_title, page_number, level, parent, position) of documents of ``least_pages`` or more, ordered by page and level.
+
+    ``parts`` are sections (document_id, page_number, section_ord, section_heading, level); sections without a heading
+    make no entry.  ``parent`` is the position of the nearest earlier heading of a smaller level.
+    """
+    pages = parts.groupBy("document_id").agg(F.count_distinct("page_number").alias("pages")).where(F.col("pages") >= least_pages).select("document_id")
+    w = Window.partitionBy("document_id").orderBy("page_number", "section_ord")
+    headed = parts.join(pages, "document_id", "left_semi").where("section_heading IS NOT NULL").withColumn("ord", F.row_number().over(w))
+    rows = contents(headed.select("document_id", "ord", "level", F.col("section_heading").alias("entry_title"), "page_number"))
+    order = Window.partitionBy("document_id").orderBy("page_number", "level", "ord")
+    return rows.withColumn("position", F.row_number().over(order)).select("document_id", "entry_title", "page_number", "level", "ord", "parent", "position")
+
+
+def replace_index(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The index after documents were indexed again: their old rows are gone."""
+    return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
+
+
 def _hits(words: Column, text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.aggregate(words, F.lit(0), lambda s, t: s + F.contains(low, t).cast("int"))

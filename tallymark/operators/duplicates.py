@@ -149,18 +149,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, cfg: DuplicateConfig = DUPLI
 
 
 def composite(df: DataFrame) -> DataFrame:
-    """Adds duplicate_score, is_duplicate and summary from exact, fuzzy, semantic and window scores (0 to 100)."""
+    """Adds duplicate_score, is_duplicate and summary from exact, fuzzy, semantic and window scores (0 to 100).
+
+    If they are there, duplicate_of (of an exact match), day_diff and window_match (of the nearest one in the window) are
+    named in the summary.
+    """
+    for c, kind in (("duplicate_of", "long"), ("day_diff", "int"), ("window_match", "long")):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(kind))
     total = F.round(0.40 * F.col("exact") + 0.30 * F.col("fuzzy") + 0.20 * F.col("semantic") + 0.10 * F.col("window"), 2)
     return df.withColumn("duplicate_score", total).withColumn("is_duplicate", F.col("duplicate_score") > 80).withColumn("summary", summary())
 
 
+def _percent(x: Column) -> Column:
+    """One decimal, in integers, so that no engine's rounding shows."""
+    tenths = F.floor((F.round(x * 100).cast("long") + 5) / 10)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+
+
 def summary() -> Column:
-    """Exact match first, then the composite's bands, then single signals."""
-    flags = F.array_join(F.filter(F.array(F.when(F.col("fuzzy") > 60, F.lit("fuzzy match")), F.when(F.col("semantic") > 85, F.lit("semantic match")), F.when(F.col("window") > 0, F.lit("time window match"))), lambda x: x.isNotNull()), ", ")
+    """Exact match first, then the composite's bands, each with the single signals, then these alone."""
+    semantic = F.when(F.col("semantic") >= 85, F.concat(F.lit("semantic line-item match ("), _percent(F.col("semantic")), F.lit(")")))
+    named = F.concat(F.lit(" within "), F.col("day_diff").cast("string"), F.lit(" days (invoice "), F.col("window_match").cast("string"), F.lit(")"))
+    window = F.when(F.col("window") > 0, F.concat(F.lit("same vendor+amount"), F.coalesce(named, F.lit(""))))
+    flags = F.array_join(F.filter(F.array(semantic, window), lambda x: x.isNotNull()), "; ")
+    score, after = _percent(F.col("duplicate_score")), F.when(F.length(flags) > 0, F.concat(F.lit(" | "), flags)).otherwise("")
     return (
-        F.when(F.col("exact") >= 100, "Exact duplicate")
-        .when(F.col("duplicate_score") > 80, "High probability of duplicate")
-        .when(F.col("duplicate_score") > 60, "Possible duplicate")
+        F.when(F.col("exact") >= 100, F.concat(F.lit("EXACT DUPLICATE detected (matches invoice "), F.coalesce(F.col("duplicate_of").cast("string"), F.lit("unknown")), F.lit(")")))
+        .when(F.col("duplicate_score") > 80, F.concat(F.lit("Near-duplicate detected (similarity: "), score, F.lit(")"), after))
+        .when(F.col("duplicate_score") > 60, F.concat(F.lit("Potential duplicate flag (similarity: "), score, F.lit(") - review recommended"), after))
         .when(F.length(flags) > 0, F.concat(F.lit("Flagged: "), flags))
-        .otherwise("No duplicates detected")
+        .otherwise("No significant duplicates found")
     )
+
+
+def pair_rows(matches: DataFrame, k: int = 10) -> DataFrame:
+    """Result rows of scored pairs (invoice_id, b_invoice_id, sim_vendor, similarity, and sim_raw if texts were compared).
+
+    Pairs count for both sides; each invoice has its ``k`` best.  levenshtein_score is the vendors' similarity, and
+    semantic_score that of the texts (0 where there are none).
+    """
+    raw = F.coalesce("sim_raw", F.lit(0.0)) if "sim_raw" in matches.columns else F.lit(0.0)
+    row = lambda a, b: matches.select(F.col(a).alias("invoice_id"), F.col(b).alias("matched_invoice_id"), F.lit("fuzzy").alias("match_type"), F.coalesce("sim_vendor", F.lit(0.0)).alias("levenshtein_score"), raw.alias("semantic_score"), F.col("similarity").alias("duplicate_probability"))
+    both = row("invoice_id", "b_invoice_id").unionAll(row("b_invoice_id", "invoice_id"))
+    w = Window.partitionBy("invoice_id").orderBy(F.desc("duplicate_probability"), "matched_invoice_id")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def duplicates_of(rows: DataFrame, invoice_id: int) -> DataFrame:
+    """Stored matches of one invoice, the likeliest first."""
+    return rows.where(F.col("invoice_id") == invoice_id).orderBy(F.desc("duplicate_probability"), "matched_invoice_id")
+
+
+def similar_invoices(rows: DataFrame) -> DataFrame:
+    """(invoice_id, similar_invoices): an array of (invoice_id, score) for each invoice, in order of rank; at most ``k`` of ``pair_rows``."""
+    item = F.struct("rank", F.col("matched_invoice_id").alias("invoice_id"), F.col("duplicate_probability").alias("score"))
+    found = rows.groupBy("invoice_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    return found.select("invoice_id", F.transform("x", lambda s: F.struct(s["invoice_id"].alias("invoice_id"), s["score"].alias("score"))).alias("similar_invoices"))

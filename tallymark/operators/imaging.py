@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,49 @@ def clusters(mask: DataFrame, cell: int = 64, least: float = 0.05, k: int = 20)
     return g.where(F.col("ratio") > least).withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("cy", "cx"))).where(F.col("rank") <= k)
 
 
+def font_consistency(chars: DataFrame, least: int = 5) -> DataFrame:
+    """Per image of ``chars`` (image_id, height): characters, the range of usual heights, outliers, score and suspicion.
+
+    Usual is within 1.5 quartile ranges (at least 1) of the quartiles; fewer than ``least`` characters tell nothing.
+    Heights are counted first, so that the quartiles come from one row a height.
+    """
+    from pyspark.sql import Window
+
+    by = chars.where("height IS NOT NULL").groupBy("image_id", "height").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("image_id")
+    run = by.withColumns({"upto": F.sum("n").over(w.orderBy("height")), "total": F.sum("n").over(w)})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("height")))
+
+    def quantile(q: float) -> Column:
+        place = q * (F.col("total") - 1)
+        lo = F.floor(place)
+        below, above = at(lo), at(F.least(lo + 1, F.col("total") - 1))
+        return below + (above - below) * F.max(place - lo)
+
+    edge = run.groupBy("image_id").agg(F.max("total").alias("characters"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    reach = 1.5 * F.greatest(F.col("q3") - F.col("q1"), F.lit(1.0))
+    edge = edge.withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
+    odd = by.join(edge, "image_id").groupBy("image_id").agg(F.sum(F.when((F.col("height") < F.col("lower")) | (F.col("height") > F.col("upper")), F.col("n")).otherwise(0)).alias("outliers"))
+    score = F.when(F.col("characters") >= least, F.least(F.lit(100.0), F.round(300 * F.col("outliers") / F.col("characters"), 2))).otherwise(0.0)
+    return edge.join(odd, "image_id").select("image_id", "characters", "lower", "upper", "outliers", score.alias("score"), (score > 35).alias("suspicious"))
+
+
+def template_score(page: np.ndarray, template: np.ndarray) -> tuple[float, bool]:
+    """(0 to 100, match): likeness of a page's upper quarter to a vendor's template, both as 150 by 400 pixels."""
+    head = page[: max(1, int(page.shape[0] * 0.25))]
+    score = max(0.0, min(100.0, 100 * similarity(resize(head, 150, 400), resize(template, 150, 400))))
+    return round(score, 2), score >= 70
+
+
+def heat(marks: DataFrame) -> DataFrame:
+    """(image_id, cy, cx, heat): the strongest mark of each cell.
+
+    ``marks`` is (image_id, cy, cx, kind, ratio): error regions weigh 3 * ratio up to 1, fonts 0.7, copied blocks 0.85.
+    """
+    strength = F.when(F.col("kind") == "ela", F.least(F.lit(1.0), 3 * F.col("ratio"))).when(F.col("kind") == "font", 0.7).when(F.col("kind") == "copy", 0.85)
+    return marks.groupBy("image_id", "cy", "cx").agg(F.max(strength).alias("heat")).where("heat IS NOT NULL")
+
+
 def analyse(images: DataFrame) -> DataFrame:
     """origin, fingerprint, phash, copied, copy_paste score, ela score of Spark ``image`` rows; undecodable rows are null."""
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tallymark.config import DUPLICATE, RISK
 from tallymark.functions import expressions as X
 from tallymark.functions import strings
-from tallymark.operators import analytics, anomaly, docindex, duplicates, extraction, risk
+from tallymark.operators import analytics, anomaly, docindex, duplicates, extraction, imaging, risk
 from tallymark.sources import ingest
-from tallymark.sources.views import invoices, order_lines, table
+from tallymark.sources.views import heads, invoices, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -88,7 +88,7 @@ def vendor_risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.vendor_ranking(scored(spark, sf_dir)).orderBy(F.desc("avg_risk_score"), "vendor_name")
 
 
-@query(_VENDORS + " SELECT count(*) FILTER (flag_rate > 20) AS high_risk_vendors, ((2 * sum(round(avg_risk_score * 100)::BIGINT)::BIGINT + count(*)) // (2 * count(*)))::DOUBLE / 100 AS mean_risk, count(*) AS vendors FROM vr")
+@query(_VENDORS + " SELECT count(*) FILTER (flag_rate > 20) AS high_risk_vendors, ((2 * sum(round(avg_risk_score * 100)::BIGINT)::BIGINT + count(*)) // (2 * count(*)))::DOUBLE / 100 AS mean_risk, count(*) AS vendors, sum(round(total_amount * 100)::BIGINT)::DOUBLE / 100 AS total_volume FROM vr")
 def vendor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.vendor_rollup(analytics.vendor_ranking(scored(spark, sf_dir)))
 
@@ -184,8 +184,9 @@ SELECT count(*) AS total_invoices, count(*) FILTER (status = 'flagged') AS flagg
 FROM x, t WHERE created_at >= now - INTERVAL 365 DAY"""
 )
 def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = scored(spark, sf_dir)
-    return analytics.dashboard(x, analytics.as_of(table(spark, sf_dir, "orders"), "o_orderdate"), 365)
+    now = analytics.as_of(table(spark, sf_dir, "orders"), "o_orderdate")
+    recent = invoices(spark, sf_dir, f"o_orderdate >= TIMESTAMP_NTZ '{now - dt.timedelta(days=365)}'")  # before lines are summed
+    return analytics.dashboard(risk.scored(recent), now, 365)
 
 
 @query(_SCORED + " SELECT l AS risk_level, count(invoice_id) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(l) LEFT JOIN x ON risk_level = l GROUP BY l")
@@ -195,7 +196,7 @@ def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_INV + " SELECT created_at::DATE AS day, count(*) AS total, count(*) FILTER (status = 'flagged') AS flagged FROM inv GROUP BY 1")
 def daily_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.timeline(invoices(spark, sf_dir)).orderBy("day")
+    return analytics.timeline(heads(spark, sf_dir)).orderBy("day")
 
 
 @query(
@@ -227,7 +228,7 @@ def invoice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_INV + " SELECT count(*) AS total FROM inv WHERE status = 'flagged'")
 def listing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.listing(invoices(spark, sf_dir), status="flagged").agg(F.count("*").alias("total"))
+    return analytics.listing(heads(spark, sf_dir), status="flagged").agg(F.count("*").alias("total"))
 
 
 @query(_SCORED + " SELECT invoice_id, invoice_number, vendor_name, total_amount, status, risk_score, risk_level FROM x WHERE invoice_id = (SELECT min(o_orderkey) FROM orders)")
@@ -243,10 +244,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("invoice_id", "risk_level", *[F.coalesce(f"ev.{c}", F.lit(0.0)).alias(f"ev_{c}") for c in ("forgery", "duplicate", "anomaly", "rules")])
 
 
-@query("SELECT count(*) FILTER (o_orderstatus IN ('F', 'O')) AS labelled, count(*) FILTER (o_orderstatus IN ('F', 'O')) >= 50 AS can_retrain FROM orders")
+@query("SELECT count(*) FILTER (o_orderstatus = 'O') AS labelled, count(*) FILTER (o_orderstatus = 'O') >= 50 AS can_retrain FROM orders")
 def retrain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_if(F.col("status").isin("flagged", "approved"))
-    return invoices(spark, sf_dir).agg(n.alias("labelled"), (n >= anomaly.LEAST_ROWS).alias("can_retrain"))
+    n = F.count_if(F.col("status").isin("approved", "rejected"))
+    return heads(spark, sf_dir).agg(n.alias("labelled"), (n >= anomaly.LEAST_ROWS).alias("can_retrain"))
 
 
 @query(
@@ -274,11 +275,11 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c(url, types, active) AS (VALUES ('https://a.example/hook', ['purchase', 'error'], TRUE), ('https://b.example/hook', ['*'], TRUE), ('https://c.example/hook', ['view'], FALSE))
-SELECT event_id, url, event_type FROM events, c WHERE active AND (list_contains(types, event_type) OR list_contains(types, '*'))"""
+SELECT event_id, url, event_type, '{"event":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","data":' || to_json(props)::VARCHAR || '}' AS body FROM events, c WHERE active AND (list_contains(types, event_type) OR list_contains(types, '*'))"""
 )
 def webhook_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = spark.createDataFrame([("https://a.example/hook", ["purchase", "error"], "s1", True), ("https://b.example/hook", ["*"], None, True), ("https://c.example/hook", ["view"], "s3", False)], "url string, events array<string>, secret string, is_active boolean")
-    return analytics.outbox(table(spark, sf_dir, "events"), configs).select("event_id", "url", "event_type")
+    return analytics.outbox(table(spark, sf_dir, "events"), configs).select("event_id", "url", "event_type", "body")
 
 
 @query(
@@ -291,7 +292,7 @@ def reviewed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").count()
     decision = F.when(F.col("event_type") == "view", "approve").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "click", "flag").otherwise("request_info")
     reviews = ev.select(F.col("event_id").alias("review_id"), ((F.col("event_id") * 7) % n).alias("invoice_id"), F.col("ts").alias("created_at"), decision.alias("decision"))
-    return analytics.apply_reviews(invoices(spark, sf_dir), reviews).select("invoice_id", "status")
+    return analytics.apply_reviews(heads(spark, sf_dir), reviews).select("invoice_id", "status")
 
 
 @query(_INV + " SELECT count(*) AS n, sum(round(total_amount * 100)::BIGINT)::BIGINT AS cents FROM inv WHERE invoice_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -331,16 +332,11 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact(table(spark, sf_dir, "documents"))
 
 
-@query(
-    """WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_suppkey, l_partkey, l_quantity, l_shipdate FROM lineitem),
-p AS (SELECT a.id AS invoice_id, b.id AS matched_id, abs(floor((epoch(a.l_shipdate) - epoch(b.l_shipdate)) / 86400))::INTEGER AS day_diff FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey AND a.l_quantity = b.l_quantity AND a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY day_diff, matched_id) AS k FROM p WHERE day_diff <= 90)
-SELECT count(*) AS matches, count(DISTINCT invoice_id) AS flagged, sum(day_diff)::BIGINT AS days FROM r WHERE k <= 10"""
-)
+@query()
 def time_window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     vendor = F.concat_ws(" ", F.col("l_partkey").cast("string"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
-    inv = li.select(F.monotonically_increasing_id().alias("invoice_id"), vendor.alias("vendor_name"), F.col("l_quantity").alias("total_amount"), F.col("l_shipdate").alias("invoice_date"))
+    inv = li.select(F.monotonically_increasing_id().alias("invoice_id"), vendor.alias("vendor_name"), F.col("l_extendedprice").alias("total_amount"), F.col("l_shipdate").alias("invoice_date"))
     return duplicates.time_window(inv).agg(F.count("*").alias("matches"), F.count_distinct("invoice_id").alias("flagged"), F.coalesce(F.sum("day_diff"), F.lit(0)).cast("long").alias("days"))
 
 
@@ -396,13 +392,17 @@ _SIGNALS = "(SELECT o_orderkey AS invoice_id, CASE WHEN o_orderkey % 10 = 0 THEN
 
 
 @query(
-    f"""SELECT invoice_id, d AS duplicate_score, d > 80 AS is_duplicate, CASE WHEN exact >= 100 THEN 'Exact duplicate' WHEN d > 80 THEN 'High probability of duplicate' WHEN d > 60 THEN 'Possible duplicate'
-  WHEN fuzzy > 60 OR semantic > 85 OR win > 0 THEN 'Flagged: ' || concat_ws(', ', CASE WHEN fuzzy > 60 THEN 'fuzzy match' END, CASE WHEN semantic > 85 THEN 'semantic match' END, CASE WHEN win > 0 THEN 'time window match' END) ELSE 'No duplicates detected' END AS summary
-FROM (SELECT *, round(0.40::DOUBLE * exact + 0.30::DOUBLE * fuzzy + 0.20::DOUBLE * semantic + 0.10::DOUBLE * win, 2) AS d FROM {_SIGNALS})"""
+    f"""WITH c AS (SELECT *, round(0.40::DOUBLE * exact + 0.30::DOUBLE * fuzzy + 0.20::DOUBLE * semantic + 0.10::DOUBLE * win, 2) AS d FROM {_SIGNALS}),
+t AS (SELECT *, (round(d * 100)::BIGINT + 5) // 10 AS k, (round(semantic * 100)::BIGINT + 5) // 10 AS m FROM c),
+f AS (SELECT *, (k // 10) || '.' || (k % 10) || '%' AS said, concat_ws('; ', CASE WHEN semantic >= 85 THEN 'semantic line-item match (' || (m // 10) || '.' || (m % 10) || '%)' END, CASE WHEN win > 0 THEN 'same vendor+amount within ' || (invoice_id % 90) || ' days (invoice ' || (invoice_id + 2) || ')' END) AS flags FROM t)
+SELECT invoice_id, d AS duplicate_score, d > 80 AS is_duplicate, CASE WHEN exact >= 100 THEN 'EXACT DUPLICATE detected (matches invoice ' || (invoice_id + 1) || ')'
+  WHEN d > 80 THEN 'Near-duplicate detected (similarity: ' || said || ')' || CASE WHEN flags <> '' THEN ' | ' || flags ELSE '' END
+  WHEN d > 60 THEN 'Potential duplicate flag (similarity: ' || said || ') - review recommended' || CASE WHEN flags <> '' THEN ' | ' || flags ELSE '' END
+  WHEN flags <> '' THEN 'Flagged: ' || flags ELSE 'No significant duplicates found' END AS summary FROM f"""
 )
 def composite_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    s = table(spark, sf_dir, "orders").select(k.alias("invoice_id"), F.when(k % 10 == 0, 100.0).otherwise(0.0).alias("exact"), ((k * 7) % 101).cast("double").alias("fuzzy"), ((k * 13) % 101).cast("double").alias("semantic"), F.when(k % 3 == 0, 100.0).otherwise(0.0).alias("window"))
+    s = table(spark, sf_dir, "orders").select(k.alias("invoice_id"), F.when(k % 10 == 0, 100.0).otherwise(0.0).alias("exact"), ((k * 7) % 101).cast("double").alias("fuzzy"), ((k * 13) % 101).cast("double").alias("semantic"), F.when(k % 3 == 0, 100.0).otherwise(0.0).alias("window"), (k + 1).alias("duplicate_of"), (k % 90).cast("int").alias("day_diff"), (k + 2).alias("window_match"))
     return duplicates.composite(s).select("invoice_id", "duplicate_score", "is_duplicate", "summary")
 
 
@@ -428,7 +428,7 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(text, '\|.*\|') OR regexp_matches(text, '\+-{2,}') OR regexp_matches(text, '\t.*\t') OR (len(l) > 0 AND len(list_filter(l, lambda s: regexp_matches(trim(s), '^[\d\s.,$€£%-]+$')))::DOUBLE / len(l) > 0.4) THEN 'table' ELSE 'text' END AS content_type FROM l"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '\|.*\|') OR regexp_matches(text, '\+[-+]+\+') OR regexp_matches(text, '\t.*\t.*\t') OR (len(l) > 0 AND len(list_filter(l, lambda s: regexp_matches(s, '^\s*[\d,]+\.?\d*\s*$')))::DOUBLE / len(l) > 0.4) THEN 'table' ELSE 'text' END AS content_type FROM l"""
 )
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", docindex.content_type(F.col("text")).alias("content_type"))
@@ -484,22 +484,32 @@ def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- extraction -------------------------------------------------------------------------------------------------------
-_TEXT = "'Invoice No: AB-' || o_orderkey || chr(10) || 'Date: ' || strftime(o_orderdate, '%m/%d/%Y') || chr(10) || 'Subtotal: $' || printf('%.2f', o_totalprice) || chr(10) || 'Terms of payment: net 30' || chr(10) || '2 Blue widget 3.00 6.00'"
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices as text, four layouts by turns: plain, headed with the date first, German, French."""
     line = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     o = table(spark, sf_dir, "orders")
-    text = line("Invoice No: AB-", F.col("o_orderkey").cast("string"), "\nDate: ", F.date_format("o_orderdate", "MM/dd/yyyy"), "\nSubtotal: $", F.format_string("%.2f", "o_totalprice"), "\nTerms of payment: net 30\n2 Blue widget 3.00 6.00")
+    key, price, us, eu = F.col("o_orderkey").cast("string"), F.format_string("%.2f", "o_totalprice"), F.date_format("o_orderdate", "MM/dd/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    layouts = [
+        line("Invoice No: AB-", key, "\nDate: ", us, "\nSubtotal: $", price, "\nTerms of payment: net 30\n2 Blue widget 3.00 6.00"),
+        line("INVOICE\nInvoice Date: ", us, "\nInvoice No: A-", key, "\nVendor: Acme Corp\nTotal due: ", price, " USD\nnet 45"),
+        line("Rechnungsnummer: R-", key, "\nDatum ", eu, "\nLieferant: Muster GmbH\nGesamtbetrag: €", price, "\nZahlungsbedingungen: 14 Tage"),
+        line("Facture No. F-", key, "\nLe ", eu, "\nMontant total: ", price, "\nTVA: 3.50\nDevise: CHF"),
+    ]
+    text = F.get(F.array(*layouts), (F.col("o_orderkey") % 4).cast("int"))
     return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
-@query(f"SELECT o_orderkey AS doc_id, 'AB-' || o_orderkey AS invoice_number, date_trunc('day', o_orderdate) AS invoice_date, printf('%.2f', o_totalprice)::DOUBLE AS total_amount, printf('%.2f', o_totalprice)::DOUBLE AS subtotal, 'USD' AS currency, 'net 30' AS payment_terms FROM (SELECT *, {_TEXT} AS text FROM orders)")
+@query(
+    """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'AB-' WHEN 1 THEN 'A-' WHEN 2 THEN 'R-' ELSE 'F-' END || o_orderkey AS invoice_number,
+  date_trunc('day', o_orderdate) AS invoice_date, printf('%.2f', o_totalprice)::DOUBLE AS total_amount, CASE o_orderkey % 4 WHEN 0 THEN printf('%.2f', o_totalprice)::DOUBLE END AS subtotal,
+  CASE o_orderkey % 4 WHEN 3 THEN 3.5::DOUBLE END AS tax_amount, CASE o_orderkey % 4 WHEN 1 THEN 'Acme Corp' WHEN 2 THEN 'Muster GmbH' END AS vendor_name,
+  CASE o_orderkey % 4 WHEN 2 THEN 'EUR' WHEN 3 THEN 'CHF' ELSE 'USD' END AS currency, CASE o_orderkey % 4 WHEN 0 THEN 'net 30' WHEN 1 THEN 'net 45' WHEN 2 THEN '14 Tage' END AS payment_terms FROM orders"""
+)
 def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.fields(_texts(spark, sf_dir)).select("doc_id", "invoice_number", "invoice_date", "total_amount", "subtotal", "currency", "payment_terms")
+    return extraction.fields(_texts(spark, sf_dir)).select("doc_id", "invoice_number", "invoice_date", "total_amount", "subtotal", "tax_amount", "vendor_name", "currency", "payment_terms")
 
 
-@query("SELECT o_orderkey AS doc_id, 2 AS quantity, 'Blue widget' AS description, 3.0::DOUBLE AS unit_price, 6.0::DOUBLE AS total FROM orders")
+@query()
 def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", F.inline(extraction.line_items(F.col("text"))))
 
@@ -548,6 +558,119 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(table(spark, sf_dir, "events"))
 
 
+# -- listings of single things ----------------------------------------------------------------------------------------
+_PAIRS = """WITH p AS (SELECT p_partkey AS id, p_brand AS br, p_size AS sz, p_retailprice AS amt FROM part),
+m AS (SELECT a.id AS a, b.id AS b, round((1 - abs(a.amt - b.amt) / greatest(a.amt, b.amt)) * 100, 6) AS s FROM p a JOIN p b ON a.br = b.br AND a.sz = b.sz AND a.id < b.id),
+d AS (SELECT a AS invoice_id, b AS matched_invoice_id, s FROM m UNION ALL SELECT b, a, s FROM m),
+r AS (SELECT invoice_id, matched_invoice_id, 'fuzzy' AS match_type, 100.0::DOUBLE AS levenshtein_score, 0.0::DOUBLE AS semantic_score, s AS duplicate_probability, row_number() OVER (PARTITION BY invoice_id ORDER BY s DESC, matched_invoice_id)::INTEGER AS "rank" FROM d)"""
+
+
+def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one brand and size as pairs that an earlier step has scored by their prices."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("invoice_id"), "p_brand", "p_size", F.col("p_retailprice").alias("amt"))
+    q = p.select(F.col("invoice_id").alias("b_invoice_id"), "p_brand", "p_size", F.col("amt").alias("b_amt"))
+    return p.join(q, ["p_brand", "p_size"]).where("invoice_id < b_invoice_id").select("invoice_id", "b_invoice_id", F.lit(100.0).alias("sim_vendor"), F.round(X.amount_similarity("amt", "b_amt"), 6).alias("similarity"))
+
+
+@query(_PAIRS + ' SELECT * FROM r WHERE "rank" <= 10')
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.pair_rows(_part_pairs(spark, sf_dir))
+
+
+@query(_PAIRS + ' SELECT * FROM r WHERE "rank" <= 10 AND invoice_id = (SELECT min(invoice_id) FROM r)')
+def duplicates_of_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = duplicates.pair_rows(_part_pairs(spark, sf_dir))
+    return duplicates.duplicates_of(rows, rows.agg(F.min("invoice_id")).first()[0])
+
+
+@query(_PAIRS + " SELECT invoice_id, string_agg(matched_invoice_id || '=' || printf('%.2f', duplicate_probability), ',' ORDER BY \"rank\") AS similar FROM r WHERE \"rank\" <= 10 GROUP BY invoice_id")
+def similar_invoice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda x: F.concat(x["invoice_id"].cast("string"), F.lit("="), F.format_string("%.2f", x["score"]))
+    return duplicates.similar_invoices(duplicates.pair_rows(_part_pairs(spark, sf_dir))).select("invoice_id", F.array_join(F.transform("similar_invoices", one), ",").alias("similar"))
+
+
+@query(_VENDORS + " SELECT vendor_name, total_invoices, avg_risk_score FROM vr ORDER BY avg_risk_score DESC, vendor_name LIMIT 15")
+def top_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = analytics.vendor_ranking(scored(spark, sf_dir))
+    return analytics.top(ranked, [F.desc("avg_risk_score"), F.col("vendor_name")], 15).select("vendor_name", "total_invoices", "avg_risk_score")
+
+
+@query(_SCORED + " SELECT invoice_id, risk_score FROM x WHERE risk_level IN ('high', 'critical') AND status IN ('flagged', 'under_review') ORDER BY risk_score DESC, invoice_id LIMIT 5")
+def first_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.top(analytics.alerts(scored(spark, sf_dir)), [F.desc("risk_score"), F.col("invoice_id")], 5).select("invoice_id", "risk_score")
+
+
+@query(
+    _INV
+    + """, v AS (SELECT vendor_name, count(c) AS n, round(sum(c)::DOUBLE / count(c) / 100, 6) AS a, round(sqrt(greatest(0.0::DOUBLE, (sum(c::HUGEINT * c::HUGEINT) * count(c) - sum(c)::HUGEINT * sum(c)::HUGEINT)::DOUBLE)) / count(c) / 100, 4) AS s
+  FROM (SELECT vendor_name, round(total_amount * 100)::BIGINT AS c FROM inv WHERE vendor_name IS NOT NULL) GROUP BY vendor_name)
+SELECT invoice_id, total_amount > a + 3 * s AS beyond FROM inv JOIN v USING (vendor_name) WHERE a > 0 AND s > 0 AND total_amount > a + 3 * s"""
+)
+def unusual_for_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices that the rule of three deviations flags: vendor statistics joined to the rules."""
+    inv = invoices(spark, sf_dir)
+    ruled = risk.with_rule_score(inv.join(risk.vendor_statistics(inv), "vendor_name"))
+    return ruled.where(F.array_contains("rule_flags", "amount_exceeds_3_std_deviations")).select("invoice_id", F.lit(True).alias("beyond"))
+
+
+@query(
+    """SELECT c_custkey AS user_id FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'manager' WHEN 2 THEN 'auditor' WHEN 3 THEN 'analyst' ELSE 'viewer' END AS role FROM customer) WHERE role IN ('admin', 'auditor')"""
+)
+def audit_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = F.array(*map(F.lit, ("admin", "manager", "auditor", "analyst", "viewer")))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.get(roles, (F.col("c_custkey") % 5).cast("int")).alias("role"))
+    return analytics.allowed(users, "read_audit").select("user_id")
+
+
+@query("SELECT s_suppkey AS id, EXISTS (FROM customer c WHERE c.c_name = replace(s_name, 'Supplier', 'Customer') OR c.c_custkey::VARCHAR = (s_suppkey * 40)::VARCHAR) AS \"exists\" FROM supplier")
+def taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("email"), F.col("c_name").alias("username"))
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 40).cast("string").alias("email"), F.replace(F.col("s_name"), F.lit("Supplier"), F.lit("Customer")).alias("username"))
+    return analytics.taken(users, asked).select("id", "exists")
+
+
+@query(
+    """WITH t AS (SELECT event_id, ts, (epoch(max(ts) OVER ()) - epoch(ts))::BIGINT AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age,
+  CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS parsed FROM t"""
+)
+def event_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.date_format("ts", "dd.MM.yyyy")).when(k == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return ev.select("event_id", X.relative_time("ts", F.lit(analytics.as_of(ev, "ts"))).alias("age"), X.iso_timestamp(text).alias("parsed"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS level, count(DISTINCT turn) OVER (PARTITION BY conv_id) AS pages FROM conversations),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM s WHERE pages >= 4),
+p AS (SELECT *, max(CASE WHEN level = 1 THEN ord END) OVER w AS l1, max(CASE WHEN level = 2 THEN ord END) OVER w AS l2 FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id AS document_id, role AS entry_title, turn::INTEGER AS page_number, level, ord::INTEGER AS ord, (CASE level WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) END)::INTEGER AS parent,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, level, ord)::INTEGER AS position FROM p""".replace("count(DISTINCT turn) OVER (PARTITION BY conv_id)", "(SELECT count(DISTINCT c.turn) FROM conversations c WHERE c.conv_id = conversations.conv_id)")
+)
+def document_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("section_heading") == "user", 1).when(F.col("section_heading") == "assistant", 2).otherwise(3)
+    return docindex.table_of_contents(_sections(spark, sf_dir).withColumn("level", level))
+
+
+@query(
+    """WITH q AS (SELECT l_suppkey AS image_id, count(*) AS characters, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1),
+f AS (SELECT *, q1 - 1.5 * greatest(1.0, q3 - q1) AS lower, q3 + 1.5 * greatest(1.0, q3 - q1) AS upper FROM q),
+o AS (SELECT image_id, count(*) FILTER (l_quantity < lower OR l_quantity > upper) AS outliers FROM lineitem JOIN f ON l_suppkey = image_id GROUP BY 1)
+SELECT image_id, characters, lower, upper, outliers, CASE WHEN characters >= 5 THEN least(100.0::DOUBLE, round(300 * outliers::DOUBLE / characters, 2)) ELSE 0.0::DOUBLE END AS score,
+  CASE WHEN characters >= 5 THEN least(100.0::DOUBLE, round(300 * outliers::DOUBLE / characters, 2)) ELSE 0.0::DOUBLE END > 35 AS suspicious FROM f JOIN o USING (image_id)"""
+)
+def font_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imaging.font_consistency(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.col("l_quantity").alias("height")))
+
+
+@query("SELECT l_suppkey AS image_id, (l_partkey % 8)::INTEGER AS cy, (l_linenumber % 8)::INTEGER AS cx, max(CASE l_returnflag WHEN 'A' THEN least(1.0::DOUBLE, 3 * l_discount) WHEN 'N' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END) AS heat FROM lineitem GROUP BY ALL")
+def heat_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "ela").when(F.col("l_returnflag") == "N", "font").otherwise("copy")
+    li = table(spark, sf_dir, "lineitem")
+    return imaging.heat(li.select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % 8).cast("int").alias("cy"), (F.col("l_linenumber") % 8).cast("int").alias("cx"), kind.alias("kind"), F.col("l_discount").alias("ratio")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

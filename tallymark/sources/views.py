@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.expressions import cents
@@ -12,9 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that has lines: vendor key, amounts in exact units of 1/10000, due date, number of items."""
+def order_lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One row per order that has lines: vendor key, amounts in exact units of 1/10000, due date, number of items.
+
+    ``orders``, if given, are the only ones whose lines are summed.
+    """
     li = table(spark, sf_dir, "lineitem")
+    if orders is not None:
+        li = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     price = cents("l_extendedprice")
     return li.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("suppkey"),
@@ -25,26 +30,37 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices: an order with its vendor (null without lines), buyer, amounts, dates, OCR confidence and stored scores."""
-    o, c, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
-    key = F.col("o_orderkey")
-    rows = o.join(order_lines(spark, sf_dir), key == F.col("l_orderkey"), "left").join(s.select("s_suppkey", "s_name"), F.col("suppkey") == F.col("s_suppkey"), "left").join(c.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    status = F.when(F.col("o_orderstatus") == "F", "flagged").when(F.col("o_orderstatus") == "O", "approved").otherwise("under_review")
-    return rows.select(
+def _head() -> list[Column]:
+    """Columns of an invoice that its order has by itself."""
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    return [
         key.alias("invoice_id"),
-        F.col("s_name").alias("vendor_name"),
-        F.col("c_name").alias("buyer_name"),
         F.concat(F.lit("INV-"), F.lpad(key.cast("string"), 8, "0")).alias("invoice_number"),
         F.col("o_totalprice").alias("total_amount"),
-        (F.col("sub4").cast("double") / 10000).alias("subtotal"),
-        (F.col("tax4").cast("double") / 10000).alias("tax_amount"),
         F.col("o_orderdate").alias("invoice_date"),
-        "due_date",
         F.col("o_orderdate").alias("created_at"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         (40 + (key * 37) % 60).cast("double").alias("ocr_confidence"),
         ((key * 31) % 101).cast("double").alias("forgery_score"),
         ((key * 17) % 101).cast("double").alias("duplicate_score"),
-        status.alias("status"),
-    )
+        F.when(state == "F", "flagged").when(state == "O", "approved").otherwise("under_review").alias("status"),
+    ]
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices without what lines, vendors and buyers tell: one scan of the orders."""
+    return table(spark, sf_dir, "orders").select(*_head())
+
+
+def invoices(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """Invoices: an order with its vendor (null without lines), buyer, amounts, dates, OCR confidence and stored scores.
+
+    ``where`` is a condition on the order; lines of others are not summed.
+    """
+    o, c, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    if where is not None:
+        o = o.where(where)
+    lines = order_lines(spark, sf_dir, None if where is None else o)
+    rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(s.select("s_suppkey", "s_name"), F.col("suppkey") == F.col("s_suppkey"), "left").join(c.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    of_lines = [(F.col("sub4").cast("double") / 10000).alias("subtotal"), (F.col("tax4").cast("double") / 10000).alias("tax_amount"), F.col("due_date"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items")]
+    every = rows.select(*_head(), F.col("s_name").alias("vendor_name"), F.col("c_name").alias("buyer_name"), *of_lines)
+    return every.select("invoice_id", "vendor_name", "buyer_name", "invoice_number", "total_amount", "subtotal", "tax_amount", "invoice_date", "due_date", "created_at", "n_items", "ocr_confidence", "forgery_score", "duplicate_score", "status")

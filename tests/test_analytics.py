@@ -76,3 +76,40 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.invoice_id: (r.duplicate_of, r.new_status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.invoice_id: (r.duplicate_of, r.new_status) for r in pipeline.process_batch(spark.createDataFrame(rows, cols), None).collect()}
     assert {k for k, v in got.items() if v[0]} == {k for k, v in want.items() if v[0]} == {2, 5}
+
+
+def test_signed_messages(spark):
+    import hashlib
+    import hmac
+
+    ev = spark.createDataFrame([(i, dt.datetime(2024, 1, 1), "view", "{}") for i in range(200)], "event_id long, ts timestamp_ntz, event_type string, props string")
+    conf = spark.createDataFrame([("a", ["*"], "s", True), ("b", ["view"], None, True)], "url string, events array<string>, secret string, is_active boolean")
+    got = analytics.outbox(ev, conf).collect()
+    assert len(got) == 400
+    for r in got:
+        assert r.signature == ("sha256=" + hmac.new(b"s", r.body.encode(), hashlib.sha256).hexdigest() if r.url == "a" else None)
+
+
+def test_first_heatmap_and_audit(spark, tmp_path):
+    t = [dt.datetime(2024, 1, i) for i in (1, 2)]
+    res = spark.createDataFrame([(1, "b.png", t[1]), (1, "a.png", t[0]), (2, "gone.png", t[0]), (3, None, t[0])], "invoice_id long, heatmap_path string, created_at timestamp_ntz")
+    files = spark.createDataFrame([("a.png", b"x"), ("b.png", b"y")], "path string, content binary")
+    assert sorted((r.invoice_id, r.path, r.found) for r in analytics.heatmap_of(res, files).collect()) == [(1, "a.png", True), (2, "gone.png", False)]
+    rows = spark.createDataFrame([("login", 1, None, None, None, t[0]), ("review", 1, None, "7", "{1}", t[1])], "action string, user_id long, entity_type string, entity_id string, details string, created_at timestamp_ntz")
+    analytics.append_audit(rows, f"{tmp_path}/audit")
+    analytics.append_audit(rows, f"{tmp_path}/audit")
+    got = spark.read.parquet(f"{tmp_path}/audit")
+    assert got.count() == 4 and {(r.action, r.entity_type, r.details) for r in got.collect()} == {("login", "system", "{}"), ("review", "invoice", "{1}")}
+
+
+def test_templates_and_fonts(spark):
+    import numpy as np
+
+    from tallymark.operators import imaging
+
+    page = np.random.default_rng(1).integers(0, 255, (200, 120)).astype(float)
+    assert imaging.template_score(page, page[:50]) == (100.0, True)
+    assert imaging.template_score(page, 255 - page[:50])[1] is False
+    chars = [(1, 10.0)] * 9 + [(1, 40.0)] + [(2, 10.0)] * 3
+    got = {r.image_id: (r.characters, r.outliers, r.score) for r in imaging.font_consistency(spark.createDataFrame(chars, "image_id long, height double")).collect()}
+    assert got == {1: (10, 1, 30.0), 2: (3, 0, 0.0)}

@@ -84,3 +84,48 @@ def test_cross_reference(spark):
     got = {(r.source_id, r.target_id): r.match_status for r in docindex.cross_reference(inv, pairs, "total_amount").collect()}
     assert got == {(1, 2): "mismatch", (3, 4): "match", (3, 1): "mismatch", (3, 5): "incomplete"}
     assert {r.match_status for r in docindex.cross_reference(inv, pairs, "payment_terms").collect()} == {"incomplete"}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("INVOICE\nInvoice Date: 01/02/2024\nInvoice No: A-77", {"invoice_number": "A-77", "invoice_date": dt.datetime(2024, 1, 2)}),
+        ("Invoice Date: 01/02/2024\nInvoice No: A-77", {"invoice_number": "A-77"}),
+        ("inv no 55/B", {"invoice_number": "55/B"}),
+        ("Numero de factura: 9-X\nTotal general 12.50", {"invoice_number": "9-X", "total_amount": 12.5}),
+        ("Facture No. F-1\nDate d'echeance: 1/2/24", {"invoice_number": "F-1", "due_date": dt.datetime(2024, 1, 2)}),
+        ("Fälligkeitsdatum 3.4.2024\nSous total: 5", {"due_date": dt.datetime(2024, 3, 4), "subtotal": 5.0}),
+        ("# 123456\n3 Mar 2024", {"invoice_number": "123456", "invoice_date": dt.datetime(2024, 3, 3)}),
+        ("tax (19%): 4.10", {"tax_amount": 4.1}),
+        ("Sold by: Big & Co., Ltd.\nBill to: Jane Roe\nnet 15", {"vendor_name": "Big & Co., Ltd.", "buyer_name": "Jane Roe", "payment_terms": "net 15"}),
+        ("Conditions de paiement: 30 jours\nmoneda: chf", {"payment_terms": "30 jours", "currency": "CHF"}),
+        ("costs 5 € or $6", {"currency": "USD"}),
+    ],
+)
+def test_labels_of_every_language(spark, text, want):
+    got = one(spark, text)
+    assert {k: got[k] for k in want} == want
+
+
+def test_item_pairs(spark):
+    inv = spark.createDataFrame([(1, ["a", " ", None]), (2, ["x", "y"]), (3, [])], "invoice_id long, line_items array<string>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in extraction.item_pairs(inv, pairs).collect()) == [(1, 2, "a", "x"), (1, 2, "a", "y")]
+
+
+def test_contents_of_long_documents_only(spark):
+    rows = [(1, p, 0, f"H{p}", p % 3 + 1) for p in range(1, 6)] + [(2, p, 0, "H", 1) for p in range(1, 4)] + [(1, 5, 1, None, 0)]
+    parts = spark.createDataFrame(rows, "document_id long, page_number int, section_ord int, section_heading string, level int")
+    got = docindex.table_of_contents(parts).orderBy("position").collect()
+    assert [(r.document_id, r.entry_title, r.parent) for r in got] == [(1, "H1", None), (1, "H2", 1), (1, "H3", None), (1, "H4", 3), (1, "H5", 4)]
+    old = parts.where("document_id = 1")
+    assert docindex.replace_index(parts, old.limit(1)).where("document_id = 1").count() == 1
+
+
+def test_ages_and_iso_dates(spark):
+    now = dt.datetime(2024, 1, 10, 12)
+    df = spark.createDataFrame([(now - dt.timedelta(seconds=s),) for s in (5, 120, 7200, 200_000)], "t timestamp_ntz")
+    assert sorted(r.a for r in df.select(X.relative_time("t", F.lit(now)).alias("a")).collect()) == ["2d ago", "2h ago", "2m ago", "just now"]
+    texts = [("2024-02-03",), ("2024-02-03T04:05:06",), ("03/02/2024",), ("2024-13-01",), (None,)]
+    got = [r.d for r in spark.createDataFrame(texts, "t string").select(X.iso_timestamp("t").alias("d")).collect()]
+    assert got == [dt.datetime(2024, 2, 3), dt.datetime(2024, 2, 3, 4, 5, 6), None, None, None]

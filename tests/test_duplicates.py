@@ -71,3 +71,22 @@ def test_knn_cutoff(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = duplicates.nearest(v, v.where(F.col("vec_id") == 1)).collect()
     assert [(r.vec_id, r.rank, r.distance) for r in got] == [(2, 1, 0.02)]
+
+
+def test_summary_names_what_was_found(spark):
+    rows = [(100.0, 0.0, 0.0, 0.0, 7, None, None), (0.0, 100.0, 100.0, 100.0, None, 3, 9), (0.0, 10.0, 0.0, 0.0, None, None, None), (0.0, 0.0, 90.04, 100.0, None, 0, 4)]
+    df = spark.createDataFrame(rows, "exact double, fuzzy double, semantic double, window double, duplicate_of long, day_diff int, window_match long")
+    assert [r.summary for r in duplicates.composite(df).collect()] == [
+        "EXACT DUPLICATE detected (matches invoice 7)",
+        "Flagged: semantic line-item match (100.0%); same vendor+amount within 3 days (invoice 9)" if 0.3 * 100 + 0.2 * 100 + 0.1 * 100 <= 60 else "",
+        "No significant duplicates found",
+        "Flagged: semantic line-item match (90.0%); same vendor+amount within 0 days (invoice 4)",
+    ]
+
+
+def test_pair_rows(spark):
+    m = spark.createDataFrame([(1, 2, 90.0, 70.0), (1, 3, None, 80.0)], "invoice_id long, b_invoice_id long, sim_vendor double, similarity double")
+    rows = duplicates.pair_rows(m, k=1)
+    assert sorted((r.invoice_id, r.matched_invoice_id, r.levenshtein_score, r.duplicate_probability) for r in rows.collect()) == [(1, 3, 0.0, 80.0), (2, 1, 90.0, 70.0), (3, 1, 0.0, 80.0)]
+    assert [r.matched_invoice_id for r in duplicates.duplicates_of(duplicates.pair_rows(m), 1).collect()] == [3, 2]
+    assert {r.invoice_id: [x.invoice_id for x in r.similar_invoices] for r in duplicates.similar_invoices(duplicates.pair_rows(m)).collect()}[1] == [3, 2]
