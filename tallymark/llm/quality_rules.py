@@ -70,10 +70,10 @@ def thresholds(measured: DataFrame) -> DataFrame:
     sketch = [F.percentile_approx(v, list(QUANTILES), ACCURACY).alias(c) for c, v in values.items()]
     fine = measured.where(~F.col("base_failed"))
     every = fine.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketch)
-    mine, of_lang, of_all = (every.where(F.col("level") == k).drop("level") for k in (0, 1, 3))
-    of_lang = of_lang.select(F.col("lang").alias("l_lang"), *[F.col(c).alias(f"l_{c}") for c in ("n", *values)])
-    of_all = of_all.select(*[F.col(c).alias(f"a_{c}") for c in ("n", *values)])
-    both = mine.join(F.broadcast(of_lang), mine["lang"].eqNullSafe(of_lang["l_lang"])).join(F.broadcast(of_all))  # a row a language; one row
+    mine, of_lang, of_all = (every.where(F.col("level") == k) for k in (0, 1, 3))  # a row a group, a row a language, one row
+    of_lang = of_lang.select(F.col("lang").alias("l_lang"), (F.col("level") + 2).alias("up"), *[F.col(c).alias(f"l_{c}") for c in ("n", *values)])
+    of_all = of_all.select(F.col("level").alias("top"), *[F.col(c).alias(f"a_{c}") for c in ("n", *values)])
+    both = mine.join(of_lang, mine["lang"].eqNullSafe(of_lang["l_lang"])).join(of_all, F.col("up") == F.col("top"))
     lean = lambda n, x, up: (n * x + PARENT_ROWS * up) / (n + PARENT_ROWS)
     low, high = ((lambda c, k=k: lean(F.col("n"), F.get(F.col(c), F.lit(k)), lean(F.col("l_n"), F.get(F.col(f"l_{c}"), F.lit(k)), F.get(F.col(f"a_{c}"), F.lit(k))))) for k in (0, 1))
     upper, lower = (lambda c: high(c) + FENCE * (high(c) - low(c))), (lambda c: low(c) - FENCE * (high(c) - low(c)))
