@@ -7,6 +7,26 @@ from tests.llm import brute
 from tests.llm.test_operators import labelled
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null texts and ids, a repeated row, an empty table, a column that operators use themselves."""
+    rows, labels = labelled(13, 60)
+    rows += [(2000, None), (None, "no id at all"), (None, None), (2001, ""), rows[0]]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, h string")
+    sf = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    now, empty = docs, docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, sf).write.parquet(f"{sf}/{name}")
+        now = spark.read.parquet(f"{sf}/{name}")
+        none = stage(spark, empty, sf)
+        assert none.count() == 0
+        if name != "packing":
+            assert now.columns == none.columns == docs.columns
+            kept = [(r.doc_id, r.text) for r in now.collect()]
+            assert (2000, None) in kept and (None, None) in kept and sum(i is None for i, _ in kept) == 2
+    assert sum(r.doc_id is None for r in now.collect()) == 2
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(8)
     rows, labels = labelled(11, 200)
