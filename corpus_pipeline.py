@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of ``documents``; the last
 returns the packed pieces.  Between stages the rows are written to the shared folder and read again.
+
+Every stage takes nulls in any column: a null text is clean, alone, unchanged and packed as the separator; rows without
+doc_id are kept; rows that repeat a doc_id and a text stay or go together; an empty table gives an empty table.  Extra
+columns pass through unchanged, whatever their names.  Bytes that are no UTF-8 read as U+FFFD from the first stage on.
 """
 
 from __future__ import annotations
