@@ -2,9 +2,9 @@
 
 Queries and rows are dealt into groups, every block of queries with every part of the rows.  In a group, rows come in
 blocks in which every dimension is a sorted list.  A query reads the lists in step and in order, from the upper end
-where its weight is positive and from the lower end where it is negative.  What it has read adds up to a part of each
-row's score; what it has not is bounded by the list's last value read (above) and its far end (below).  Rows whose upper
-bound is under the k-th lower bound leave for good.  Reading stops when few rows are left; these scores are completed.
+where its weight is positive and from the lower end where it is negative.  A row's lower bound, which takes unread
+entries at the far end of their lists, is kept and raised by what is read; its upper bound takes them at the last value
+read.  Rows whose upper bound is under the k-th lower bound leave for good.  Reading stops when few rows are left; these scores are completed.
 The k-th best score is carried from block to block.
 """
 
@@ -24,6 +24,8 @@ QUERY_BLOCK, ROW_PART = 4096, 1 << 18
 #: Entries of each list that are read before the bounds are looked at first; twice as many before the next time.
 FIRST_DEPTH = 64
 ROW_BLOCK = 4096
+#: Queries that advance together; their bounds for a block of rows take 4 MB a matrix.
+TOGETHER = 128
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -61,35 +63,46 @@ class _Best:
 
 
 def scan_block(best: _Best, ids: np.ndarray, x: np.ndarray) -> int:
-    """Run NRA for all queries over one block; returns the greatest depth to which a query has read the lists."""
-    n, k = x.shape[0], best.k
-    up = np.argsort(x, axis=0, kind="stable").astype(np.int32)  # row numbers, each list in ascending order
+    """Run NRA for all queries over one block; returns the greatest depth to which a query has read the lists.
+
+    Queries advance together, so that reading a stretch of all lists is one matrix product; each stops on its own.
+    """
+    n, k, d = x.shape[0], best.k, x.shape[1]
+    up = np.argsort(x, axis=0, kind="stable")
     place = np.empty_like(up)
-    np.put_along_axis(place, up, np.arange(n, dtype=np.int32)[:, None], 0)
+    np.put_along_axis(place, up, np.arange(n)[:, None], 0)
     lists = np.take_along_axis(x, up, 0)
-    down, back, tops = up[::-1], n - 1 - place, lists[::-1]
-    dims, deepest = np.arange(x.shape[1]), 0
-    for i, q in enumerate(best.q):
-        plus = q > 0
-        own = ids == best.ids[i]
-        rows, read, score = np.flatnonzero(~own), 0, np.zeros(n)
-        tau = best.score[i, -1]
-        while True:
+    # 2d columns: a list from its upper end, for positive weights, and from its lower end, for negative ones
+    turn_all = np.concatenate([n - 1 - place, place], 1).astype(np.int32)  # when an entry is read
+    far = np.concatenate([lists[0], lists[-1]])
+    gain_all = np.concatenate([x, x], 1) - far  # what reading it adds to the lower bound
+    deepest = 0
+    for at in range(0, len(best.ids), TOGETHER):
+        live = np.arange(at, min(at + TOGETHER, len(best.ids)))
+        weight = np.concatenate([np.maximum(best.q[live], 0), np.minimum(best.q[live], 0)], 1)
+        rows, turn, gain = np.arange(n), turn_all, gain_all
+        low = np.repeat((weight @ far)[:, None], n, 1)
+        stays = ids[None] != best.ids[live][:, None]
+        tau, read = best.score[live, -1], 0
+        while len(live):
             depth = min(n, max(FIRST_DEPTH, 2 * read))
-            entries = np.where(plus, down[read:depth], up[read:depth])
-            score += np.bincount(entries.ravel(), (x[entries, dims] * q).ravel(), n)
+            low += weight @ np.where((turn >= read) & (turn < depth), gain, 0.0).T
+            edge = np.concatenate([lists[n - depth], lists[depth - 1]]) - far
+            high = low + weight @ np.where(turn < depth, 0.0, edge).T
             read = depth
-            unread = np.where(plus, back[rows], place[rows]) >= read
-            high = score[rows] + unread @ (q * np.where(plus, tops[read - 1], lists[read - 1]))
             if len(rows) >= k:
-                low = score[rows] + unread @ (q * np.where(plus, lists[0], lists[-1]))
-                tau = max(tau, np.partition(low, len(low) - k)[len(low) - k])
-            rows = rows[high >= tau]
-            if len(rows) <= 8 * k or read == n:
-                break
+                tau = np.maximum(tau, np.partition(np.where(stays, low, -np.inf), len(rows) - k, 1)[:, len(rows) - k])
+            stays &= high >= tau[:, None]
+            done = (stays.sum(1) <= 8 * k) | (read == n)
+            for r in np.flatnonzero(done):
+                c = rows[stays[r]]
+                if len(c):
+                    best.offer(int(live[r]), x[c] @ best.q[live[r]], ids[c])
+            live, weight, low, stays, tau = live[~done], weight[~done], low[~done], stays[~done], tau[~done]
+            used = stays.any(0)
+            if 2 * used.sum() < len(rows):
+                rows, turn, gain, low, stays = rows[used], turn[used], gain[used], low[:, used], stays[:, used]
         deepest = max(deepest, read)
-        if len(rows):
-            best.offer(i, x[rows] @ q, ids[rows])
     return deepest
 
 
@@ -103,7 +116,7 @@ def _part(key: tuple, rows: pa.Table, queries: pa.Table, k: int, scale: int) ->
         for ids, x in _matrix(batch, scale):
             if (best := by_dim.get(x.shape[1])) is None or not x.shape[1]:
                 continue
-            if np.abs(x).max() * max(1.0, np.abs(best.q).max()) * x.shape[1] >= 2**53:
+            if np.abs(x).max() * max(1.0, np.abs(best.q).max()) * x.shape[1] >= 2**51:
                 raise ValueError("scaled components are too large for exact scores")
             scan_block(best, ids, x)
     out = []
@@ -120,8 +133,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
     score; ties go to the smaller vec_id; a query never finds its own id; fewer candidates give fewer rows.
     Rows with a null id or vector, or null or non-finite components, take no part, nor do empty vectors; vectors of
     another length than the query's are no candidates of it.  Repeated vec_ids among the rows are candidates each; among
-    the queries the least vector stands for the id.  Empty tables give no rows; other columns are ignored.  Scores at or
-    beyond 2^53 raise.
+    the queries the least vector stands for the id.  Empty tables give no rows; other columns are ignored.  Components
+    so large that a score could reach 2^51 raise: bounds must be exact.
     """
     spark = vectors.sparkSession
     ship_code(spark)
