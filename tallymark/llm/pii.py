@@ -33,6 +33,8 @@ SMOOTHING = 1.0
 #: Bits of the filter that tells tasks which patterns to count (8 MB); more patterns make it let more others through,
 #: which the join behind it takes out.
 FILTER_BITS = 1 << 26
+#: Patterns whose counts a task holds (16 MB) before it hands them on.
+HELD = 1 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -225,12 +227,31 @@ def _among(p: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of each pattern as one."""
+    p, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    n = np.zeros(len(p), np.int64)
+    np.add.at(n, at, np.concatenate([x for _, x in parts]))
+    return p, n
+
+
 def _count(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(p, n): how often each pattern of the filter occurs around a word, whatever the word is."""
+    """(p, n): how often each pattern of the filter occurs around a word, whatever the word is.
+
+    A task sums its counts, and hands them on when they are more than HELD patterns and at its end.
+    """
+    held, fresh, loose = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["p", "n"])
     for _, data, offsets in text_chunks(batches):
         for p in _patterns(*_words(data, offsets)[2]):
-            some, n = np.unique(p[_among(p, bits)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["p", "n"])
+            fresh.append(np.unique(p[_among(p, bits)], return_counts=True))
+            loose += len(fresh[-1][0])
+        if loose >= max(HELD // 4, len(held[0])):
+            held, fresh, loose = _summed([held, *fresh]), [], 0
+        if len(held[0]) >= HELD:
+            yield batch(held)
+            held = (held[0][:0], held[1][:0])
+    yield batch(_summed([held, *fresh]))
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
