@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.expressions import day_difference
@@ -31,12 +33,17 @@ def features(inv: DataFrame) -> DataFrame:
 
 
 def standardise(f: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Zero mean and unit population deviation; constant columns become 0.  The one-row statistics join is broadcast."""
+    """Zero mean and unit population deviation; constant columns become 0.  The statistics, one row, come back as literals."""
     stats = f.agg(*[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     value = lambda c: F.when(F.lit(stats[f"s_{c}"] or 0.0) > 0, (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).otherwise(0.0)
     return f.select("invoice_id", *[value(c).alias(c) for c in columns])
 
 
+def anomaly_points(isolation: np.ndarray) -> np.ndarray:
+    """Isolation from 0 to 1 as 0 to 100 points; 0.5 and less give none."""
+    return np.clip(50 * (2 * isolation - 1), 0, 100)
+
+
 class IsolationForest:
     """Trees on samples of up to 256 rows; a row's score falls with its mean depth."""
 
@@ -65,56 +72,104 @@ class IsolationForest:
         return f, at, self._grow(x[left], level + 1, high), self._grow(x[~left], level + 1, high)
 
     def _walk(self, node, x: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-        if not isinstance(node, tuple):
+        if not isinstance(node, (tuple, list)):
             out[rows] += node
             return
         left = x[rows, node[0]] < node[1]
         self._walk(node[2], x, rows[left], out)
         self._walk(node[3], x, rows[~left], out)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly from 0 to 100: half of 100 times the isolation score above the usual 0.5, clamped."""
+    def isolation(self, x: np.ndarray) -> np.ndarray:
+        """From 0 to 1; usual rows are near 0.5."""
         total = np.zeros(len(x))
         for t in self.forest:
             self._walk(t, x, np.arange(len(x)), total)
-        s = 2 ** (-total / self.trees / max(1e-9, float(self.depth(self.size))))
-        return np.clip(50 * (2 * s - 1), 0, 100)
+        return 2 ** (-total / self.trees / max(1e-9, float(self.depth(self.size))))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly from 0 to 100, usual rows at 0."""
+        return anomaly_points(self.isolation(x))
 
 
 class Reconstruction:
     """Linear autoencoder: error after projection on the leading components, scaled to 0..100."""
 
-    def fit(self, x: np.ndarray, keep: int = 8) -> Reconstruction:
-        _, _, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
-        self.mean, self.v = x.mean(0), v[:keep]
-        return self
+    def __init__(self, mean: np.ndarray, v: np.ndarray):
+        self.mean, self.v = mean, v
+
+    @classmethod
+    def fit(cls, std: DataFrame, keep: int = 8) -> Reconstruction:
+        """Components of the covariance of all rows, whose moments are one aggregate."""
+        d = len(FEATURES)
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = std.agg(*[F.avg(c) for c in FEATURES], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs]).first()
+        mean, cov = np.array(row[:d], float), np.zeros((d, d))
+        for (i, j), x in zip(pairs, row[d:], strict=True):
+            cov[i, j] = cov[j, i] = x - mean[i] * mean[j]
+        return cls(mean, np.linalg.eigh(cov)[1].T[::-1][:keep])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         c = x - self.mean
         return np.minimum(100, 100 * np.square(c - c @ self.v.T @ self.v).mean(1))
 
 
-#: Rows that the models are fitted on at most (those with the least hash of their id).
-TRAINING_ROWS = 20_000
+TREES, SAMPLE = 200, 256
+#: Share of the forest's rows that it labels as outliers.
+CONTAMINATION = 0.1
 LEAST_ROWS = 50
 
 
-def learned(std: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """invoice_id, isolation_score, reconstruction_score, anomaly_score (their mean), anomalous (> 50).
+@dataclass
+class Model:
+    forest: IsolationForest
+    reconstruction: Reconstruction
+    cut: float  # isolation above which a row is labelled an outlier
+
+
+def train(std: DataFrame) -> Model | None:
+    """Both models from the rows of ``std``; None with fewer than LEAST_ROWS.
+
+    The reconstruction takes all rows.  An isolation forest is a method of small samples: its TREES * SAMPLE rows, those
+    with the least hash of their id, are all that its trees can hold.
+    """
+    rows = std.orderBy(F.xxhash64("invoice_id"), "invoice_id").limit(TREES * SAMPLE).select(*FEATURES).toPandas().to_numpy(float)
+    if len(rows) < LEAST_ROWS:
+        return None
+    forest = IsolationForest(TREES, SAMPLE).fit(rows)
+    return Model(forest, Reconstruction.fit(std), float(np.quantile(forest.isolation(rows), 1 - CONTAMINATION)))
+
+
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Write the model as one line of JSON, over an older one."""
+    f, r = model.forest, model.reconstruction
+    state = {"cut": model.cut, "size": f.size, "forest": f.forest, "mean": r.mean.tolist(), "components": r.v.tolist()}
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    state = json.loads(spark.read.text(path).first()[0])
+    forest = IsolationForest(len(state["forest"]), state["size"])
+    forest.forest, forest.size = state["forest"], state["size"]
+    return Model(forest, Reconstruction(np.array(state["mean"]), np.array(state["components"])), state["cut"])
+
+
+def learned(std: DataFrame, allowed: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """invoice_id, isolation_score, isolated (above the model's cut), reconstruction_score, anomaly_score (their mean), anomalous (> 50).
 
-    Trained on at most TRAINING_ROWS rows of ``allowed`` (default: all); with fewer than LEAST_ROWS, scores are null.
+    Scored by ``model``, or by one trained on ``allowed`` (default: all rows); with fewer than LEAST_ROWS, scores are null.
     """
-    sample = (allowed if allowed is not None else std).orderBy(F.xxhash64("invoice_id"), "invoice_id").limit(TRAINING_ROWS).select(*FEATURES).toPandas().to_numpy(float)
-    models = (IsolationForest().fit(sample), Reconstruction().fit(sample)) if len(sample) >= LEAST_ROWS else None
-    shared = std.sparkSession.sparkContext.broadcast(models)
+    model = model or train(allowed if allowed is not None else std)
+    shared = std.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
         for f in frames:
             x = f[list(FEATURES)].to_numpy(float)
-            a, b = (m.score(x) for m in shared.value) if shared.value else (np.full(len(x), np.nan),) * 2
-            yield pd.DataFrame({"invoice_id": f.invoice_id, "isolation_score": a, "reconstruction_score": b, "anomaly_score": (a + b) / 2, "anomalous": (a + b) / 2 > 50})
+            s = m.forest.isolation(x) if m else np.full(len(x), np.nan)
+            a, b = anomaly_points(s), m.reconstruction.score(x) if m else s
+            yield pd.DataFrame({"invoice_id": f.invoice_id, "isolation_score": a, "isolated": s > (m.cut if m else 1), "reconstruction_score": b, "anomaly_score": (a + b) / 2, "anomalous": (a + b) / 2 > 50})
 
-    return std.mapInPandas(run, "invoice_id long, isolation_score double, reconstruction_score double, anomaly_score double, anomalous boolean")
+    return std.mapInPandas(run, "invoice_id long, isolation_score double, isolated boolean, reconstruction_score double, anomaly_score double, anomalous boolean")
 
 
 def fence(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The invoice pipeline on streams: micro-batches, duplicates against everything seen, daily counts."""
+"""The invoice pipeline on streams: micro-batches, duplicates against everything seen, window matches, daily counts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tallymark.config import DUPLICATE
+from tallymark.functions.expressions import sorted_tokens, truthy
 from tallymark.operators import risk
 
 
@@ -35,22 +37,51 @@ def process_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
     }).drop("older", "in_batch")
 
 
+def failed(batch: DataFrame) -> DataFrame:
+    """Rows that cannot be processed, with ``error``; their status goes back to uploaded."""
+    error = F.when(F.col("invoice_id").isNull(), "no invoice id").when(F.col("file_hash").isNull(), "no content hash")
+    return batch.withColumns({"error": error, "status": F.lit("uploaded")}).where("error IS NOT NULL")
+
+
 def start(stream: DataFrame, out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Process all available input; each batch overwrites its own folder, so a repeated batch leaves one copy."""
+    """Process all available input; each batch overwrites its own folders, so a repeated batch leaves one copy.
+
+    Beside ``out`` stand ``out``.seen, the first invoice of every content (two columns, all that a later batch reads),
+    and ``out``.errors, the rows of ``failed``.
+    """
+    seen, schema = f"{out}.seen", "file_hash string, invoice_id long, batch long"
+    stream.sparkSession.createDataFrame([], schema).drop("batch").write.mode("ignore").parquet(f"{seen}/batch=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = None
-        if batch_id > 0:
-            older = spark.read.option("basePath", out).parquet(*[f"{out}/batch={i}" for i in range(batch_id)]).where("new_status <> 'duplicate'").select("file_hash", "invoice_id")
-        done = process_batch(batch, older)
-        done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        older = spark.read.schema(schema).parquet(seen).where(F.col("batch") < batch_id)
+        failed(batch).write.mode("overwrite").parquet(f"{out}.errors/batch={batch_id}")
+        process_batch(batch.where("invoice_id IS NOT NULL AND file_hash IS NOT NULL"), older).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        done = spark.read.parquet(f"{out}/batch={batch_id}")
+        done.where("new_status <> 'duplicate'").select("file_hash", "invoice_id").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
         if after is not None:
-            after(spark.read.parquet(f"{out}/batch={batch_id}"), batch_id)
+            after(done, batch_id)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def window_matches(new: DataFrame, known: DataFrame, days: int = DUPLICATE.window_days, late: str = "1 day") -> DataFrame:
+    """Pairs of a new and a known invoice with one amount and the same vendor words (case counts), dated at most ``days`` apart.
+
+    Both sides (invoice_id, vendor_name, total_amount, invoice_date) may be streams: the watermarks and the interval
+    bound the state.  Similar vendors with other words are left to ``duplicates.time_window``, which runs on tables.
+    """
+
+    def side(df: DataFrame, pre: str) -> DataFrame:
+        cols = [F.col("invoice_id").alias(f"{pre}id"), sorted_tokens("vendor_name").alias(f"{pre}vendor"), F.col("total_amount").alias(f"{pre}amount"), F.col("invoice_date").cast("timestamp").alias(f"{pre}at")]
+        return df.where(truthy("vendor_name") & truthy("total_amount")).select(*cols).withWatermark(f"{pre}at", late)
+
+    reach = F.expr(f"INTERVAL {days} DAYS")
+    near = (F.col("b_at") >= F.col("a_at") - reach) & (F.col("b_at") <= F.col("a_at") + reach)
+    pairs = side(new, "a_").join(side(known, "b_"), (F.col("a_vendor") == F.col("b_vendor")) & (F.col("a_amount") == F.col("b_amount")) & near & (F.col("a_id") != F.col("b_id")))
+    return pairs.select(F.col("a_id").alias("invoice_id"), F.col("b_id").alias("matched_id"), F.abs(F.datediff("a_at", "b_at")).alias("day_diff"))
+
+
 def daily(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Events per day and type; late rows beyond the watermark are dropped when run on a stream."""
     ts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)

@@ -69,13 +69,16 @@ def test_stream_equals_batch(spark, tmp_path):
     t = dt.datetime(2024, 1, 5)
     row = lambda i, h: (i, f"A-{i}", "Acme", 10.0 * i, 1.0, t, t, t + dt.timedelta(hours=i), 90.0, 0.0, 0.0, h)
     rows = [row(1, "a"), row(2, "a"), row(3, "b"), row(4, "c"), row(5, "b")]
-    for k, part in enumerate((rows[:3], rows[3:])):
+    broken = row(6, None)
+    for k, part in enumerate((rows[:3], [*rows[3:], broken])):
         spark.createDataFrame(part, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = pipeline.read(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
     pipeline.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {r.invoice_id: (r.duplicate_of, r.new_status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.invoice_id: (r.duplicate_of, r.new_status) for r in pipeline.process_batch(spark.createDataFrame(rows, cols), None).collect()}
     assert {k for k, v in got.items() if v[0]} == {k for k, v in want.items() if v[0]} == {2, 5}
+    bad = spark.read.parquet(f"{tmp_path}/out.errors").collect()
+    assert [(r.invoice_id, r.error, r.status) for r in bad] == [(6, "no content hash", "uploaded")] and 6 not in got
 
 
 def test_signed_messages(spark):
@@ -113,3 +116,36 @@ def test_templates_and_fonts(spark):
     chars = [(1, 10.0)] * 9 + [(1, 40.0)] + [(2, 10.0)] * 3
     got = {r.image_id: (r.characters, r.outliers, r.score) for r in imaging.font_consistency(spark.createDataFrame(chars, "image_id long, height double")).collect()}
     assert got == {1: (10, 1, 30.0), 2: (3, 0, 0.0)}
+
+
+def test_saved_model_scores_alike(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(size=13))) for i in range(120)] + [(500, *[9.0] * 13)]
+    std = spark.createDataFrame(rows, ["invoice_id", *anomaly.FEATURES])
+    model = anomaly.train(std)
+    anomaly.save(model, spark, f"{tmp_path}/model")
+    a, b = (sorted(map(tuple, anomaly.learned(std, model=m).collect())) for m in (model, anomaly.load(spark, f"{tmp_path}/model")))
+    assert a == b and max(a, key=lambda r: r[1])[0] == 500 and 5 <= sum(r[2] for r in a) <= 15
+    x = np.array([r[1:] for r in rows])
+    c = x - x.mean(0)
+    v = np.linalg.svd(c, full_matrices=False)[2][:8]
+    assert np.allclose([r[3] for r in a], np.minimum(100, 100 * np.square(c - c @ v.T @ v).mean(1)))
+    few = anomaly.learned(std.where("invoice_id < 10")).collect()
+    assert len(few) == 10 and all(r.anomaly_score is None for r in few)
+
+
+INVOICE = "invoice_id long, vendor_name string, total_amount double, invoice_date timestamp_ntz"
+
+
+def test_window_matches_on_streams_equal_those_on_tables(spark, tmp_path):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    known = [(1, "acme corp", 10.0, day(0)), (5, "Acme Corp", 10.0, day(0)), (2, "corp acme", 10.0, day(80)), (3, "Other", 10.0, day(0)), (4, None, 10.0, day(0))]
+    new = [(10, "acme corp", 10.0, day(90)), (11, "Acme Corp", 11.0, day(1)), (12, "Other", None, day(0))]
+    for name, rows in (("new", new), ("known", known)):
+        spark.createDataFrame(rows, INVOICE).write.parquet(f"{tmp_path}/{name}")
+    tables = [spark.read.parquet(f"{tmp_path}/{n}") for n in ("new", "known")]
+    streams = [pipeline.read(spark, f"{tmp_path}/{n}", t.schema) for n, t in zip(("new", "known"), tables, strict=True)]
+    q = pipeline.window_matches(*streams).writeStream.format("memory").queryName("window_matches").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = [(10, 1, 90), (10, 2, 10)]
+    assert sorted(map(tuple, spark.table("window_matches").collect())) == sorted(map(tuple, pipeline.window_matches(*tables).collect())) == want
