@@ -231,7 +231,8 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     a text of fewer words is one shingle.  Rows are linked if 100 * intersection >= percent * union.  Returns doc_id,
     n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
     Null or blank texts have no shingles and no links; rows without doc_id are not linked either (component_id null,
-    kept true).  Rows that repeat a doc_id are one document: links of each hold for all, and each has a result.
+    kept true).  Rows that repeat a doc_id and a text are one document, and each has a result.  Ids should be unique: of rows
+    with one doc_id and different texts, only the least text is compared where links are confirmed, so others can lose links.
     Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
