@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, discriminant, line_dedup, near_dedup, packing, pii, quality_rules, suffix_dedup, topk, toxicity
-from .common import table
+from . import bpe, discriminant, line_dedup, merkle, near_dedup, packing, pii, quality_rules, suffix_dedup, topk, toxicity
+from .common import fold, table, valid_text
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", "n_short_repeats", spans.alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, even = valid_text(), fold(F.col("doc_id"), 2) == 0
+    proven = merkle.prove(table(spark, sf_dir, "documents"), claimed=F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text))
+    shown = lambda c: F.lower(F.hex(c))
+    return proven.select("doc_id", *(shown(c).alias(c) for c in ("leaf", "subroot", "root")), F.sha2(shown("proof"), 256).alias("proof_sha256"), shown("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_pii, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_pii, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup, op11_merkle_manifest)}

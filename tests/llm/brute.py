@@ -80,3 +80,42 @@ def rules(text):
     covered = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def _h(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _levels(nodes):
+    """All levels of a tree, runs of three hashed together, up to the level of one node."""
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([_h(out[-1][i : i + 3]) for i in range(0, len(out[-1]), 3)])
+    return out
+
+
+def merkle(rows):
+    """rows: (doc_id, source, lang, n_chars, text, other text).  Of each: leaf, subroot, root, digest of the proof, folded root."""
+    show = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, text: _h(map(show, (*r[:4], text)))
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[4]), leaf(r, r[5])))
+        trees[s] = _levels([leaf(r, r[4]) for r in by[s]])
+    top = _levels([trees[s][-1][0] for s in names])
+    out = []
+    for k, s in enumerate(names):
+        for i, r in enumerate(by[s]):
+            other, proof = leaf(r, r[5]), []
+            for levels, at in ((trees[s], i), (top, k)):
+                for level in levels[:-1]:
+                    run = level[at - at % 3 : at - at % 3 + 3]
+                    proof += run[: at % 3] + run[at % 3 + 1 :]
+                    other = _h([*run[: at % 3], other, *run[at % 3 + 1 :]])
+                    at //= 3
+            out.append((r[0], trees[s][0][i], trees[s][-1][0], top[-1][0], _h(proof), other))
+    return out
