@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, discriminant, line_dedup, merkle, near_dedup, packing, pii, quality_rules, suffix_dedup, topk, toxicity
+from . import bpe, conversation, discriminant, line_dedup, merkle, near_dedup, packing, pii, quality_rules, simhash, suffix_dedup, topk, toxicity
 from .common import fold, table, valid_text
 
 
@@ -74,5 +74,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", *(shown(c).alias(c) for c in ("leaf", "subroot", "root")), F.sha2(shown("proof"), 256).alias("proof_sha256"), shown("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), size=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_pii, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_pii, op4_suffix_dedup, op5_toxicity, op6_bpe, op7_quality_rules, op8_minhash_dedup, op9_packing, op10_line_dedup, op11_merkle_manifest, op12_conversation_repair, op13_simhash_dedup)}

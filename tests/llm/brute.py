@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import xxhash
+
 BLANK = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +122,90 @@ def merkle(rows):
                     at //= 3
             out.append((r[0], trees[s][0][i], trees[s][-1][0], top[-1][0], _h(proof), other))
     return out
+
+
+def damage(rows):
+    """conv_id -> [(turn, role, text)] after damage."""
+    out = {}
+    for conv, turn, role, text in rows:
+        kept = out.setdefault(conv, [])
+        show = lambda v: " " if v is None else v
+        role, text, n = show(role), show(text), zlib.crc32(f"{show(conv)}:{show(turn)}".encode()) % 20
+        text = "" if n == 1 else re.sub("[.!?]", "", text) if n == 2 else text
+        kept += [(turn, "user" if n == 4 else role, text)] * {0: 0, 3: 2}.get(n, 1)
+    return out
+
+
+def mend(rows):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit, digest of the repaired rows; every way is tried."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{len(r[1].encode())}:{r[1]}{r[2]}".encode()).digest()))
+    turns = {t for t, _, _ in rows if t is not None}
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(BLANK)
+        faults.append("blank" if not WORD.search(text) else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    legal, known = re.compile("(s?(ua)+)?"), {}
+    begun = lambda initials: any(legal.fullmatch(initials + more) for more in ("", "a", "ua"))
+
+    def go(i, tail):
+        """Least (cost, audit, lines) of rows i on, when the initials so far end in ``tail``."""
+        if (i, tail) in known:
+            return known[i, tail]
+        ways = [(0, "", ())] if i == len(rows) and legal.fullmatch(tail) else []
+        for inserted in range(4):
+            lines, initials = (), tail
+            for _ in range(inserted):
+                role = "assistant" if initials.endswith("u") else "user"
+                lines, initials = (*lines, f"{role}:"), initials + role[0]
+            cost, audit = 3 * inserted, "I" * inserted
+            if i == len(rows):
+                if legal.fullmatch(initials):
+                    ways.append((cost, audit, lines))
+                continue
+            _, role, text = rows[i]
+            for edit, price, to in (("K", 0, role), ("R", 3, "user"), ("R", 3, "assistant"), ("D", 4, None)):
+                if edit != "D" and faults[i] in ("blank", "duplicate"):
+                    continue
+                after = initials + (to[:1] if to is not None else "")
+                if to == "" or not begun(after):
+                    continue
+                price += 3 if edit != "D" and faults[i] == "truncated" else 0
+                rest = go(i + 1, after)
+                if rest:
+                    ways.append((cost + price + rest[0], audit + edit + rest[1], (*lines, *([f"{to}:{text}"] if to is not None else []), *rest[2])))
+        known[i, tail] = min(ways) if ways else None
+        return known[i, tail]
+
+    best = go(0, "")
+    illegal = sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    count = lambda f: faults.count(f)
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return gaps, count("blank"), count("duplicate"), count("truncated"), illegal, best[0], best[1], hashlib.sha256("\n".join(best[2]).encode()).hexdigest()
+
+
+def fingerprint(text, n=4):
+    w = words(text)
+    grams = [" ".join(w)] if 0 < len(w) < n else [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def close_components(rows, prints, radius=4):
+    """Least doc_id that links of close fingerprints reach, for each row."""
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                up[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return [least.get(root(i)) for i in range(len(rows))]
