@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 OP1 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
@@ -157,5 +159,91 @@ FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JO
 """
 
 
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII string: bytes go in by eight bit steps each."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ord(substr({text}, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"
+
+
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, '=' || source AS tree, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         CASE WHEN CRC % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+  FROM documents
+), leaf AS (
+  SELECT k, doc_id, coalesce(tree, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS claim FROM d
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS pos FROM leaf
+), low AS (
+  SELECT 0 AS level, tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY level, tree, pos // 3, n
+), subroot AS (SELECT tree, h, level AS height FROM low WHERE n = 1
+), top AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3, n
+), runs AS (  -- each run of three: in a tree of a source, and over the sources (after the levels of that tree)
+  SELECT level, tree, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM low WHERE n > 1 GROUP BY ALL
+), over_runs AS (SELECT level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM top WHERE n > 1 GROUP BY ALL
+), tree AS (SELECT tree, h AS subroot, height, row_number() OVER (ORDER BY tree) - 1 AS pos FROM subroot
+), way AS (
+  SELECT k, claim AS h, '' AS proof, 0 AS level, placed.pos, height, tree, tree.pos AS tree_pos FROM placed JOIN tree USING (tree)
+  UNION ALL
+  SELECT k, sha256(array_to_string(list_transform(hs, lambda x, i: CASE WHEN i = p % 3 + 1 THEN h ELSE x END), '')), proof || array_to_string(list_filter(hs, lambda x, i: i <> p % 3 + 1), ''), level + 1, CASE WHEN level < height THEN pos // 3 ELSE pos END, height, tree, CASE WHEN level < height THEN tree_pos ELSE tree_pos // 3 END
+  FROM (
+    SELECT w.*, r.hs, w.pos AS p FROM way w JOIN runs r ON w.level < w.height AND r.level = w.level AND r.tree = w.tree AND r.run = w.pos // 3
+    UNION ALL
+    SELECT w.*, r.hs, w.tree_pos FROM way w JOIN over_runs r ON w.level >= w.height AND r.level = w.level - w.height AND r.run = w.tree_pos // 3)
+), last AS (SELECT k, h, proof FROM way QUALIFY row_number() OVER (PARTITION BY k ORDER BY level DESC) = 1
+), root AS (SELECT h AS root FROM top WHERE n = 1
+)
+SELECT p.doc_id, p.leaf, t.subroot, r.root, sha256(l.proof) AS proof_sha256, l.h AS folded_root, l.h = r.root AS verified
+FROM placed p JOIN tree t USING (tree) JOIN last l USING (k) CROSS JOIN root r
+""".replace("CRC", _crc32("doc_id::VARCHAR"))
+
+#: A row's best way from each state is a struct (cost, audit, lines); structs compare by their fields in turn.
+OP12 = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CRC % 20 AS n FROM conversations
+), dam AS (
+  SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE WHEN n = 1 THEN '' WHEN n = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, range(0, 2) t(copy) WHERE n <> 0 AND (copy = 0 OR n = 3)
+), ord AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(strlen(role) || ':' || role || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM dam
+), f AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM ord
+), c AS (
+  SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra, role[1] AS r FROM f
+), best AS (
+  SELECT conv_id, max(n) + 1 AS i, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS s0, {'c': 6, 'a': 'II', 'l': ['user:', 'assistant:']} AS s1, {'c': 3, 'a': 'I', 'l': ['assistant:']} AS s2, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS s3
+  FROM c GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(g0, IU(g2), IUA(g3)), least(g1, IU(g2), IUA(g3)), least(g2, IA(g3)), least(g3, IU(g2))
+  FROM (
+    SELECT b.conv_id, c.i, least(DEL(s0), UPTO(s2, 'u', 'user'), KEEP(s1, 's')) AS g0, least(DEL(s1), UPTO(s2, 'u', 'user')) AS g1, least(DEL(s2), UPTO(s3, 'a', 'assistant')) AS g2, least(DEL(s3), UPTO(s2, 'u', 'user')) AS g3
+    FROM best b JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.i = b.i - 1)
+), done AS (SELECT conv_id, s0 FROM best WHERE i = 1
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (again AND NOT blank)::BIGINT AS duplicate,
+         count(*) FILTER (extra > 0)::BIGINT AS truncated, count(*) FILTER (i > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM c GROUP BY conv_id
+)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM v.conv_id
+""".replace("CRC", _crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))"))
+_WAY = "{{'c': {0}.c + {1}, 'a': '{2}' || {0}.a, 'l': list_concat({3}, {0}.l)}}"
+OP12 = re.sub(r"\bIUA\((\w+)\)", lambda m: _WAY.format(m[1], 6, "II", "['user:', 'assistant:']"), OP12)
+OP12 = re.sub(r"\bIU\((\w+)\)", lambda m: _WAY.format(m[1], 3, "I", "['user:']"), OP12)
+OP12 = re.sub(r"\bIA\((\w+)\)", lambda m: _WAY.format(m[1], 3, "I", "['assistant:']"), OP12)
+OP12 = re.sub(r"\bDEL\((\w+)\)", lambda m: _WAY.format(m[1], 4, "D", "[]::VARCHAR[]"), OP12)
+OP12 = re.sub(r"\bUPTO\((\w+), ('\w'), '(\w+)'\)", lambda m: f"KEEP({m[1]}, {m[2]}), CASE WHEN NOT gone THEN " + _WAY.format(m[1], "3 + extra", "R", f"['{m[3]}:' || text]") + " END", OP12)
+OP12 = re.sub(r"\bKEEP\((\w+), ('\w')\)", lambda m: f"CASE WHEN NOT gone AND r = {m[2]} THEN " + _WAY.format(m[1], "extra", "K", "[role || ':' || text]") + " END", OP12)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op4_suffix_dedup": OP4, "op7_quality_rules": OP7, "op8_minhash_dedup": OP8, "op10_line_dedup": OP10}
+    return {"op1_exact_topk": OP1, "op4_suffix_dedup": OP4, "op7_quality_rules": OP7, "op8_minhash_dedup": OP8, "op10_line_dedup": OP10, "op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}
