@@ -1,17 +1,18 @@
 """Near-duplicate documents: b-bit MinHash signatures, a multi-index Hamming join, and exact confirmation.
 
 1. Each text becomes its set of word shingles, a signature of SYMBOLS b-bit symbols and a digest of the set.  Texts
-   with equal sets are one class from here on; its least doc_id stands for it.
+   with equal sets are one class from here on, known by a number of its own; ids come back in at the end.
 2. Signatures within distance DISTANCE agree in some of CHUNKS chunks up to DISTANCE // CHUNKS symbols (pigeonhole).
    The allowed errors are enumerated: a chunk is a key once for each symbol left out.  Signatures that share no key are
    further apart than DISTANCE.
-3. First round: in each key's bucket, everyone is paired with the bucket's least member only; pairs within DISTANCE are
-   confirmed on the full sets, and links joined to components.
-4. Second round: buckets that still hold several components.  Members outside the largest component meet all others,
-   in blocks of bounded size: first by signature, which leaves the members that have a close partner of another
-   component, then these on the full sets.  A pair is looked at only in the first of the buckets that it shares.
-So no bucket is emitted as pairs, none is cut off, and every pair within DISTANCE is confirmed, or its members are
-already linked.
+3. First round: in each key's bucket, everyone is paired with the bucket's least member only; pairs are confirmed on the
+   full sets, and links joined to components.
+4. Second round: buckets that still hold several components.  Members outside the largest component meet all others, in
+   blocks that are bounded in rows and in shingles.  A first pass without texts leaves the members that have a partner of
+   another component whose size allows a link; the second compares the full sets.  A pair is looked at only in the first
+   of the buckets that it shares.
+So no bucket is emitted as pairs, none is cut off, and every pair that shares a key is confirmed on full sets, or its
+members are already linked, or their sizes rule a link out.
 """
 
 from __future__ import annotations
@@ -23,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
+from .common import discard, join_counted, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
 from .common import _LOWER
 from .components import components
 
 SYMBOLS, CHUNKS = 40, 8
 WIDTH = SYMBOLS // CHUNKS
 #: Largest signature distance that is guaranteed to be found.  At similarity 0.85 a signature differs in 6 of 40
-#: symbols on average; 16 or more have a chance of 2e-4, and a pair is lost only if all 8 chunks have two errors or
-#: more, a chance of 5.5e-7.
+#: symbols on average; 16 or more have a chance of 1e-4, and a pair is lost only if all 8 chunks have two errors or
+#: more, a chance of 5.5e-7.  Nothing else is lost: there is no limit on the distance of pairs that share a key.
 DISTANCE = 15
-#: Rows on either side of one comparison in the second round.
-BLOCK = 512
+#: Rows on either side of one comparison in the second round, and shingles (8 bytes each), on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Bits of a row's incidence with the block's shingles that are counted at once.
 BITS = 1 << 19
 
@@ -84,8 +85,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             d1 = np.array([np.sum(s) for s in sets], np.uint64)
             d2 = np.array([np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [cut.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            names=["doc_id", "n_shingles", "d1", "d2", "sig"],
+            [cut.column("doc_id"), cut.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+            names=["doc_id", "h", "n_shingles", "d1", "d2", "sig"],
         )
 
 
@@ -129,20 +130,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([a_ids[k] for k in keep], pa.int64()), pa.array([b_ids[k] for k in keep], pa.int64())], names=["a", "b"])
 
 
-def limit(percent: int) -> int:
-    """Distance up to which pairs are confirmed: 4.5 standard deviations above the mean at the least similarity."""
-    miss = 1 - percent / 100
-    return max(DISTANCE, int(np.ceil(SYMBOLS * miss + 4.5 * np.sqrt(SYMBOLS * miss * (1 - miss)))))
-
-
-def _close(a: np.ndarray, b: np.ndarray, slot: int, most: int) -> np.ndarray:
-    """Whether each of ``a`` is within the distance of each of ``b``, and ``slot`` is the first key that they share."""
+def _shared_first(a: np.ndarray, b: np.ndarray, slot: int) -> np.ndarray:
+    """Whether ``slot`` is the first key that each of ``a`` shares with each of ``b``."""
     differ = (a[:, None] != b[None]).reshape(len(a), len(b), CHUNKS, WIDTH)
     by_chunk = differ.sum(3, dtype=np.int8)
     chunk = slot // WIDTH
     first = (by_chunk[:, :, chunk] <= 1) & (by_chunk[:, :, :chunk] > 1).all(2)
     wrong = np.where(by_chunk[:, :, chunk] == 1, differ[:, :, chunk].argmax(2), 0)
-    return first & (wrong == slot % WIDTH) & (by_chunk.sum(2, dtype=np.int16) <= most)
+    return first & (wrong == slot % WIDTH)
 
 
 class _Block:
@@ -150,24 +145,26 @@ class _Block:
 
     def __init__(self, table: pa.Table):
         self.asked = np.asarray(table.column("asked").to_numpy(zero_copy_only=False), bool)
-        self.ids, self.comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        self.ids, self.comp, self.n = table.column("id").to_numpy(), table.column("comp").to_numpy(), table.column("n").to_numpy()
         self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         self.slot = int(np.uint64(table.column("key")[0].as_py() & 63))
         self.q, self.r = np.flatnonzero(self.asked), np.flatnonzero(~self.asked)
 
-    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of close pairs of different components, a few askers at a time."""
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs of different components whose sizes allow a link, a few askers at a time."""
         for at in range(0, len(self.q), 32):
             mine = self.q[at : at + 32]
-            i, j = np.nonzero(_close(self.sig[mine], self.sig[self.r], self.slot, most) & (self.comp[mine][:, None] != self.comp[self.r][None]))
+            n, m = self.n[mine][:, None], self.n[self.r][None]
+            may = (self.comp[mine][:, None] != self.comp[self.r][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            i, j = np.nonzero(may & _shared_first(self.sig[mine], self.sig[self.r], self.slot))
             yield mine[i], self.r[j]
 
 
-def _involved(table: pa.Table, most: int) -> pa.Table:
-    """The block's rows that have a close partner of another component."""
+def _involved(table: pa.Table, percent: int) -> pa.Table:
+    """The block's rows that may be linked to another component."""
     block = _Block(table)
     keep = np.zeros(table.num_rows, bool)
-    for i, j in block.pairs(most):
+    for i, j in block.pairs(percent):
         keep[i] = keep[j] = True
     return table.filter(pa.array(keep))
 
@@ -190,7 +187,7 @@ def _common(sets: list[np.ndarray], q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settle(table: pa.Table, size: int, percent: int, most: int) -> pa.Table:
+def _settle(table: pa.Table, size: int, percent: int) -> pa.Table:
     """Links of one block, confirmed on the full sets: enough of them to join whatever its links join."""
     block = _Block(table)
     sets = [x for _, d, o in text_chunks(table.select(["text"]).to_batches()) for x in shingle_sets(d, o, size)]
@@ -206,7 +203,7 @@ def _settle(table: pa.Table, size: int, percent: int, most: int) -> pa.Table:
         return x
 
     a, b = [], []
-    for i, j in block.pairs(most):
+    for i, j in block.pairs(percent):
         common = np.array([both[x][y] for x, y in zip(i.tolist(), column[j].tolist(), strict=True)], np.int64)
         linked = 100 * common >= percent * (n[i] + n[j] - common)
         for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
@@ -224,60 +221,74 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
 
 
-def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text): the group of near-duplicates that it belongs to.
-
-    Sets are the distinct ``size``-word shingles of the text with A-Z in lower case, words being cut at ASCII blanks;
-    a text of fewer words is one shingle.  Rows are linked if 100 * intersection >= percent * union.  Returns doc_id,
-    n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
-    Null or blank texts have no shingles and no links; rows without doc_id are not linked either (component_id null,
-    kept true).  Rows that repeat a doc_id and a text are one document, and each has a result.  Ids should be unique: of rows
-    with one doc_id and different texts, only the least text is compared where links are confirmed, so others can lose links.
-    Empty tables give no rows; other columns are ignored.
-    """
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id, lead (whether the row's doc_id and text are the first of its group)."""
     spark = docs.sparkSession
     ship_code(spark)
-    most = limit(percent)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
-    sketches = materialize(base.mapInArrow(lambda it: _sketch(it, size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
+    text = valid_text()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    sketches = materialize(base.mapInArrow(lambda it: _sketch(it, size), "doc_id long, h long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
     linked = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(linked.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
+    own = linked.groupBy("n_shingles", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("one"), F.min("sig").alias("sig"))
+    classes = materialize(own.withColumn("id", F.monotonically_increasing_id()), "classes")
     keyed = materialize(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).where("top > hub").drop("top")
-    members = materialize(keyed.join(hubs, "key").select("key", "id", "hub", "size"), "members")
-    texts = materialize(base.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), "texts")
-    sigs = classes.groupBy("id").agg(F.min("sig").alias("sig"))
+    hubs = materialize(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    members = materialize(join_counted(keyed, hubs, ["key"]).select("key", "id", "hub"), "members")
+    discard(keyed, hubs)
+    wanted = members.select("id").distinct().join(classes.select("id", "one.*"), "id")
+    texts = materialize(base.join(wanted, ["doc_id", "h"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links1 = materialize(_links(first, texts, size, percent), "links")
     comp = materialize(components(links1.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    unsettled = materialize(placed.join(open_keys, "key"), "unsettled")
-    by_comp = unsettled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("all")).select("key", F.col("big.comp").alias("big"), (F.col("all") - F.col("big.n")).alias("minor"))
-    spread = unsettled.join(largest, "key").join(sigs, "id").select("key", "id", "comp", "sig", (F.col("comp") != F.col("big")).alias("is_minor"), F.ceil(F.col("size") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("nq"))
-    slot = F.abs(F.xxhash64("id"))
-    rows = spread.select("key", (slot % F.col("nr")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "id", "comp", "sig", F.lit(False).alias("asked"))
-    asked = spread.where("is_minor").select("key", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), (slot % F.col("nq")).cast("int").alias("q"), "id", "comp", "sig", F.lit(True).alias("asked"))
-    block_schema = "key long, r int, q int, id long, comp long, sig binary, asked boolean"
-    involved = materialize(rows.unionByName(asked).groupBy("key", "r", "q").applyInArrow(lambda t: _involved(t, most), block_schema), "involved")
-    links2 = involved.join(texts, "id").groupBy("key", "r", "q").applyInArrow(lambda t: _settle(t, size, percent, most), "a long, b long")
-    links2 = materialize(links2, "links")
-
-    edges = links1.unionAll(links2).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = components(edges).withColumnRenamed("node", "id")
-    named = classes.join(final, "id", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "id").alias("class_component"))
-    out = sketches.join(named, ["n_shingles", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    facts = classes.select("id", "sig", F.col("n_shingles").alias("n")).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    placed = materialize(members.select("key", "id").join(facts, "id"), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n").alias("weight")).where("lo <> hi").select("key", "n", "weight")
+    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    largest = by_comp.groupBy("key").agg(F.max(F.struct("rows", "comp", "weight")).alias("big")).select("key", "big")
+    blocks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+    plan = open_keys.join(largest, "key").select("key", "n", F.col("big.comp").alias("big"), blocks(F.col("n"), F.col("weight")).alias("nr"), blocks(F.col("n") - F.col("big.rows"), F.col("weight") - F.col("big.weight")).alias("nq"))
+    spread = join_counted(placed.withColumnRenamed("n", "size"), materialize(plan, "open"), ["key"]).drop("n").withColumnRenamed("size", "n")
+    slot = F.abs(F.xxhash64("id") % F.lit(1 << 40))
+    of = lambda q, r, asked: ("key", r.cast("int").alias("r"), q.cast("int").alias("q"), "id", "comp", "n", "sig", F.lit(asked).alias("asked"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = spread.withColumn("_q", each("nq")).select(*of(F.col("_q"), slot % F.col("nr"), False))
+    asked = spread.where("comp <> big").withColumn("_r", each("nr")).select(*of(slot % F.col("nq"), F.col("_r"), True))
+    involved = rows.unionByName(asked).groupBy("key", "r", "q").applyInArrow(lambda t: _involved(t, percent), "key long, r int, q int, id long, comp long, n long, sig binary, asked boolean")
+    involved = materialize(involved, "involved")
+    links2 = materialize(involved.join(texts, "id").groupBy("key", "r", "q").applyInArrow(lambda t: _settle(t, size, percent), "a long, b long"), "links")
+    discard(members, texts, comp, placed, involved)
+
+    final = components(links1.unionAll(links2).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
+    known = materialize(classes.drop("sig").join(final, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
+    leads = known.groupBy("component").agg(F.min("one").alias("lead"))
+    named = materialize(known.join(leads, "component").select("n_shingles", "d1", "d2", "n", "lead"), "named")
+    rest = sketches.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("lead"))
+    met = join_counted(linked, named, ["n_shingles", "d1", "d2"]).select("doc_id", "h", "n_shingles", F.col("lead.doc_id").alias("component_id"), (F.struct("doc_id", "h") == F.col("lead")).alias("lead"))
+    return met.unionByName(rest)
+
+
+def groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
+    """For every row of ``docs`` (doc_id, text): the group of near-duplicates that it belongs to.
+
+    Sets are the distinct ``size``-word shingles of the text with A-Z in lower case, words being cut at ASCII blanks;
+    a text of fewer words is one shingle.  Rows are linked if 100 * intersection >= percent * union.  Returns doc_id,
+    n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id).
+    Null or blank texts have no shingles and no links; rows without doc_id are not linked either (component_id null,
+    kept true).  Repeated rows each have a result.  Rows that share a doc_id but differ in text are linked by their own
+    texts, each with the group of its text.  Texts are read whole, however long; bytes that are no UTF-8 read as U+FFFD.
+    Empty tables give no rows; other columns are ignored.
+    """
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group: the one with the least doc_id.
 
-    Rows without doc_id are in no group and stay; rows that repeat a doc_id are one document and stay or go together.
+    A document is a doc_id and a text: rows that repeat both stay or go together, and a doc_id with another text is judged
+    by that text (of two texts of one doc_id in one group, the one with the least hash stays).  Rows without doc_id, and null
+    and blank texts, are in no group and stay.  Long texts, bytes that are no UTF-8 and empty tables are as in ``groups``.
     """
-    gone = groups(docs.select("doc_id", "text"), size, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = _grouped(docs.select("doc_id", "text"), size, percent).where("NOT lead").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__id"]) & (F.xxhash64(F.make_valid_utf8(docs["text"].cast("string"))) == gone["__h"]), "left_anti")
