@@ -2,9 +2,8 @@
 
 Units are normalised and known by their digests.  There are two sorts: lines, and paragraphs of whole clauses.  A
 paragraph starts at any clause and ends with the first clause that brings it to ``passage_words`` words, so a passage
-that was set into the middle of another text is met, wherever its lines were broken.  Shorter lines meet by chance in
-texts that are clean, so these may be taken out only where they are boilerplate, held by ``common`` of all documents or
-more; their other repeats are counted and stay.
+that was set into the middle of another text is met, wherever its lines were broken.  A line is a unit from ``min_words``
+words on.  Every later occurrence of a unit goes; what a document loses never depends on how often others hold it.
 """
 
 from __future__ import annotations
@@ -20,17 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, join_counted, materialize, ship_code, valid_text
 
-#: Default for callers that spare short lines ("The.", "Page 3"); the registered query judges every non-blank line.
+#: Least words of a line.  Shorter ones ("The.", "Page 3") meet by chance.
 MIN_WORDS = 5
-#: Words of a paragraph: a passage of over 50 words that starts and ends within clauses still has so many in whole ones.
+#: Least words of a paragraph: a passage of over 50 words that starts and ends within clauses still has so many in whole ones.
+#: The registered query takes it as the least length of a line, too.
 PASSAGE_WORDS = 25
-#: Share of all documents that must hold a line shorter than a paragraph for its repeats to go.
-COMMON = 0.25
 #: Bytes of a normalised unit that count as a word where blanks are rare (eight letters of a script of three bytes each).
 WORD_BYTES = 24
 #: A clause ends behind these before a blank, behind wide marks, and at the end of a line.
 _CLAUSE = re.compile(r"[.,;:!?…]+(?=[\x20\x09-\x0D])|[。，、；：！？]+|\n")
-UNIT_SCHEMA = "doc_id long, h long, start int, stop int, long boolean, fresh boolean, n int, d1 long, d2 int"
+UNIT_SCHEMA = "doc_id long, h long, start int, stop int, n int, d1 long, d2 int"
 
 
 def normalise(text: str) -> tuple[bytes, int]:
@@ -55,8 +53,8 @@ def _pieces(text: str, ends: Iterator[int]) -> list[tuple[int, int, bytes, int]]
     return out
 
 
-def units(text: str, min_words: int, passage_words: int | None) -> list[tuple[int, int, bool, bytes]]:
-    """(start, stop, of ``passage_words`` or more, normal form) of the paragraphs, and of the lines that stand elsewhere."""
+def units(text: str, min_words: int, passage_words: int | None) -> list[tuple[int, int, bytes]]:
+    """(start, stop, normal form) of the paragraphs, and of the lines that stand elsewhere."""
     out = []
     if passage_words is not None and (clauses := _pieces(text, (m.end() for m in _CLAUSE.finditer(text)))):
         whole = b" ".join(c[2] for c in clauses)
@@ -65,27 +63,25 @@ def units(text: str, min_words: int, passage_words: int | None) -> list[tuple[in
         weight = np.array([c[3] for c in clauses], np.int64)
         total = np.cumsum(weight)
         last = np.searchsorted(total, total - weight + passage_words).tolist()
-        out = [(clauses[i][0], clauses[j][1], True, whole[begin[i] : begin[j] + len(clauses[j][2])]) for i, j in enumerate(last) if j < len(clauses)]
-    known = {(s, e) for s, e, _, _ in out}
+        out = [(clauses[i][0], clauses[j][1], whole[begin[i] : begin[j] + len(clauses[j][2])]) for i, j in enumerate(last) if j < len(clauses)]
+    known = {(s, e) for s, e, _ in out}
     lines = _pieces(text, (m.end() for m in re.finditer("\n", text)))
-    return out + [(s, e, w >= (passage_words or 0), form) for s, e, form, w in lines if w >= min_words and (s, e) not in known]
+    return out + [(s, e, form) for s, e, form, w in lines if w >= min_words and (s, e) not in known]
 
 
 def _units(batches: Iterator[pa.RecordBatch], min_words: int, passage_words: int | None) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
-    names = ["doc_id", "h", "start", "stop", "long", "fresh", "n", "d1", "d2"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    names = ["doc_id", "h", "start", "stop", "n", "d1", "d2"]
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             cut = batch.slice(at, 256).to_pydict()
             rows: list[tuple] = []
             digests: list[bytes] = []
             for doc_id, text, h in zip(cut["doc_id"], cut["text"], cut["h"], strict=True):
-                met: set[bytes] = set()
                 every = units(text or "", min_words, passage_words)
-                for k, (start, stop, long, form) in enumerate(every):
+                for k, (start, stop, form) in enumerate(every):
                     digests.append(hashlib.blake2b(form, digest_size=12).digest())
-                    rows.append((doc_id, h, start, stop, long, digests[-1] not in met, len(every) if k == 0 else None))
-                    met.add(digests[-1])
+                    rows.append((doc_id, h, start, stop, len(every) if k == 0 else None))
             cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
             d = np.frombuffer(b"".join(digests), [("d1", "<i8"), ("d2", "<i4")])
             out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(np.ascontiguousarray(d["d1"])), pa.array(np.ascontiguousarray(d["d2"]))], names=names)
@@ -113,16 +109,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [merge([(s["start"], s["stop"]) for s in x or []]) for x in cut.column("gone").to_pylist()]
             cols = [[len(x) for x in spans], [sum(b - a for a, b in x) for x in spans]]
             listed = [[{"start": a, "stop": b} for a, b in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("n_units"), *(pa.array(c, pa.int64()) for c in cols), cut.column("n_short_repeats"), pa.array(listed, _SPANS)], names=["doc_id", "n_units", "n_removed", "removed_chars", "n_short_repeats", "spans"])
+            yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("n_units"), *(pa.array(c, pa.int64()) for c in cols), pa.array(listed, _SPANS)], names=["doc_id", "n_units", "n_removed", "removed_chars", "spans"])
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int | None = None, common: float = 0.0) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): the lines and passages to remove.
 
     Units are the lines of at least ``min_words`` words and, unless it is None, paragraphs of ``passage_words``.
-    Returns doc_id, n_units, n_removed (spans), removed_chars, n_short_repeats (lines shorter than a paragraph, in fewer
-    than ``common`` of all rows, that occur earlier, too; they stay), spans (array of (start, stop) in code points of
-    the text, in order, none touching the next).  Any other unit goes if its normal form occurs earlier, by (doc_id,
+    Returns doc_id, n_units, n_removed (spans), removed_chars, spans (array of (start, stop) in code points of
+    the text, in order, none touching the next).  A unit goes if its normal form occurs earlier, by (doc_id,
     hash of the text, start, stop); so the earliest stays, and nothing that overlaps it goes on its account.  In a script without
     blanks, WORD_BYTES bytes count as a word.  Null text reads as empty, bytes that are no UTF-8 as U+FFFD; a null
     doc_id ranks first; repeated rows (same doc_id and text) are one document and get the same result, documents with
@@ -134,18 +129,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: i
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     found = materialize(base.mapInArrow(lambda it: _units(it, min_words, passage_words), UNIT_SCHEMA), "units")
     here = F.struct("doc_id", "h", "start", "stop")
-    groups = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.sum(F.col("fresh").cast("long")).alias("docs"), F.min(here).alias("first")).where("n > 1")
+    groups = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
     repeats = materialize(groups, "repeats")
     clear = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("start") < F.col("first.stop")))
-    goes = F.col("long") | (F.col("docs") >= common * base.count())
-    late = join_counted(found.drop("n", "fresh"), repeats, ["d1", "d2"]).where(clear)
-    gone = late.groupBy("doc_id", "h").agg(F.collect_set(F.when(goes, F.struct("start", "stop"))).alias("gone"), F.count_distinct(F.when(~goes, F.col("start"))).alias("n_short_repeats"))
+    late = join_counted(found.drop("n"), repeats, ["d1", "d2"]).where(clear)
+    gone = late.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     counted = found.where("n IS NOT NULL").groupBy("doc_id", "h").agg(F.max("n").alias("n_units"))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
     full = base.select("doc_id", "h")
     full = full.join(counted, on(full, counted), "left").select(full["doc_id"], full["h"], F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
-    full = full.join(gone, on(full, gone), "left").select(full["doc_id"], "n_units", F.coalesce("n_short_repeats", F.lit(0)).cast("long").alias("n_short_repeats"), "gone")
-    out = "doc_id long, n_units long, n_removed long, removed_chars long, n_short_repeats long, spans array<struct<start:int,stop:int>>"
+    full = full.join(gone, on(full, gone), "left").select(full["doc_id"], "n_units", "gone")
+    out = "doc_id long, n_units long, n_removed long, removed_chars long, spans array<struct<start:int,stop:int>>"
     return full.mapInArrow(_merged, out)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from . import line_dedup
+
 OP1 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
@@ -132,31 +134,30 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, '
   FROM word
 ), total AS (
   SELECT *, (sum(weight) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS upto FROM form WHERE kind = 'clause'
-), ends AS (  -- the first clause that brings a paragraph to 25 words
-  SELECT a.doc_id, a.i, a.start, b.stop, b.i AS j FROM (SELECT *, upto - weight + 25 AS goal FROM total) a ASOF JOIN total b ON a.doc_id = b.doc_id AND b.upto >= a.goal
+), ends AS (  -- the first clause that brings a paragraph to its length
+  SELECT a.doc_id, a.i, a.start, b.stop, b.i AS j FROM (SELECT *, upto - weight + PASSAGE_WORDS AS goal FROM total) a ASOF JOIN total b ON a.doc_id = b.doc_id AND b.upto >= a.goal
 ), listed AS (SELECT doc_id, list(norm ORDER BY i) AS norms FROM total GROUP BY doc_id
 ), para AS (
-  SELECT e.doc_id, e.start, e.stop, TRUE AS long, array_to_string(norms[e.i:e.j], ' ') AS norm FROM ends e JOIN listed USING (doc_id)
+  SELECT e.doc_id, e.start, e.stop, array_to_string(norms[e.i:e.j], ' ') AS norm FROM ends e JOIN listed USING (doc_id)
 ), u AS (
   SELECT * FROM para
-  UNION ALL SELECT doc_id, start, stop, weight >= 25, norm FROM form f WHERE kind = 'line' AND NOT EXISTS (FROM para p WHERE p.doc_id = f.doc_id AND p.start = f.start AND p.stop = f.stop)
-), g AS (SELECT norm, count(*) AS n, count(DISTINCT doc_id) AS docs, min({'doc_id': doc_id, 'start': start, 'stop': stop}) AS one FROM u GROUP BY norm
+  UNION ALL SELECT doc_id, start, stop, norm FROM form f WHERE kind = 'line' AND weight >= LINE_WORDS AND NOT EXISTS (FROM para p WHERE p.doc_id = f.doc_id AND p.start = f.start AND p.stop = f.stop)
+), g AS (SELECT norm, count(*) AS n, min({'doc_id': doc_id, 'start': start, 'stop': stop}) AS one FROM u GROUP BY norm
 ), late AS (
-  SELECT u.doc_id, u.start, u.stop, u.long OR g.docs >= 0.25 * (SELECT count(*) FROM documents) AS goes
+  SELECT u.doc_id, u.start, u.stop
   FROM u JOIN g USING (norm) WHERE g.n > 1 AND NOT (u.doc_id = g.one.doc_id AND u.start < g.one.stop)
 ), island AS (
   SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS k
-  FROM (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT doc_id, start, stop FROM late WHERE goes))
+  FROM (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT doc_id, start, stop FROM late))
 ), gone AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM island GROUP BY doc_id, k
 ), removed AS (
   SELECT doc_id, count(*)::BIGINT AS n_removed, sum(b - a)::BIGINT AS removed_chars, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM gone GROUP BY doc_id
 ), counted AS (SELECT doc_id, count(*)::BIGINT AS n_units FROM u GROUP BY doc_id
-), short AS (SELECT doc_id, count(DISTINCT start)::BIGINT AS n_short_repeats FROM late WHERE NOT goes GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars,
-       coalesce(n_short_repeats, 0)::BIGINT AS n_short_repeats, coalesce(spans, '') AS spans
-FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN short USING (doc_id)
-"""
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN removed USING (doc_id)
+""".replace("LINE_WORDS", str(line_dedup.PASSAGE_WORDS)).replace("PASSAGE_WORDS", str(line_dedup.PASSAGE_WORDS))
 
 
 def _crc32(text: str) -> str:

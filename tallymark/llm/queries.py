@@ -62,9 +62,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"), min_words=1, passage_words=line_dedup.PASSAGE_WORDS, common=line_dedup.COMMON)
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"), min_words=line_dedup.PASSAGE_WORDS, passage_words=line_dedup.PASSAGE_WORDS)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
-    return found.select("doc_id", "n_units", "n_removed", "removed_chars", "n_short_repeats", spans.alias("spans"))
+    return found.select("doc_id", "n_units", "n_removed", "removed_chars", spans.alias("spans"))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,22 @@ def documents(spark, tmp_path, rows):
 
 
 # -- 10 ---------------------------------------------------------------------------------------------------------------
-def test_short_lines_are_units(spark, tmp_path):
-    footer, han = "Subscribe to our newsletter", "這是一行沒有空格的文字"
-    rows = [(1, f"first\n{footer}\n{han}", "en", "s"), (2, f"second\n \n{footer.upper()}\n{han}", "en", "s"), (3, "first", "en", "s")]
-    got = {r.doc_id: (r.n_units, r.n_removed, r.removed_chars, r.spans) for r in queries.op10_line_dedup(spark, documents(spark, tmp_path, rows)).collect()}
-    assert got == {1: (3, 0, 0, ""), 2: (3, 2, 38, "9:36,37:48"), 3: (1, 1, 5, "0:5")}
+def test_units_are_lines_and_paragraphs_of_25_words(spark, tmp_path):
+    line, short = " ".join(f"word{i}" for i in range(25)), "Subscribe to our newsletter"
+    inner = ", ".join(" ".join(f"c{k}x{i}" for i in range(9)) for k in range(4))
+    rows = [(1, f"first\n{line}\n{short}", "en", "s"), (2, f"second\n \n{line.upper()}\n{short}", "en", "s"), (3, f"before this. {inner}, and after", "en", "s"), (4, f"other words; {inner}, then the rest", "en", "s"), (5, f"{short}\n{line}", "en", "s")]
+    rows += [(10 + i, f"{short}\nown text {i}", "en", "s") for i in range(20)]  # a line that most documents hold
+    got = {r.doc_id: r.spans for r in queries.op10_line_dedup(spark, documents(spark, tmp_path, rows)).collect()}
+    assert got == {i: "" for i, *_ in rows} | {2: f"9:{9 + len(line)}", 4: f"13:{13 + len(inner) + 1}", 5: f"28:{28 + len(line)}"}
+
+
+def test_no_document_changes_because_others_come(spark, tmp_path):
+    line = " ".join(f"word{i}" for i in range(30))
+    few = [(i, f"{line}\n{i}", "en", "s") for i in range(3)]
+    spans = lambda rows, at: {r.doc_id: r.spans for r in queries.op10_line_dedup(spark, documents(spark, at, rows)).collect()}
+    alone = spans(few, tmp_path / "few")
+    more = spans(few + [(100 + i, f"text {i} of another batch", "en", "s") for i in range(50)], tmp_path / "more")
+    assert alone == {i: more[i] for i in alone} and sum(bool(x) for x in alone.values()) == 2
 
 
 # -- 7 ----------------------------------------------------------------------------------------------------------------
