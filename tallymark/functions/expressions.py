@@ -22,6 +22,11 @@ def mean_to_cents(total: Column, n: Column) -> Column:
     return F.when(n > 0, F.floor((2 * total + n).cast("decimal(38,0)") / (2 * n).cast("decimal(19,0)")).cast("double") / 100)
 
 
+def hundredths(x: ColumnLike) -> Column:
+    """Rounded to two decimals, halves up, in decimals: what floating point adds beyond six places doesn't count."""
+    return F.round(col(x).cast("decimal(24,6)"), 2).cast("double")
+
+
 def truthy(x: ColumnLike) -> Column:
     """Present and not zero or empty (numbers and strings alike)."""
     c = col(x)

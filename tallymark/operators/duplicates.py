@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.config import DUPLICATE, DuplicateConfig
 from tallymark.functions import strings
-from tallymark.functions.expressions import amount_similarity, date_similarity, day_difference, sorted_tokens, squared_distance, truthy, weighted_mean
+from tallymark.functions.expressions import amount_similarity, date_similarity, day_difference, hundredths, sorted_tokens, squared_distance, truthy, weighted_mean
 
 
 def exact(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
@@ -113,14 +113,17 @@ def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: in
     counts = bags.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
     total = counts.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
     df = counts.groupBy("t").agg(F.count("*").alias("df"))
+    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("bag"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     rest = Window.partitionBy("id").orderBy("df", "t").rowsBetween(0, Window.unboundedFollowing)
     ranked = counts.join(df, "t").withColumn("rest", F.sum(F.col("n") * F.col("n")).over(rest)).join(total, "id")
     prefix = ranked.where(F.col("rest") >= cfg.semantic_min**2 * F.col("sq") - 1e-6).select("id", "t")
     pairs = prefix.select(F.col("id").alias("a"), "t").join(prefix.select(F.col("id").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
-    a, b = counts.select(F.col("id").alias("a"), "t", F.col("n").alias("x")), counts.select(F.col("id").alias("b"), "t", F.col("n").alias("y"))
-    sums = pairs.join(a, "a").join(b, ["b", "t"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("ab"), F.sum(F.col("x") * F.col("x")).alias("aa"), F.sum(F.col("y") * F.col("y")).alias("bb"))
+    side = lambda k: held.select(F.col("id").alias(k), F.col("bag").alias(f"bag_{k}"), F.col("sq").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.transform(F.array_intersect(F.map_keys("bag_a"), F.map_keys("bag_b")), lambda t: F.struct(F.element_at("bag_a", t).alias("x"), F.element_at("bag_b", t).alias("y")))
+    total_of = lambda f: F.aggregate("shared", F.lit(0).cast("long"), lambda s, p: s + f(p["x"], p["y"]))
+    full = both.withColumn("shared", shared).select("a", "b", "sa", "sb", total_of(lambda x, y: x * y).alias("ab"), total_of(lambda x, y: x * x).alias("aa"), total_of(lambda x, y: y * y).alias("bb"))
     c2 = F.pow(1 + F.log(F.lit(1.5)), F.lit(2.0))
-    full = sums.join(total.select(F.col("id").alias("a"), F.col("sq").alias("sa")), "a").join(total.select(F.col("id").alias("b"), F.col("sq").alias("sb")), "b")
     cos = F.col("ab") / F.sqrt((c2 * F.col("sa") - (c2 - 1) * F.col("aa")) * (c2 * F.col("sb") - (c2 - 1) * F.col("bb")))
     return full.select("a", "b", F.round(cos, 6).alias("similarity")).where(F.col("similarity") >= cfg.semantic_min)
 
@@ -133,6 +136,16 @@ def semantic_members(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     return words.join(first, "h", "left").select(key, "representative", "members")
 
 
+def semantic_signal(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = 500, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
+    """(key, semantic): the best similarity of each text to another, in percent; texts without one of ``semantic_min`` are absent."""
+    pairs = semantic(docs, key, text, chars, cfg)
+    ends = pairs.select(F.col("a").alias("representative"), "similarity").unionAll(pairs.select(F.col("b"), "similarity"))
+    best = ends.groupBy("representative").agg(F.max("similarity").alias("best"))
+    rows = semantic_members(docs, key, text, chars).where("representative IS NOT NULL").join(best, "representative", "left")
+    percent = F.floor((F.round(F.col("best") * 1000000).cast("long") + 50) / 100) / 100
+    return rows.where("members > 1 OR best IS NOT NULL").select(key, F.when(F.col("members") > 1, 100.0).otherwise(percent).alias("semantic"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, cfg: DuplicateConfig = DUPLICATE, cutoff: bool = True) -> DataFrame:
     """The ``knn_k`` nearest vectors by squared distance for each query (vec_id, embedding).
 
@@ -157,7 +170,7 @@ def composite(df: DataFrame) -> DataFrame:
     for c, kind in (("duplicate_of", "long"), ("day_diff", "int"), ("window_match", "long")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(kind))
-    total = F.round(0.40 * F.col("exact") + 0.30 * F.col("fuzzy") + 0.20 * F.col("semantic") + 0.10 * F.col("window"), 2)
+    total = hundredths(0.40 * F.col("exact") + 0.30 * F.col("fuzzy") + 0.20 * F.col("semantic") + 0.10 * F.col("window"))
     return df.withColumn("duplicate_score", total).withColumn("is_duplicate", F.col("duplicate_score") > 80).withColumn("summary", summary())
 
 

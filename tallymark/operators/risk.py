@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.config import RISK, RiskConfig
-from tallymark.functions.expressions import clamp, day_difference, first_argmax, integral, truthy, weekend
+from tallymark.functions.expressions import clamp, day_difference, first_argmax, hundredths, integral, truthy, weekend
 
 
 def _points(cond: Column, n: float) -> Column:
@@ -78,7 +78,7 @@ def with_composite(scored: DataFrame, cfg: RiskConfig = RISK) -> DataFrame:
     """
     parts = {"forgery": ("forgery_score", cfg.w_forgery), "duplicate": ("duplicate_score", cfg.w_duplicate), "anomaly": ("anomaly_score", cfg.w_anomaly), "rules": ("rule_score", cfg.w_rules)}
     raw = {k: F.coalesce(c, F.lit(0.0)) * w for k, (c, w) in parts.items()}
-    out = scored.withColumns({f"c_{k}": F.round(v, 2) for k, v in raw.items()} | {"risk_score": F.round(clamp(sum(raw.values(), F.lit(0.0))), 2)})
+    out = scored.withColumns({f"c_{k}": hundredths(v) for k, v in raw.items()} | {"risk_score": hundredths(clamp(sum(raw.values(), F.lit(0.0))))})
     c = {k: F.col(f"c_{k}") for k in parts}
     level = classify(F.col("risk_score"), cfg)
     dominant = F.when(F.greatest(*c.values()) > 0, first_argmax(**c)).otherwise("none")
@@ -106,7 +106,7 @@ def vendor_statistics(inv: DataFrame) -> DataFrame:
 
 def forgery(df: DataFrame) -> DataFrame:
     """Adds overall, is_forged and summary from ela, meta, copy_paste and font scores."""
-    overall = F.round(0.30 * F.col("ela") + 0.25 * F.col("meta") + 0.15 * F.col("copy_paste") + 0.30 * F.col("font"), 2)
+    overall = hundredths(0.30 * F.col("ela") + 0.25 * F.col("meta") + 0.15 * F.col("copy_paste") + 0.30 * F.col("font"))
     band = F.when(F.col("overall") < 20, "Document appears authentic").when(F.col("overall") < 50, "Minor irregularities").when(F.col("overall") < 75, "Suspicious: likely modified").otherwise("High probability of forgery")
     return df.withColumn("overall", overall).withColumns({"is_forged": F.col("overall") > 50, "summary": band})
 

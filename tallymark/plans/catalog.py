@@ -13,7 +13,8 @@ from tallymark.functions import expressions as X
 from tallymark.functions import strings
 from tallymark.operators import analytics, anomaly, docindex, duplicates, extraction, imaging, risk
 from tallymark.sources import ingest
-from tallymark.sources.views import heads, invoices, table
+from tallymark.sources.views import branch_errors as stored_errors
+from tallymark.sources.views import heads, invoices, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -30,42 +31,94 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.scored(invoices(spark, sf_dir))
-
-
 _INV = """
 WITH li AS (
   SELECT l_orderkey, min(l_suppkey) AS sk, max(l_shipdate) AS due_date, count(*) AS n_items,
          sum(round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT))::BIGINT AS sub4,
-         sum(round(l_extendedprice * 100)::BIGINT * round(l_tax * 100)::BIGINT)::BIGINT AS tax4
+         sum(round(l_extendedprice * 100)::BIGINT * round(l_tax * 100)::BIGINT)::BIGINT AS tax4,
+         ((2 * sum(5000 + 100 * l_quantity::BIGINT)::BIGINT + count(*)) // (2 * count(*)))::DOUBLE / 100 AS confidence
   FROM lineitem GROUP BY l_orderkey
 ), inv AS (
   SELECT o_orderkey AS invoice_id, s_name AS vendor_name, c_name AS buyer_name, 'INV-' || lpad(o_orderkey::VARCHAR, 8, '0') AS invoice_number,
          o_totalprice AS total_amount, sub4::DOUBLE / 10000 AS subtotal, tax4::DOUBLE / 10000 AS tax_amount, o_orderdate AS invoice_date, due_date,
-         o_orderdate AS created_at, coalesce(n_items, 0)::BIGINT AS n_items, (40 + (o_orderkey * 37) % 60)::DOUBLE AS ocr_confidence,
-         ((o_orderkey * 31) % 101)::DOUBLE AS forgery_score, ((o_orderkey * 17) % 101)::DOUBLE AS duplicate_score,
+         o_orderdate AS created_at, coalesce(n_items, 0)::BIGINT AS n_items, confidence AS ocr_confidence,
          CASE o_orderstatus WHEN 'F' THEN 'flagged' WHEN 'O' THEN 'approved' ELSE 'under_review' END AS status
   FROM orders LEFT JOIN li ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = sk LEFT JOIN customer ON c_custkey = o_custkey
 )"""
 
-_SCORED = (
+_BAGS = r"""w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(substr(text, 1, 500)), '[\pL\pN\p{Mn}\p{Mc}_]{2,}')) AS w FROM documents),
+g AS (SELECT min(doc_id) AS id, w, count(*) AS members FROM w GROUP BY w), t AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM g) GROUP BY ALL), sq AS (SELECT id, sum(n * n) AS sq FROM t GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS ab, sum(a.n * a.n) AS aa, sum(b.n * b.n) AS bb FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+c AS (SELECT a, b, round(ab / sqrt((pow(1 + ln(1.5::DOUBLE), 2) * x.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * aa) * (pow(1 + ln(1.5::DOUBLE), 2) * y.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * bb)), 6) AS similarity FROM p JOIN sq x ON x.id = a JOIN sq y ON y.id = b)"""
+
+
+def _hundredths(x: str) -> str:
+    return f"round(({x})::DECIMAL(24, 6), 2)::DOUBLE"
+
+
+def _common(a: str, b: str) -> str:
+    """SQL of the length of the longest common subsequence of two short strings: one bit a letter of the first."""
+    bits = f"list_transform(string_split({b}, ''), lambda c: coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = c THEN 1::BIGINT << (i - 1) ELSE 0 END)), 0)::BIGINT)"
+    full = f"((1::BIGINT << length({a})) - 1)"
+    return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, {bits}), lambda v, m: ((v + (v & m)) | (v & xor({full}, m))) & {full})))"
+
+
+#: Pairs of similar vendors, one amount, and at most 90 days, as ``duplicates.time_window`` finds them.
+_WINDOW = f"""wv AS (SELECT invoice_id, array_to_string(list_sort(list_filter(string_split(vendor_name, ' '), lambda x: x <> '')), ' ') AS vendor, total_amount, invoice_date FROM {{inv}} WHERE vendor_name <> '' AND total_amount <> 0 AND invoice_date IS NOT NULL),
+wm AS (SELECT a.invoice_id, b.invoice_id AS matched_id, abs(floor((epoch(a.invoice_date) - epoch(b.invoice_date)) / 86400))::INTEGER AS day_diff, a.vendor AS va, b.vendor AS vb FROM wv a JOIN wv b ON a.total_amount = b.total_amount AND a.invoice_id <> b.invoice_id),
+ww AS (SELECT invoice_id, matched_id, day_diff FROM wm WHERE day_diff <= 90 AND CASE WHEN va = vb THEN TRUE ELSE 200.0::DOUBLE * {_common("va", "vb")} / (length(va) + length(vb)) >= 85 END),
+wr AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY day_diff, matched_id)::INTEGER AS "rank" FROM ww)"""
+
+_ASSESSED = (
     _INV
-    + """, base AS (
+    + ", "
+    + _BAGS
+    + ", "
+    + _WINDOW.format(inv="inv")
+    + """, ex AS (
+  SELECT invoice_id, CASE WHEN o <> invoice_id THEN o END AS duplicate_of
+  FROM (SELECT invoice_id, min({'at': created_at, 'id': invoice_id}) OVER (PARTITION BY text).id AS o FROM inv JOIN documents ON doc_id = invoice_id WHERE text IS NOT NULL)
+), ends AS (SELECT a AS id, similarity FROM c WHERE similarity >= 0.85 UNION ALL SELECT b, similarity FROM c WHERE similarity >= 0.85
+), rep AS (SELECT g.*, (SELECT max(similarity) FROM ends WHERE ends.id = g.id) AS best FROM g WHERE len(w) > 0
+), sem AS (
+  SELECT doc_id AS invoice_id, CASE WHEN members > 1 THEN 100.0::DOUBLE ELSE ((round(best * 1000000)::BIGINT + 50) // 100)::DOUBLE / 100 END AS semantic FROM w JOIN rep USING (w) WHERE members > 1 OR best IS NOT NULL
+), lines AS (
+  SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS back, count(DISTINCT l_quantity) AS kinds, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1
+), odd AS (
+  SELECT l.l_orderkey, count(*) FILTER (l_quantity < q1 - 1.5 * greatest(q3 - q1, 1.0) OR l_quantity > q3 + 1.5 * greatest(q3 - q1, 1.0)) AS outliers FROM lineitem l JOIN lines k ON k.l_orderkey = l.l_orderkey GROUP BY 1
+), ev AS (
+  SELECT l_orderkey AS invoice_id, ((20000 * back + n) // (2 * n))::DOUBLE / 100 AS ela, ((20000 * (n - kinds) + n) // (2 * n))::DOUBLE / 100 AS copy_paste, CASE WHEN n >= 5 THEN least(100.0::DOUBLE, round(300 * outliers::DOUBLE / n, 2)) ELSE 0.0::DOUBLE END AS font,
+         (CASE WHEN o_orderpriority = '1-URGENT' THEN 30 ELSE 0 END + CASE WHEN o_orderpriority = '5-LOW' THEN 10 ELSE 0 END + CASE WHEN o_orderstatus = 'P' THEN 15 ELSE 0 END)::DOUBLE AS meta
+  FROM lines JOIN odd USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey
+)"""
+)
+
+_SCORED = (
+    _ASSESSED
+    + f""", vs AS (
+  SELECT vendor_name, round(sum(c)::DOUBLE / count(c) / 100, 6) AS va, round(sqrt(greatest(0.0::DOUBLE, (sum(c::HUGEINT * c::HUGEINT) * count(c) - sum(c)::HUGEINT * sum(c)::HUGEINT)::DOUBLE)) / count(c) / 100, 4) AS vsd
+  FROM (SELECT vendor_name, round(total_amount * 100)::BIGINT AS c FROM inv WHERE vendor_name IS NOT NULL) GROUP BY vendor_name
+), base AS (
   SELECT *, tax_amount / total_amount AS rate, floor((epoch(due_date) - epoch(invoice_date)) / 86400)::INTEGER AS days,
-         (CASE WHEN coalesce(vendor_name, '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(total_amount, 0) = 0 THEN 1 ELSE 0 END) AS missing
-  FROM inv
+         (CASE WHEN coalesce(vendor_name, '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(total_amount, 0) = 0 THEN 1 ELSE 0 END) AS missing,
+         coalesce({_hundredths("0.30::DOUBLE * ela + 0.25::DOUBLE * meta + 0.15::DOUBLE * copy_paste + 0.30::DOUBLE * font")}, 0) AS forgery_score,
+         {_hundredths("0.40::DOUBLE * 0 + 0.30::DOUBLE * 0 + 0.20::DOUBLE * coalesce(semantic, 0) + 0.10::DOUBLE * (CASE WHEN invoice_id IN (SELECT invoice_id FROM wr) THEN 100 ELSE 0 END)")} AS duplicate_score
+  FROM inv LEFT JOIN ev USING (invoice_id) LEFT JOIN sem USING (invoice_id) LEFT JOIN ex USING (invoice_id) LEFT JOIN vs USING (vendor_name)
 ), s AS (
   SELECT *, least(100.0::DOUBLE, (CASE WHEN total_amount > 10000 AND total_amount = floor(total_amount) THEN 20 ELSE 0 END
          + CASE WHEN tax_amount > 0 AND total_amount > 0 AND (rate > 0.25 OR rate < 0.03) THEN 15 ELSE 0 END
          + CASE WHEN isodow(invoice_date) >= 6 THEN 15 ELSE 0 END + CASE WHEN total_amount > 100000 THEN 15 ELSE 0 END
-         + CASE WHEN days > 0 AND days < 15 THEN 15 ELSE 0 END + 5 * missing)::DOUBLE) AS rule_score,
+         + CASE WHEN days > 0 AND days < 15 THEN 15 ELSE 0 END + 5 * missing)::DOUBLE) AS plain_rule_score,
+         CASE WHEN va > 0 AND vsd > 0 AND total_amount > va + 3 * vsd THEN 25 ELSE 0 END AS beyond,
          least(100.0::DOUBLE, (CASE WHEN total_amount > 1000 AND total_amount = floor(total_amount) THEN 15 ELSE 0 END
          + CASE WHEN tax_amount > 0 AND total_amount > 0 AND (rate > 0.30 OR rate < 0.01) THEN 20 ELSE 0 END
          + CASE WHEN total_amount > 100000 THEN 15 ELSE 0 END + CASE WHEN ocr_confidence < 60 THEN 15 ELSE 0 END + 10 * missing)::DOUBLE) AS anomaly_score
   FROM base
+), q AS (
+  SELECT * REPLACE (CASE WHEN duplicate_of IS NULL THEN forgery_score END AS forgery_score, CASE WHEN duplicate_of IS NULL THEN duplicate_score ELSE 100 END AS duplicate_score, CASE WHEN duplicate_of IS NULL THEN anomaly_score END AS anomaly_score),
+         CASE WHEN duplicate_of IS NULL THEN least(100.0::DOUBLE, plain_rule_score + beyond) END AS rule_score FROM s
 ), r AS (
-  SELECT *, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 0.0::DOUBLE + forgery_score * 0.30::DOUBLE + duplicate_score * 0.25::DOUBLE + anomaly_score * 0.25::DOUBLE + rule_score * 0.20::DOUBLE)), 2) AS risk_score FROM s
+  SELECT *, CASE WHEN duplicate_of IS NOT NULL THEN 100.0::DOUBLE ELSE {_hundredths("least(100.0::DOUBLE, greatest(0.0::DOUBLE, 0.0::DOUBLE + forgery_score * 0.30::DOUBLE + duplicate_score * 0.25::DOUBLE + anomaly_score * 0.25::DOUBLE + rule_score * 0.20::DOUBLE))")} END AS risk_score FROM q
 ), x AS (
   SELECT *, CASE WHEN risk_score <= 30 THEN 'low' WHEN risk_score <= 60 THEN 'medium' WHEN risk_score <= 85 THEN 'high' ELSE 'critical' END AS risk_level FROM r
 )"""
@@ -100,7 +153,7 @@ def invoice_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _SCORED
-    + """ SELECT invoice_id, rule_score, concat_ws(';', CASE WHEN total_amount > 10000 AND total_amount = floor(total_amount) THEN 'round_number_high_amount' END,
+    + """ SELECT invoice_id, plain_rule_score AS rule_score, concat_ws(';', CASE WHEN total_amount > 10000 AND total_amount = floor(total_amount) THEN 'round_number_high_amount' END,
   CASE WHEN tax_amount > 0 AND total_amount > 0 AND (rate > 0.25 OR rate < 0.03) THEN 'unusual_tax_rate' END,
   CASE WHEN isodow(invoice_date) >= 6 THEN 'weekend_invoice_date' END, CASE WHEN total_amount > 100000 THEN 'very_high_amount' END,
   CASE WHEN days > 0 AND days < 15 THEN 'short_payment_terms_' || days || '_days' END,
@@ -112,28 +165,35 @@ def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("invoice_id", "rule_score", F.array_join(plain, ";").alias("flags"))
 
 
-@query(_SCORED + " SELECT invoice_id, anomaly_score, total_amount > 50000 AS high_value, coalesce(rate > 0.25 OR (rate > 0 AND rate < 0.03), FALSE) AS unusual_tax, ocr_confidence < 70 AS low_confidence FROM s")
+@query(_SCORED + " SELECT invoice_id, anomaly_score, total_amount > 50000 AS high_value, coalesce(rate > 0.25 OR (rate > 0 AND rate < 0.03), FALSE) AS unusual_tax, coalesce(ocr_confidence, 100) < 70 AS low_confidence FROM s")
 def anomaly_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.with_heuristics(invoices(spark, sf_dir)).select("invoice_id", "anomaly_score", "high_value", "unusual_tax", "low_confidence")
 
 
 @query(
     _SCORED
-    + """, c AS (SELECT *, round(forgery_score * 0.30::DOUBLE, 2) AS c_forgery, round(duplicate_score * 0.25::DOUBLE, 2) AS c_duplicate, round(anomaly_score * 0.25::DOUBLE, 2) AS c_anomaly, round(rule_score * 0.20::DOUBLE, 2) AS c_rules FROM x)
-SELECT invoice_id, risk_score, risk_level, c_forgery, c_duplicate, c_anomaly, c_rules,
+    + ", cc AS (SELECT *, " + ", ".join(_hundredths(f"{k}_score * {w}::DOUBLE") + f" AS c_{n}" for k, n, w in (("forgery", "forgery", 0.30), ("duplicate", "duplicate", 0.25), ("anomaly", "anomaly", 0.25), ("rule", "rules", 0.20)))
+    + """ FROM x WHERE duplicate_of IS NULL)
+SELECT invoice_id, duplicate_of, risk_score, risk_level, c_forgery, c_duplicate, c_anomaly, c_rules,
   CASE risk_level WHEN 'low' THEN 'auto_approve' WHEN 'critical' THEN 'block_and_alert' ELSE 'manual_review' END AS recommended_action,
   CASE WHEN risk_level IN ('critical', 'high') THEN 'flagged' WHEN risk_level = 'medium' THEN 'under_review' ELSE 'analyzed' END AS new_status,
   CASE WHEN greatest(c_forgery, c_duplicate, c_anomaly, c_rules) <= 0 THEN 'none' WHEN c_forgery >= greatest(c_duplicate, c_anomaly, c_rules) THEN 'forgery'
-       WHEN c_duplicate >= greatest(c_anomaly, c_rules) THEN 'duplicate' WHEN c_anomaly >= c_rules THEN 'anomaly' ELSE 'rules' END AS dominant_risk FROM c"""
+       WHEN c_duplicate >= greatest(c_anomaly, c_rules) THEN 'duplicate' WHEN c_anomaly >= c_rules THEN 'anomaly' ELSE 'rules' END AS dominant_risk FROM cc
+UNION ALL SELECT invoice_id, duplicate_of, risk_score, risk_level, NULL, NULL, NULL, NULL, NULL, 'duplicate', NULL FROM x WHERE duplicate_of IS NOT NULL"""
 )
 def composite_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("invoice_id", "risk_score", "risk_level", "c_forgery", "c_duplicate", "c_anomaly", "c_rules", "recommended_action", "new_status", "dominant_risk")
+    return scored(spark, sf_dir).select("invoice_id", "duplicate_of", "risk_score", "risk_level", "c_forgery", "c_duplicate", "c_anomaly", "c_rules", "recommended_action", "new_status", "dominant_risk")
 
 
-@query(_SCORED + " SELECT CASE WHEN g <= 20 THEN 'low' WHEN g <= 70 THEN 'medium' WHEN g <= 90 THEN 'high' ELSE 'critical' END AS level, count(*) AS n FROM (SELECT greatest(forgery_score, anomaly_score) AS g FROM s) GROUP BY 1")
+@query(_ASSESSED + " SELECT 'forgery' AS branch, inv.invoice_id, 'no image evidence' AS error FROM inv LEFT JOIN ev USING (invoice_id) LEFT JOIN ex USING (invoice_id) WHERE ev.invoice_id IS NULL AND duplicate_of IS NULL")
+def branch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_errors(spark, sf_dir)
+
+
+@query(_SCORED + " SELECT CASE WHEN g <= 10 THEN 'low' WHEN g <= 20 THEN 'medium' WHEN g <= 90 THEN 'high' ELSE 'critical' END AS level, count(*) AS n FROM (SELECT risk_score AS g FROM x) GROUP BY 1")
 def reconfigured_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = RISK.with_thresholds(low_max=20.0, medium_max=70.0, high_max=90.0)
-    return scored(spark, sf_dir).groupBy(risk.classify(F.greatest("forgery_score", "anomaly_score"), cfg).alias("level")).agg(F.count("*").alias("n"))
+    cfg = RISK.with_thresholds(low_max=10.0, medium_max=20.0, high_max=90.0)
+    return scored(spark, sf_dir).groupBy(risk.classify(F.col("risk_score"), cfg).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query(_SCORED + " SELECT invoice_id, least(100.0::DOUBLE, 0.5::DOUBLE * greatest(0.0::DOUBLE, 100 - ocr_confidence) + 20 * (CASE WHEN vendor_name IS NULL THEN 1 ELSE 0 END)) AS legacy_score FROM s")
@@ -156,13 +216,13 @@ def vendor_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT invoice_id, coalesce(total_amount, 0)::DOUBLE AS total, coalesce(tax_amount, 0)::DOUBLE AS tax, coalesce(subtotal, 0)::DOUBLE AS subtotal,
   CASE WHEN total_amount > 0 THEN coalesce(tax_amount, 0) / total_amount ELSE 0 END AS tax_ratio, total_amount / greatest(1, n_items) AS amount_per_item,
   (isodow(invoice_date) - 1)::DOUBLE AS weekday, day(invoice_date)::DOUBLE AS day, month(invoice_date)::DOUBLE AS month,
-  coalesce(floor((epoch(due_date) - epoch(invoice_date)) / 86400), 30)::DOUBLE AS days_until_due, ocr_confidence AS confidence, 0.0::DOUBLE AS text_length, 1.0::DOUBLE AS vendor_frequency, 0.0::DOUBLE AS vendor_deviation FROM inv"""
+  coalesce(floor((epoch(due_date) - epoch(invoice_date)) / 86400), 30)::DOUBLE AS days_until_due, coalesce(ocr_confidence, 50) AS confidence, 0.0::DOUBLE AS text_length, 1.0::DOUBLE AS vendor_frequency, 0.0::DOUBLE AS vendor_deviation FROM inv"""
 )
 def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.features(invoices(spark, sf_dir))
 
 
-@query(_INV + " SELECT invoice_id, round((ocr_confidence - avg(ocr_confidence) OVER ()) / stddev_pop(ocr_confidence) OVER (), 6) AS confidence, round((day(invoice_date) - avg(day(invoice_date)) OVER ()) / stddev_pop(day(invoice_date)) OVER (), 6) AS day FROM inv")
+@query(_INV + " SELECT invoice_id, round((coalesce(ocr_confidence, 50) - avg(coalesce(ocr_confidence, 50)) OVER ()) / stddev_pop(coalesce(ocr_confidence, 50)) OVER (), 6) AS confidence, round((day(invoice_date) - avg(day(invoice_date)) OVER ()) / stddev_pop(day(invoice_date)) OVER (), 6) AS day FROM inv")
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = anomaly.standardise(anomaly.features(invoices(spark, sf_dir)), ("confidence", "day"))
     return s.select("invoice_id", F.round("confidence", 6).alias("confidence"), F.round("day", 6).alias("day"))
@@ -176,17 +236,16 @@ def learned_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- dashboards, listings ---------------------------------------------------------------------------------------------
 @query(
     _SCORED
-    + """, t AS (SELECT max(created_at) AS now FROM x)
+    + """, tt AS (SELECT max(created_at) AS now FROM x)
 SELECT count(*) AS total_invoices, count(*) FILTER (status = 'flagged') AS flagged, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected,
   count(*) FILTER (risk_level = 'high') AS high_risk, count(*) FILTER (risk_level = 'critical') AS critical_risk,
   coalesce(((2 * sum(round(risk_score * 100)::BIGINT)::BIGINT + count(risk_score)) // (2 * count(risk_score)))::DOUBLE / 100, 0) AS avg_risk, coalesce(round(sum(round(total_amount * 100)::BIGINT)::DOUBLE / 100, 2), 0) AS total_amount,
   count(*) FILTER (duplicate_score > 80) AS duplicates, count(*) FILTER (created_at >= date_trunc('day', now)) AS today
-FROM x, t WHERE created_at >= now - INTERVAL 365 DAY"""
+FROM x, tt WHERE created_at >= now - INTERVAL 365 DAY"""
 )
 def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = analytics.as_of(table(spark, sf_dir, "orders"), "o_orderdate")
-    recent = invoices(spark, sf_dir, f"o_orderdate >= TIMESTAMP_NTZ '{now - dt.timedelta(days=365)}'")  # before lines are summed
-    return analytics.dashboard(risk.scored(recent), now, 365)
+    return analytics.dashboard(scored(spark, sf_dir), now, 365)
 
 
 @query(_SCORED + " SELECT l AS risk_level, count(invoice_id) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(l) LEFT JOIN x ON risk_level = l GROUP BY l")
@@ -202,7 +261,7 @@ def daily_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _SCORED
     + """ SELECT invoice_id, vendor_name, risk_score, risk_level, alert_type, 'High ' || alert_type || ' risk detected' AS description
-FROM (SELECT *, CASE WHEN forgery_score >= greatest(duplicate_score, anomaly_score) THEN 'forgery' WHEN duplicate_score >= anomaly_score THEN 'duplicate' ELSE 'anomaly' END AS alert_type FROM x)
+FROM (SELECT *, CASE WHEN coalesce(forgery_score, 0) >= greatest(duplicate_score, coalesce(anomaly_score, 0)) THEN 'forgery' WHEN duplicate_score >= coalesce(anomaly_score, 0) THEN 'duplicate' ELSE 'anomaly' END AS alert_type FROM x)
 WHERE risk_level IN ('high', 'critical') AND status IN ('flagged', 'under_review')"""
 )
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +273,9 @@ def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.alerts(scored(spark, sf_dir)).groupBy(F.col("risk_level").alias("alert")).agg(F.count("*").alias("n"))
 
 
-@query(_SCORED + " SELECT invoice_id, vendor_name, total_amount, risk_score, created_at FROM x WHERE status = 'flagged' AND risk_level = 'medium' AND vendor_name ILIKE '%1%' AND created_at >= TIMESTAMP '1996-01-01' ORDER BY total_amount DESC NULLS LAST, invoice_id LIMIT 20 OFFSET 20")
+@query(_SCORED + " SELECT invoice_id, vendor_name, total_amount, risk_score, created_at FROM x WHERE status = 'flagged' AND risk_level = 'low' AND vendor_name ILIKE '%1%' AND created_at >= TIMESTAMP '1996-01-01' ORDER BY total_amount DESC NULLS LAST, invoice_id LIMIT 20 OFFSET 20")
 def invoice_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analytics.listing(scored(spark, sf_dir), status="flagged", risk_level="medium", vendor="1", date_from="1996-01-01")
+    rows = analytics.listing(scored(spark, sf_dir), status="flagged", risk_level="low", vendor="1", date_from="1996-01-01")
     return analytics.page(rows, "total_amount", True, 2, 20).select("invoice_id", "vendor_name", "total_amount", "risk_score", "created_at")
 
 
@@ -234,10 +293,10 @@ def listing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SCORED + " SELECT invoice_id, invoice_number, vendor_name, total_amount, status, risk_score, risk_level FROM x WHERE invoice_id = (SELECT min(o_orderkey) FROM orders)")
 def invoice_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
-    return risk.scored(invoices(spark, sf_dir).where(F.col("invoice_id") == one)).select("invoice_id", "invoice_number", "vendor_name", "total_amount", "status", "risk_score", "risk_level")
+    return scored(spark, sf_dir).where(F.col("invoice_id") == one).select("invoice_id", "invoice_number", "vendor_name", "total_amount", "status", "risk_score", "risk_level")
 
 
-@query(_SCORED + " SELECT invoice_id, coalesce(risk_level, 'low') AS risk_level, forgery_score AS ev_forgery, duplicate_score AS ev_duplicate, anomaly_score AS ev_anomaly, rule_score AS ev_rules FROM x")
+@query(_SCORED + " SELECT invoice_id, coalesce(risk_level, 'low') AS risk_level, coalesce(forgery_score, 0) AS ev_forgery, coalesce(duplicate_score, 0) AS ev_duplicate, coalesce(anomaly_score, 0) AS ev_anomaly, coalesce(rule_score, 0) AS ev_rules FROM x")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = F.struct(*[F.col(f"{c}_score").alias(c) for c in ("forgery", "duplicate", "anomaly")], F.col("rule_score").alias("rules"))
     rows = scored(spark, sf_dir).select("invoice_id", F.coalesce("risk_level", F.lit("low")).alias("risk_level"), ev.alias("ev"))
@@ -340,13 +399,7 @@ def time_window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.time_window(inv).agg(F.count("*").alias("matches"), F.count_distinct("invoice_id").alias("flagged"), F.coalesce(F.sum("day_diff"), F.lit(0)).cast("long").alias("days"))
 
 
-@query(
-    r"""WITH w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(substr(text, 1, 500)), '[\pL\pN\p{Mn}\p{Mc}_]{2,}')) AS w FROM documents),
-g AS (SELECT min(doc_id) AS id, w FROM w GROUP BY w), t AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM g) GROUP BY ALL), s AS (SELECT id, sum(n * n) AS sq FROM t GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS ab, sum(a.n * a.n) AS aa, sum(b.n * b.n) AS bb FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
-c AS (SELECT a, b, round(ab / sqrt((pow(1 + ln(1.5::DOUBLE), 2) * x.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * aa) * (pow(1 + ln(1.5::DOUBLE), 2) * y.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * bb)), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b)
-SELECT * FROM c WHERE similarity >= 0.85"""
-)
+@query("WITH " + _BAGS + " SELECT * FROM c WHERE similarity >= 0.85")
 def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.semantic(table(spark, sf_dir, "documents"))
 
@@ -392,7 +445,7 @@ _SIGNALS = "(SELECT o_orderkey AS invoice_id, CASE WHEN o_orderkey % 10 = 0 THEN
 
 
 @query(
-    f"""WITH c AS (SELECT *, round(0.40::DOUBLE * exact + 0.30::DOUBLE * fuzzy + 0.20::DOUBLE * semantic + 0.10::DOUBLE * win, 2) AS d FROM {_SIGNALS}),
+    f"""WITH c AS (SELECT *, round((0.40::DOUBLE * exact + 0.30::DOUBLE * fuzzy + 0.20::DOUBLE * semantic + 0.10::DOUBLE * win)::DECIMAL(24, 6), 2)::DOUBLE AS d FROM {_SIGNALS}),
 t AS (SELECT *, (round(d * 100)::BIGINT + 5) // 10 AS k, (round(semantic * 100)::BIGINT + 5) // 10 AS m FROM c),
 f AS (SELECT *, (k // 10) || '.' || (k % 10) || '%' AS said, concat_ws('; ', CASE WHEN semantic >= 85 THEN 'semantic line-item match (' || (m // 10) || '.' || (m % 10) || '%)' END, CASE WHEN win > 0 THEN 'same vendor+amount within ' || (invoice_id % 90) || ' days (invoice ' || (invoice_id + 2) || ')' END) AS flags FROM t)
 SELECT invoice_id, d AS duplicate_score, d > 80 AS is_duplicate, CASE WHEN exact >= 100 THEN 'EXACT DUPLICATE detected (matches invoice ' || (invoice_id + 1) || ')'
@@ -527,7 +580,7 @@ _IMG = "(SELECT p_partkey AS id, (p_partkey % 101)::DOUBLE AS ela, least(100, 30
 
 @query(
     f"""SELECT id, meta, o AS overall, o > 50 AS is_forged, CASE WHEN o < 20 THEN 'Document appears authentic' WHEN o < 50 THEN 'Minor irregularities' WHEN o < 75 THEN 'Suspicious: likely modified' ELSE 'High probability of forgery' END AS summary
-FROM (SELECT *, round(0.30::DOUBLE * ela + 0.25::DOUBLE * meta + 0.15::DOUBLE * copy_paste + 0.30::DOUBLE * font, 2) AS o FROM {_IMG})"""
+FROM (SELECT *, round((0.30::DOUBLE * ela + 0.25::DOUBLE * meta + 0.15::DOUBLE * copy_paste + 0.30::DOUBLE * font)::DECIMAL(24, 6), 2)::DOUBLE AS o FROM {_IMG})"""
 )
 def forgery_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, z = F.col("p_partkey"), F.col("p_size")

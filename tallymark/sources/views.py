@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions.expressions import cents
+from tallymark.functions.expressions import cents, mean_to_cents
+from tallymark.operators import assessment, duplicates, imaging, risk
+from tallymark.sources.handoff import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,52 @@ def order_lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = Non
         F.sum(price * cents("l_tax")).alias("tax4"),
         F.max("l_shipdate").alias("due_date"),
         F.count("*").alias("n_items"),
+        mean_to_cents(F.sum(5000 + 100 * F.col("l_quantity").cast("long")), F.count("*")).alias("confidence"),
     )
 
 
+def forgery_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What image analysis would leave for each invoice with lines: ela, meta, copy_paste, font (0 to 100).
+
+    Returned lines stand for regions of another error level, repeated quantities for copied blocks, quantities for the
+    heights of characters, and the order's priority and state for the image's metadata.
+    """
+    li, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines = li.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("back"), F.size(F.collect_set("l_quantity")).cast("long").alias("kinds"))
+    fonts = imaging.font_consistency(li.select(F.col("l_orderkey").alias("image_id"), F.col("l_quantity").alias("height"))).select(F.col("image_id").alias("l_orderkey"), F.col("score").alias("font"))
+    priority, size = F.col("o_orderpriority"), F.lit(1000)
+    image = orders.select(F.col("o_orderkey").alias("l_orderkey"), (priority == "1-URGENT").cast("int").alias("editors"), (priority != "5-LOW").alias("has_exif"), (F.col("o_orderstatus") == "P").alias("has_alpha"), F.lit(300).alias("dpi"), size.alias("width"), size.alias("height"))
+    rows = risk.metadata_score(image).select("l_orderkey", "meta").join(lines, "l_orderkey").join(fonts, "l_orderkey")
+    return rows.select(F.col("l_orderkey").alias("invoice_id"), mean_to_cents(10000 * F.col("back"), F.col("n")).alias("ela"), "meta", mean_to_cents(10000 * (F.col("n") - F.col("kinds")), F.col("n")).alias("copy_paste"), "font")
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """invoice_id and file_hash of the invoices whose file is at hand: the document with their number."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("invoice_id"), F.sha2("text", 256).alias("file_hash"))
+
+
+def assessed(spark: SparkSession, sf_dir: str) -> assessment.Assessed:
+    """All invoices as one batch through the branches of ``assessment``."""
+    inv = invoices(spark, sf_dir)
+    batch = inv.join(contents(spark, sf_dir), "invoice_id", "left")
+    window = duplicates.time_window(inv).select("invoice_id").distinct().withColumn("window", F.lit(100.0))
+    semantic = duplicates.semantic_signal(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "invoice_id"), key="invoice_id")
+    branches = {"forgery": assessment.forgery_branch(forgery_evidence(spark, sf_dir)), "duplicate": assessment.duplicate_branch(semantic, window), "anomaly": assessment.anomaly_branch()}
+    return assessment.assess(batch, branches, vendors=risk.vendor_statistics(inv))
+
+
+_INPUTS = ("orders", "lineitem", "supplier", "customer", "documents")
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assessed invoices as a stored table, made again when a file of the inputs changes."""
+    return kept(spark, "assessed", [f"{sf_dir}/{t}.parquet" for t in _INPUTS], lambda: assessed(spark, sf_dir).rows)
+
+
+def branch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, "branch-errors", [f"{sf_dir}/{t}.parquet" for t in _INPUTS], lambda: assessed(spark, sf_dir).errors)
+
+
 def _head() -> list[Column]:
     """Columns of an invoice that its order has by itself."""
     key, state = F.col("o_orderkey"), F.col("o_orderstatus")
@@ -39,9 +84,6 @@ def _head() -> list[Column]:
         F.col("o_totalprice").alias("total_amount"),
         F.col("o_orderdate").alias("invoice_date"),
         F.col("o_orderdate").alias("created_at"),
-        (40 + (key * 37) % 60).cast("double").alias("ocr_confidence"),
-        ((key * 31) % 101).cast("double").alias("forgery_score"),
-        ((key * 17) % 101).cast("double").alias("duplicate_score"),
         F.when(state == "F", "flagged").when(state == "O", "approved").otherwise("under_review").alias("status"),
     ]
 
@@ -52,7 +94,7 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoices(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    """Invoices: an order with its vendor (null without lines), buyer, amounts, dates, OCR confidence and stored scores.
+    """Invoices: an order with its vendor (null without lines), buyer, amounts, dates, and the mean confidence of its lines.
 
     ``where`` is a condition on the order; lines of others are not summed.
     """
@@ -61,6 +103,6 @@ def invoices(spark: SparkSession, sf_dir: str, where: str | None = None) -> Data
         o = o.where(where)
     lines = order_lines(spark, sf_dir, None if where is None else o)
     rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(s.select("s_suppkey", "s_name"), F.col("suppkey") == F.col("s_suppkey"), "left").join(c.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    of_lines = [(F.col("sub4").cast("double") / 10000).alias("subtotal"), (F.col("tax4").cast("double") / 10000).alias("tax_amount"), F.col("due_date"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items")]
+    of_lines = [(F.col("sub4").cast("double") / 10000).alias("subtotal"), (F.col("tax4").cast("double") / 10000).alias("tax_amount"), F.col("due_date"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("confidence").alias("ocr_confidence")]
     every = rows.select(*_head(), F.col("s_name").alias("vendor_name"), F.col("c_name").alias("buyer_name"), *of_lines)
-    return every.select("invoice_id", "vendor_name", "buyer_name", "invoice_number", "total_amount", "subtotal", "tax_amount", "invoice_date", "due_date", "created_at", "n_items", "ocr_confidence", "forgery_score", "duplicate_score", "status")
+    return every.select("invoice_id", "vendor_name", "buyer_name", "invoice_number", "total_amount", "subtotal", "tax_amount", "invoice_date", "due_date", "created_at", "n_items", "ocr_confidence", "status")

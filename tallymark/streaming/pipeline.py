@@ -11,30 +11,20 @@ from pyspark.sql.types import StructType
 
 from tallymark.config import DUPLICATE
 from tallymark.functions.expressions import sorted_tokens, truthy
-from tallymark.operators import risk
+from tallymark.operators.assessment import Assessed, Branch, anomaly_branch, assess
 
 
 def read(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def process_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """Score one micro-batch; a row whose content was seen before, in the batch or in ``seen`` (file_hash, invoice_id), is a duplicate of risk 100.
+def process_batch(batch: DataFrame, seen: DataFrame | None, branches: dict[str, Branch] | None = None, vendors: DataFrame | None = None) -> Assessed:
+    """Assess one micro-batch; a row whose content was seen before, in the batch or in ``seen`` (file_hash, invoice_id), is a duplicate of risk 100.
 
-    Duplicates may be arbitrarily old, so they are looked up in a table, not in watermarked state.
+    Duplicates may be arbitrarily old, so they are looked up in a table, not in watermarked state.  Without ``branches``,
+    the anomaly heuristic is the only one.
     """
-    first = batch.groupBy("file_hash").agg(F.min(F.struct("created_at", "invoice_id")).alias("first"))
-    rows = risk.scored(batch).join(first, "file_hash", "left").withColumn("in_batch", F.col("first.invoice_id")).drop("first")
-    if seen is not None:
-        rows = rows.join(seen.groupBy("file_hash").agg(F.min("invoice_id").alias("older")), "file_hash", "left")
-    else:
-        rows = rows.withColumn("older", F.lit(None).cast("long"))
-    of = F.coalesce("older", F.when(F.col("in_batch") != F.col("invoice_id"), F.col("in_batch")))
-    dup = F.col("duplicate_of").isNotNull()
-    return rows.withColumn("duplicate_of", of).withColumns({
-        "risk_score": F.when(dup, 100.0).otherwise(F.col("risk_score")), "risk_level": F.when(dup, "critical").otherwise(F.col("risk_level")),
-        "new_status": F.when(dup, "duplicate").otherwise(F.col("new_status")),
-    }).drop("older", "in_batch")
+    return assess(batch, {"anomaly": anomaly_branch()} if branches is None else branches, seen, vendors)
 
 
 def failed(batch: DataFrame) -> DataFrame:
@@ -43,22 +33,34 @@ def failed(batch: DataFrame) -> DataFrame:
     return batch.withColumns({"error": error, "status": F.lit("uploaded")}).where("error IS NOT NULL")
 
 
-def start(stream: DataFrame, out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+#: Hexadecimal digits of a hash that name the folder in the table of seen contents.
+PREFIX = 2
+
+
+def seen_before(spark: SparkSession, path: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """Contents seen before this batch, of the folders that the batch's hashes fall into: at most 16 ** PREFIX names."""
+    prefixes = [r.p for r in batch.where("file_hash IS NOT NULL").select(F.substring("file_hash", 1, PREFIX).alias("p")).distinct().collect()]
+    table = spark.read.schema("file_hash string, invoice_id long, prefix string, batch long").parquet(path)
+    return table.where((F.col("batch") < batch_id) & F.col("prefix").isin(prefixes)).select("file_hash", "invoice_id")
+
+
+def start(stream: DataFrame, out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, branches: dict[str, Branch] | None = None, vendors: DataFrame | None = None) -> StreamingQuery:
     """Process all available input; each batch overwrites its own folders, so a repeated batch leaves one copy.
 
-    Beside ``out`` stand ``out``.seen, the first invoice of every content (two columns, all that a later batch reads),
-    and ``out``.errors, the rows of ``failed``.
+    Beside ``out`` stand ``out``.seen, the first invoice of every content (dealt by the hash's first digits, and only those
+    of a batch are read), and ``out``.errors: the rows of ``failed``, and what branches could not judge (branch, error).
     """
-    seen, schema = f"{out}.seen", "file_hash string, invoice_id long, batch long"
-    stream.sparkSession.createDataFrame([], schema).drop("batch").write.mode("ignore").parquet(f"{seen}/batch=-1")
+    seen, wide = f"{out}.seen", "file_hash string, invoice_id long"
+    stream.sparkSession.createDataFrame([], wide).write.mode("ignore").parquet(f"{seen}/prefix=none/batch=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = spark.read.schema(schema).parquet(seen).where(F.col("batch") < batch_id)
-        failed(batch).write.mode("overwrite").parquet(f"{out}.errors/batch={batch_id}")
-        process_batch(batch.where("invoice_id IS NOT NULL AND file_hash IS NOT NULL"), older).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        found = process_batch(batch.where("invoice_id IS NOT NULL AND file_hash IS NOT NULL"), seen_before(spark, seen, batch, batch_id), branches, vendors)
+        failed(batch).withColumn("branch", F.lit("batch")).unionByName(found.errors, allowMissingColumns=True).write.mode("overwrite").parquet(f"{out}.errors/batch={batch_id}")
+        found.rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         done = spark.read.parquet(f"{out}/batch={batch_id}")
-        done.where("new_status <> 'duplicate'").select("file_hash", "invoice_id").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        fresh = done.where("new_status <> 'duplicate'").select("file_hash", "invoice_id", F.substring("file_hash", 1, PREFIX).alias("prefix"), F.lit(batch_id).cast("long").alias("batch"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch").parquet(seen)
         if after is not None:
             after(done, batch_id)
 
