@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 
 def damerau_levenshtein(a: str, b: str) -> int:
-    """Unrestricted distance: insert, delete, replace, swap of neighbours with edits between them."""
+    """Unrestricted distance: insert, delete, replace, swap of neighbours with edits between them.
+
+    What both begin and end with costs nothing and is cut off first.
+    """
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
     last_row: dict[str, int] = {}
     far = len(a) + len(b)
     d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.config import DUPLICATE, DuplicateConfig
 from tallymark.functions import strings
 from tallymark.functions.expressions import amount_similarity, date_similarity, day_difference, hundredths, sorted_tokens, squared_distance, truthy, weighted_mean
+from tallymark.sources.handoff import hand_over
 
 
 def exact(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
@@ -58,10 +62,10 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def candidates(inv: DataFrame, exact: bool = False) -> DataFrame:
-    """Blocked pairs a < b: equal vendor words, or equal amounts, or invoice numbers one edit apart; ``exact`` gives all pairs.
+    """Blocked pairs a < b: equal vendor words, or equal amounts, or invoice numbers one edit apart; ``exact`` gives all pairs (for tests).
 
-    A missing field keeps an invoice out of that field's block only.  Lossy by design: scores renormalise over what is
-    present, so any one field can carry a pair.  Two numbers one edit (or one swap of neighbours) apart share the number
+    A missing field keeps an invoice out of that field's block only.  Blocks lose pairs, as any one field can carry a pair;
+    ``best_matches`` does not use them but where there is no number to search by.  Two numbers one edit (or one swap of neighbours) apart share the number
     or what is left of it without one character.
     """
     number = F.col("invoice_number")
@@ -80,6 +84,124 @@ def candidates(inv: DataFrame, exact: bool = False) -> DataFrame:
     return vendor.unionByName(amount).unionByName(near.dropDuplicates(["invoice_id", "b_invoice_id"]))
 
 
+#: Weights of the fields of the fuzzy score, in points; raw texts, where there are some, come on top.
+WEIGHTS = {"number": 30.0, "vendor": 20.0, "amount": 25.0, "date": 15.0, "raw": 10.0}
+#: Points that amounts and dates may cost together, by class; an invoice is in the first class that holds its slack.
+SLACKS = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 12.0, 14.0, 17.0, 21.0, 40.0)
+#: Slack of the first look around, which only has to find some good matches.
+FIRST_SLACK = 3.0
+
+
+def _neighbours(v: DataFrame, order: list[str], k: int) -> DataFrame:
+    """Pairs (invoice_id, b_invoice_id) of each row and the ``k`` before it in the order, within ranges of rows."""
+    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = v.select("invoice_id", *order).repartitionByRange(parts, *order, "invoice_id").withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(*order, "invoice_id").rowsBetween(-k, -1)
+    return ranged.select("invoice_id", F.collect_list("invoice_id").over(w).alias("b")).select("invoice_id", F.explode("b").alias("b_invoice_id"))
+
+
+def _with_fields(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    """Pairs of ids with both sides' fields."""
+    return pairs.join(v, "invoice_id").join(v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns]), "b_invoice_id")
+
+
+def _within(a: DataFrame, b: DataFrame, amounts: bool, dates: bool, weight: float, strings_too: bool = True) -> DataFrame:
+    """Pairs (invoice_id, b_invoice_id) whose amounts and dates (those asked for) leave a's ``least`` score in reach.
+
+    The score is over ``weight`` points, of which number and vendor can give all of theirs.  A class of slacks has cells
+    as wide as its largest slack reaches; a's row looks into its cell and those beside it, b's is in one cell a class.
+    """
+    slack = weight * (100 - F.col("least")) / 100
+    a = a.withColumn("slack", slack).withColumn("kind", sum((F.when(F.col("slack") > s, 1).otherwise(0) for s in SLACKS[:-1]), F.lit(0)))
+    day = F.floor(F.unix_timestamp(F.col("invoice_date").cast("timestamp")) / 86400)
+
+    def cell(value: Column, reach: list[float | None]) -> Column:
+        """The cell of the row's class; 0 where the class reaches everywhere."""
+        widths = F.array(*[F.lit(float(r) if r else 0.0) for r in reach])
+        width = F.get(widths, F.col("kind"))
+        return F.when(width > 0, F.floor(value / width)).otherwise(F.lit(0)).cast("long")
+
+    of_amount = [-float(np.log(1 - s / WEIGHTS["amount"])) * 1.0001 if s < WEIGHTS["amount"] else None for s in SLACKS] if amounts else [None] * len(SLACKS)
+    of_date = [365 * s / WEIGHTS["date"] + 2 if s < WEIGHTS["date"] else None for s in SLACKS] if dates else [None] * len(SLACKS)
+    held = lambda df: df.withColumns({"ca": cell(F.log("total_amount"), of_amount) if amounts else F.lit(0).cast("long"), "cd": cell(day, of_date) if dates else F.lit(0).cast("long")})
+    beside = lambda c, reach: F.when(F.get(F.array(*[F.lit(r is not None) for r in reach]), F.col("kind")), F.sequence(F.col(c) - 1, F.col(c) + 1)).otherwise(F.array(F.col(c)))
+    asking = held(a).withColumn("ca", F.explode(beside("ca", of_amount))).withColumn("cd", F.explode(beside("cd", of_date)))
+    used = F.array(*[F.lit(r[0]) for r in a.select("kind").distinct().collect()])  # at most one a class
+    there = held(b.withColumn("kind", F.explode(used)))
+    there = there.select(*[F.col(c).alias(f"b_{c}") for c in ("invoice_id", "total_amount", "invoice_date", "invoice_number", "vendor_key", "kind", "ca", "cd")])
+    met = _met(asking, there, ["kind", "ca", "cd"]).where(F.col("invoice_id") != F.col("b_invoice_id"))
+    cost = F.lit(0.0)
+    if amounts:
+        cost = cost + WEIGHTS["amount"] * (1 - amount_similarity("total_amount", "b_total_amount") / 100)
+    if dates:
+        cost = cost + WEIGHTS["date"] * (1 - date_similarity("invoice_date", "b_invoice_date") / 100)
+    if not (amounts and dates):  # pairs that have the other field in common are met elsewhere
+        both = lambda c: F.col(c).isNotNull() & F.col(f"b_{c}").isNotNull()
+        met = met.where(~both("invoice_date") if amounts else ~both("total_amount"))
+    near = met.where(cost <= F.col("slack") + 1e-6).withColumn("cost", cost)
+    if not strings_too:
+        return near.select("invoice_id", "b_invoice_id")
+    # the JVM's edit distance is at most twice the number's, and never more than what the vendors' ratio counts
+    number = F.coalesce(WEIGHTS["number"] * F.ceil(F.levenshtein("invoice_number", "b_invoice_number") / 2) / F.greatest(F.length("invoice_number"), F.length("b_invoice_number")), F.lit(0.0))
+    vendor = F.coalesce(WEIGHTS["vendor"] * F.levenshtein("vendor_key", "b_vendor_key") / (F.length("vendor_key") + F.length("b_vendor_key")), F.lit(0.0))
+    fixed = F.col("invoice_number").isNotNull() & F.col("b_invoice_number").isNotNull() & F.col("vendor_key").isNotNull() & F.col("b_vendor_key").isNotNull()
+    return near.where(~fixed | (F.col("cost") + number + vendor <= F.col("slack") + 1e-6)).select("invoice_id", "b_invoice_id")
+
+
+def _at_least() -> Column:
+    """A fuzzy score (without texts) that the pair reaches at least, inside the JVM: its edit distance is an upper bound of
+    the number's, and twice it of what the vendors' ratio counts.
+    """
+    both = lambda c: F.col(c).isNotNull() & F.col(f"b_{c}").isNotNull()
+    number = F.when(both("invoice_number"), 100 * (1 - F.levenshtein("invoice_number", "b_invoice_number") / F.greatest(F.length("invoice_number"), F.length("b_invoice_number"))))
+    vendor = F.when(both("vendor_key"), 100 * F.greatest(F.lit(0.0), 1 - 2 * F.levenshtein("vendor_key", "b_vendor_key") / (F.length("vendor_key") + F.length("b_vendor_key"))))
+    amount = F.when(both("total_amount"), amount_similarity("total_amount", "b_total_amount"))
+    date = F.when(both("invoice_date"), date_similarity("invoice_date", "b_invoice_date"))
+    return weighted_mean([(number, WEIGHTS["number"]), (vendor, WEIGHTS["vendor"]), (amount, WEIGHTS["amount"]), (date, WEIGHTS["date"])])
+
+
+def best_matches(inv: DataFrame, k: int = DUPLICATE.top_k, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
+    """The ``k`` best fuzzy matches of every invoice among all others, as ``pair_rows`` gives them: complete, without all pairs.
+
+    1. Neighbours in the orders of amount, number and vendor, and what lies near in amount and date, give each invoice more
+       than ``k`` matches; the JVM bounds their scores from below, and so the score of its ``k`` th best.
+    2. What is below that score doesn't matter.  A score is a weighted mean, so amount and date alone, which are numbers,
+       tell most pairs off: those that cost more than the rest can make good (``_within``).  Missing fields leave less
+       weight, so pairs with both fields, with amounts only and with dates only are met separately.
+    3. What is left is bounded by the JVM's edit distance, and then scored.
+    Pairs with neither amount nor date in common are met where vendor words are equal or numbers are one edit apart.
+    Ties go to the smaller id.  Texts (raw_text), if there are any, count, and a pair's are allowed to be equal in 2.
+    """
+    given = lambda c: F.when(truthy(c), F.col(c))
+    amount = F.when(F.col("total_amount") > 0, F.col("total_amount"))
+    vendor_key = F.when(truthy("vendor_name"), sorted_tokens(F.regexp_replace("vendor_name", r"(?U)[\s\x1c-\x1f]", " ")))
+    v = inv.select("invoice_id", given("invoice_number").alias("invoice_number"), given("vendor_name").alias("vendor_name"), amount.alias("total_amount"), "invoice_date", vendor_key.alias("vendor_key"), *([F.substring("raw_text", 1, 500).alias("raw_text")] if "raw_text" in inv.columns else []))
+    v = hand_over(v, "fuzzy-fields")
+    ordered = F.least("invoice_id", "b_invoice_id").alias("x"), F.greatest("invoice_id", "b_invoice_id").alias("y")
+    once = lambda pairs: pairs.select(*ordered).distinct().select(F.col("x").alias("invoice_id"), F.col("y").alias("b_invoice_id"))
+    orders = (["total_amount", "invoice_date"], ["invoice_number"], ["vendor_key", "total_amount"])
+    some, dated = F.col("total_amount").isNotNull(), F.col("invoice_date").isNotNull()
+    points = WEIGHTS
+    full = points["number"] + points["vendor"] + (points["raw"] if "raw_text" in v.columns else 0.0)
+    whole = full + points["amount"] + points["date"]
+    around = _within(v.where(some & dated).withColumn("least", F.lit(100 - 100 * FIRST_SLACK / whole)), v.where(some & dated), True, True, whole, strings_too=False)
+    seeds = once(reduce(DataFrame.unionAll, [around, *(_neighbours(v, o, k) for o in orders)]))
+    found = _with_fields(seeds, v)
+    scored = (found.withColumn("similarity", _at_least()) if "raw_text" not in v.columns else fuzzy(found, cfg)).select("invoice_id", "b_invoice_id", "similarity").where(F.col("similarity") > cfg.fuzzy_keep)
+    sides = scored.select("invoice_id", "similarity").unionAll(scored.select("b_invoice_id", "similarity"))
+    w = Window.partitionBy("invoice_id").orderBy(F.desc("similarity"))
+    least = sides.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("invoice_id", (F.col("similarity") - 0.1).alias("least"))
+    a = hand_over(v.join(least, "invoice_id", "left").withColumn("least", F.coalesce("least", F.lit(cfg.fuzzy_keep))), "fuzzy-least")
+    found = [_within(a.where(some & dated), v.where(some & dated), True, True, whole)]
+    if not v.where(~(some & dated)).isEmpty():
+        found.append(_within(a.where(some), v.where(some), True, False, full + points["amount"]))
+        found.append(_within(a.where(dated), v.where(dated), False, True, full + points["date"]))
+        apart = lambda c: F.col(c).isNull() | F.col(f"b_{c}").isNull()
+        found.append(candidates(v).where(apart("total_amount") & apart("invoice_date")).select("invoice_id", "b_invoice_id"))
+    pairs = once(reduce(DataFrame.unionAll, found))
+    return pair_rows(fuzzy(_with_fields(pairs, v), cfg), k)
+
+
 def fuzzy(pairs: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     """Score of each pair over the fields that both sides have; pairs above ``fuzzy_keep``."""
     both = lambda c: truthy(c) & truthy(f"b_{c}")
@@ -91,7 +213,7 @@ def fuzzy(pairs: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     if "raw_text" in pairs.columns:
         parts.append(("raw", F.when(both("raw_text"), strings.udf_partial_ratio()(F.substring("raw_text", 1, 500), F.substring("b_raw_text", 1, 500))), 0.10))
     out = pairs.withColumns({f"sim_{n}": c for n, c, _ in parts})
-    score = F.round(weighted_mean([(F.col(f"sim_{n}"), w) for n, _, w in parts]), 2)
+    score = hundredths(weighted_mean([(F.col(f"sim_{n}"), w) for n, _, w in parts]))
     return out.withColumn("similarity", score).where(F.col("similarity") > cfg.fuzzy_keep).withColumn("near_duplicate", F.col("similarity") > cfg.near)
 
 

@@ -437,8 +437,23 @@ def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = duplicates.candidates(invoices(spark, sf_dir))
-    return duplicates.fuzzy(pairs).select("invoice_id", "b_invoice_id", "sim_number", "sim_vendor", "sim_amount", "sim_date", "similarity", "near_duplicate")
+    """The ten best matches of every invoice, complete; see ``fuzzy_parts`` for the same with SQL."""
+    return duplicates.best_matches(invoices(spark, sf_dir))
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey AS id, 'P-' || p_partkey || '-' || p_size AS num, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS vendor, CASE WHEN p_retailprice > 0 THEN p_retailprice END AS amt FROM part),
+n AS (SELECT DISTINCT vendor FROM p), v AS (SELECT a.vendor AS va, b.vendor AS vb, 200.0::DOUBLE * {_common("a.vendor", "b.vendor")} / (length(a.vendor) + length(b.vendor)) AS sv FROM n a, n b),
+s AS (SELECT a.id AS invoice_id, b.id AS matched_invoice_id, sv, {_hundredths("((1 - damerau_levenshtein(a.num, b.num)::DOUBLE / greatest(length(a.num), length(b.num))) * 100 * 0.30 + sv * 0.20 + (1 - abs(a.amt - b.amt) / greatest(a.amt, b.amt)) * 100 * 0.25) / 0.75")} AS similarity
+  FROM p a JOIN p b ON a.id <> b.id JOIN v ON v.va = a.vendor AND v.vb = b.vendor),
+r AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY similarity DESC, matched_invoice_id)::INTEGER AS "rank" FROM s WHERE similarity > 60)
+SELECT invoice_id, matched_invoice_id, round(sv, 6) AS vendor_similarity, similarity, "rank" FROM r WHERE "rank" <= 10"""
+)
+def fuzzy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as invoices without a date: number, name and price."""
+    num = F.concat(F.lit("P-"), F.col("p_partkey"), F.lit("-"), F.col("p_size"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("invoice_id"), num.alias("invoice_number"), F.col("p_name").alias("vendor_name"), F.col("p_retailprice").alias("total_amount"), F.lit(None).cast("timestamp_ntz").alias("invoice_date"))
+    return duplicates.best_matches(p).select("invoice_id", "matched_invoice_id", F.round("levenshtein_score", 6).alias("vendor_similarity"), F.col("duplicate_probability").alias("similarity"), "rank")
 
 
 _SIGNALS = "(SELECT o_orderkey AS invoice_id, CASE WHEN o_orderkey % 10 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS exact, ((o_orderkey * 7) % 101)::DOUBLE AS fuzzy, ((o_orderkey * 13) % 101)::DOUBLE AS semantic, CASE WHEN o_orderkey % 3 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS win FROM orders)"
