@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import strings
 from tallymark.functions.expressions import cents, first_argmax, mean_to_cents
+from tallymark.sources.handoff import hand_over
 
 LEVELS = ("low", "medium", "high", "critical")
 
@@ -183,16 +184,22 @@ def delete(df: DataFrame, ids: DataFrame, key: str = "invoice_id") -> DataFrame:
 def model_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1 and AUC (ties count half) of ``scores`` (label 0/1, score): measured, not asserted.
 
-    AUC comes from counts per score, to four decimals, so that the window runs over 10,001 rows at most.
+    AUC needs, for each score, how many negatives lie below it.  Scores are counted, dealt by ranges and summed within each
+    range; the ranges' totals, one row each, give what lies below the range.  No score is rounded, and no task has all.
     """
-    by = scores.withColumn("score", F.round("score", 4)).groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = by.withColumn("below", before).agg(
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = scores.where("score IS NOT NULL").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    ranged = hand_over(by.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id()), "scores")
+    upto = Window.unboundedPreceding, -1
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("own")).select("part", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(*upto)), F.lit(0))
+    t = ranged.withColumn("inside", inside).join(starts, "part").agg(
         F.sum(F.when(F.col("score") >= threshold, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("score") >= threshold, F.col("n")).otherwise(0)).alias("fp"),
-        F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"),
+        F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum((F.col("p") * (2 * (F.col("start") + F.col("inside")) + F.col("n"))).cast("decimal(38,0)")).alias("u2"),
     )
     precision, recall = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide("tp", "np")
-    return t.select(F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(F.try_divide(2 * precision * recall, precision + recall), 6).alias("f1"), F.round(F.try_divide(F.col("u"), F.col("np") * F.col("nn")), 6).alias("auc"))
+    auc = F.try_divide(F.col("u2").cast("double"), 2.0 * F.col("np") * F.col("nn"))
+    return t.select(F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(F.try_divide(2 * precision * recall, precision + recall), 6).alias("f1"), F.round(auc, 6).alias("auc"))
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,52 +23,56 @@ FIELD_KEYWORDS = {
     "payment_terms": ("payment terms", "terms", "net 30", "net 60"),
 }
 
-_HEADINGS = (
-    (1, re.compile(r"^[A-Z][A-Z0-9 \t/&-]{4,}$", re.M)),
-    (2, re.compile(r"^\d+(?:\.\d+)*[ \t]+[A-Z][A-Za-z0-9 \t,/&-]+$", re.M)),
-    (2, re.compile(r"^(?:" + "|".join(BUSINESS_HEADINGS) + r")\b.*$", re.M | re.I)),
-    (3, re.compile(r"^[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,6}$", re.M)),
-)
-
-
-def headings(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, level, title); where two overlap, the earlier stays unless the later has a lower level."""
-    found = sorted((m.start(), level, m.end(), m[0].strip()) for level, p in _HEADINGS for m in p.finditer(text))
-    out: list[tuple[int, int, int, str]] = []
-    for start, level, end, title in found:
-        if out and start < out[-1][1]:
-            if level < out[-1][2]:
-                out[-1] = (start, end, level, title)
-            continue
-        out.append((start, end, level, title))
-    return out
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def sections(text: str | None) -> list[tuple[str | None, int, str]]:
-    """(heading, level, text) of a page: what precedes the first heading, then each heading with its body."""
-    text = text or ""
-    marks = headings(text)
-    if not marks:
-        return [(None, 0, text.strip())]
-    out = []
-    if lead := text[: marks[0][0]].strip():
-        out.append((None, 0, lead))
-    for k, (_, end, level, title) in enumerate(marks):
-        body = text[end : marks[k + 1][0] if k + 1 < len(marks) else len(text)].strip()
-        out.append((title, level, f"{title}\n{body}" if body else title))
-    return out
+def _made_of(text: Column, letters: str) -> Column:
+    return F.translate(text, letters, "") == ""
 
 
-def segment(pages: DataFrame) -> DataFrame:
-    """(document_id, page_number, section_ord, section_heading, level, text) of pages (document_id, page_number, text)."""
-    schema = "document_id long, page_number int, section_ord int, section_heading string, level int, text string"
+def heading_level(line: Column) -> Column:
+    """Level of a line as a heading; 0 if it is none.
+
+    1: nothing but capitals, digits and signs of titles, five characters or more.  2: a section number and a title, or a
+    line that begins with a business heading.  3: two to seven words, each a capital and small letters.
+    """
+    text = F.rtrim(line, F.lit(" \t\r"))
+    words = F.filter(F.split(text, "[ \t]+"), lambda w: w != "")
+    begins = lambda t: F.substring(t, 1, 1).between("A", "Z")
+    number, rest = F.get(words, F.lit(0)), F.array_join(F.slice(words, 2, 999), " ")
+    numbered = _made_of(number, _DIGITS + ".") & ~F.contains(F.concat(F.lit("."), number, F.lit(".")), F.lit("..")) & begins(rest) & (F.length(rest) > 1) & _made_of(rest, _UPPER + _LOWER + _DIGITS + " ,-/&")
+    upper = F.upper(text)
+    after = lambda b: F.substring(text, len(b) + 1, 1)
+    business = F.greatest(*[F.startswith(upper, F.lit(b)) & ~F.coalesce(after(b).rlike(r"\w"), F.lit(False)) for b in BUSINESS_HEADINGS])
+    titled = F.size(words).between(2, 7) & F.forall(words, lambda w: begins(w) & (F.length(w) > 1) & _made_of(F.substring(w, 2, 1_000_000), _LOWER))
+    level = F.when(begins(text) & (F.length(text) >= 5) & _made_of(text, _UPPER + _DIGITS + " \t/&-"), 1).when(numbered | business, 2).when(titled, 3).otherwise(0)
+    return F.when(F.ltrim(text, F.lit(" \t")) == text, level).otherwise(0)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, p, k, h, level, t) for d, p, text in zip(f.document_id, f.page_number, f.text, strict=True) for k, (h, level, t) in enumerate(sections(text if isinstance(text, str) else ""))]
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "section_ord", "section_heading", "level", "text"])
+def segment(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, section_ord, section_heading, level, text) of pages (document_id, page_number, text).
 
-    return pages.select(F.col("document_id").cast("long"), F.col("page_number").cast("int"), "text").mapInPandas(run, schema)
+    A section is a heading and the lines up to the next; what precedes the first heading is a section without one.  A page
+    without text is one empty section.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    held = pages.select(F.col("document_id").cast("long").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), lines.alias("lines"))
+    held = held.withColumn("levels", F.transform("lines", heading_level))
+    marks = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.get("levels", i - 1) > 0)
+    starts = F.array_distinct(F.concat(F.array(F.lit(1)), marks))
+    strip = lambda t: F.regexp_replace(t, r"^\s+|\s+\z", "")
+
+    def part(start: Column, k: Column) -> Column:
+        level = F.get("levels", start - 1)
+        end = F.coalesce(F.get("starts", k + 1), F.size("lines") + 1)
+        own = strip(F.get("lines", start - 1))
+        body = strip(F.array_join(F.slice("lines", start + 1, end - start - 1), "\n"))
+        headed = F.when(F.length(body) > 0, F.concat(own, F.lit("\n"), body)).otherwise(own)
+        return F.struct(F.when(level > 0, own).alias("section_heading"), level.alias("level"), F.when(level > 0, headed).otherwise(strip(F.array_join(F.slice("lines", start, end - start), "\n"))).alias("text"))
+
+    found = held.withColumn("starts", starts).withColumn("parts", F.transform("starts", part))
+    full = F.filter("parts", lambda x: (x["level"] > 0) | (x["text"] != "") | (F.size("parts") == 1))
+    return found.select("document_id", "page_number", F.posexplode(full).alias("section_ord", "part")).select("document_id", "page_number", "section_ord", "part.*")
 
 
 def content_type(text: Column, heading: Column | None = None) -> Column:
@@ -146,11 +146,28 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.where("relevance_score > 0").withColumns({"rank": F.row_number().over(order), "total_matches": F.count("*").over(w)}).where(F.col("rank") <= k)
 
 
-def cross_reference(inv: DataFrame, pairs: DataFrame, field: str) -> DataFrame:
-    """Compare one field of two invoices: match (equal and not empty or zero), mismatch, incomplete (one is missing)."""
+def field_sections(parts: DataFrame, field: str, k: int = 5) -> DataFrame:
+    """(document_id, sections): the ``k`` sections of each document that speak of a field, best first."""
+    found = retrieve_field(parts, field, k)
+    item = F.struct("rank", "page_number", "section_heading", "relevance_score", "content_preview")
+    return found.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("sections"))
+
+
+def cross_reference(inv: DataFrame, pairs: DataFrame, field: str, parts: DataFrame | None = None) -> DataFrame:
+    """Compare one field of two invoices: match (equal and not empty or zero), mismatch, incomplete (one is missing).
+
+    With the index ``parts``, source_sections and target_sections are the five best sections of either side, empty without any.
+    """
     value = F.col(field) if field in inv.columns else F.lit(None).cast("string")
     v = inv.select("invoice_id", value.alias("v"))
     out = pairs.join(v.select(F.col("invoice_id").alias("source_id"), F.col("v").alias("source_value")), "source_id", "left").join(v.select(F.col("invoice_id").alias("target_id"), F.col("v").alias("target_value")), "target_id", "left")
     empty = F.col("source_value").cast("string").isin("", "0", "0.0")
     st = F.when(F.col("source_value").isNull() | F.col("target_value").isNull(), "incomplete").when((F.col("source_value") == F.col("target_value")) & ~empty, "match").otherwise("mismatch")
-    return out.withColumn("match_status", st)
+    out = out.withColumn("match_status", st)
+    if parts is None:
+        return out
+    found = field_sections(parts, field)
+    for side in ("source", "target"):
+        own = found.select(F.col("document_id").alias(f"{side}_id"), F.col("sections").alias(f"{side}_sections"))
+        out = out.join(own, f"{side}_id", "left").withColumn(f"{side}_sections", F.coalesce(f"{side}_sections", F.array().cast(own.schema[f"{side}_sections"].dataType)))
+    return out

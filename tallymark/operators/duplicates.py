@@ -228,7 +228,8 @@ def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: in
     With a model fitted on the two texts alone, shared terms weigh 1 and others 1 + ln 1.5, so the cosine has a closed
     form in three sums.  It never exceeds the plain cosine of the counts, so a lossless prefix filter finds the pairs:
     with tokens in order of document frequency, two texts must share one of the rare tokens that come before the rest
-    holds less than the threshold of a text's norm.  Frequent tokens are therefore no join keys.  Texts with equal
+    holds less than the threshold of a text's norm; and where the first token that both share stands, what is left of
+    the two must still allow the threshold.  Frequent tokens are therefore no join keys.  Texts with equal
     words are one class (key: least), so copies do not multiply; ``semantic_members`` gives the class of every text.
     """
     bags = docs.select(key, _bag(text, chars).alias("w")).groupBy("w").agg(F.min(key).alias("id"))
@@ -238,11 +239,15 @@ def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: in
     held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("bag"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     rest = Window.partitionBy("id").orderBy("df", "t").rowsBetween(0, Window.unboundedFollowing)
     ranked = counts.join(df, "t").withColumn("rest", F.sum(F.col("n") * F.col("n")).over(rest)).join(total, "id")
-    prefix = ranked.where(F.col("rest") >= cfg.semantic_min**2 * F.col("sq") - 1e-6).select("id", "t")
-    pairs = prefix.select(F.col("id").alias("a"), "t").join(prefix.select(F.col("id").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
+    least = cfg.semantic_min**2
+    prefix = ranked.where(F.col("rest") >= least * F.col("sq") - 1e-6).select("id", "t", "rest", "sq")
+    one = lambda k: prefix.select(F.col("id").alias(k), "t", F.col("rest").alias(f"rest_{k}"), F.col("sq").alias(f"sq_{k}"))
+    reach = F.col("rest_a") * F.col("rest_b") >= least * F.col("sq_a") * F.col("sq_b") - 1e-6
+    pairs = one("a").join(one("b"), "t").where((F.col("a") < F.col("b")) & reach).select("a", "b").distinct()
     side = lambda k: held.select(F.col("id").alias(k), F.col("bag").alias(f"bag_{k}"), F.col("sq").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.transform(F.array_intersect(F.map_keys("bag_a"), F.map_keys("bag_b")), lambda t: F.struct(F.element_at("bag_a", t).alias("x"), F.element_at("bag_b", t).alias("y")))
+    met = F.map_values(F.map_zip_with("bag_a", "bag_b", lambda t, x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))))
+    shared = F.filter(met, lambda p: p.isNotNull())
     total_of = lambda f: F.aggregate("shared", F.lit(0).cast("long"), lambda s, p: s + f(p["x"], p["y"]))
     full = both.withColumn("shared", shared).select("a", "b", "sa", "sb", total_of(lambda x, y: x * y).alias("ab"), total_of(lambda x, y: x * x).alias("aa"), total_of(lambda x, y: y * y).alias("bb"))
     c2 = F.pow(1 + F.log(F.lit(1.5)), F.lit(2.0))
@@ -268,6 +273,28 @@ def semantic_signal(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     return rows.where("members > 1 OR best IS NOT NULL").select(key, F.when(F.col("members") > 1, 100.0).otherwise(percent).alias("semantic"))
 
 
+def item_matches(items: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
+    """Pairs of invoices whose line items, taken together, are alike, with their like items: (a, b, similarity, matched_items, best_item).
+
+    ``items`` is (invoice_id, item), one row an item; empty ones are left out.  Invoices with the same words are one class, named by
+    its least id (see ``semantic``).  Items are compared once for each distinct text, by the same search; an index from item
+    class to invoice brings the like items of a pair together, so nothing is compared that has no like item.
+    """
+    rows = items.where(F.trim("item") != "").select("invoice_id", "item")
+    whole = hand_over(rows.groupBy("invoice_id").agg(F.array_join(F.sort_array(F.collect_list("item")), " ").alias("text")), "item-texts")
+    everything = 1_000_000_000
+    pairs = semantic(whole, "invoice_id", "text", everything, cfg)
+    names = hand_over(rows.select("item").distinct().withColumn("id", F.monotonically_increasing_id()), "item-names")
+    classes = semantic_members(names, "id", "item", everything).where("representative IS NOT NULL").join(names, "id").select("item", F.col("representative").alias("kind"))
+    like = semantic(names, "id", "item", everything, cfg).select("a", "b", "similarity")
+    both = like.unionAll(like.select("b", "a", "similarity")).unionAll(classes.select("kind", "kind", F.lit(1.0)).distinct()).toDF("kind", "other", "item_similarity")
+    held = hand_over(rows.join(classes, "item").groupBy("invoice_id", "kind").agg(F.count("*").alias("n")), "item-index")
+    mine = pairs.join(held.select(F.col("invoice_id").alias("a"), "kind", F.col("n").alias("n_a")), "a").join(both, "kind")
+    met = mine.join(held.select(F.col("invoice_id").alias("b"), F.col("kind").alias("other"), F.col("n").alias("n_b")), ["b", "other"])
+    found = met.groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("matched_items"), F.max("item_similarity").alias("best_item"))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", "similarity", F.coalesce("matched_items", F.lit(0)).cast("long").alias("matched_items"), "best_item")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, cfg: DuplicateConfig = DUPLICATE, cutoff: bool = True) -> DataFrame:
     """The ``knn_k`` nearest vectors by squared distance for each query (vec_id, embedding).
 

@@ -46,10 +46,15 @@ WITH li AS (
   FROM orders LEFT JOIN li ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = sk LEFT JOIN customer ON c_custkey = o_custkey
 )"""
 
-_BAGS = r"""w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(substr(text, 1, 500)), '[\pL\pN\p{Mn}\p{Mc}_]{2,}')) AS w FROM documents),
-g AS (SELECT min(doc_id) AS id, w, count(*) AS members FROM w GROUP BY w), t AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM g) GROUP BY ALL), sq AS (SELECT id, sum(n * n) AS sq FROM t GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS ab, sum(a.n * a.n) AS aa, sum(b.n * b.n) AS bb FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
-c AS (SELECT a, b, round(ab / sqrt((pow(1 + ln(1.5::DOUBLE), 2) * x.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * aa) * (pow(1 + ln(1.5::DOUBLE), 2) * y.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * bb)), 6) AS similarity FROM p JOIN sq x ON x.id = a JOIN sq y ON y.id = b)"""
+def _bags(source: str, p: str = "", chars: str = "500") -> str:
+    """CTEs for the texts of ``source`` (doc_id, text): {p}w words, {p}g classes, {p}c cosines of pairs of classes."""
+    return rf"""{p}w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(substr(text, 1, {chars})), '[\pL\pN\p{{Mn}}\p{{Mc}}_]{{2,}}')) AS w FROM {source}),
+{p}g AS (SELECT min(doc_id) AS id, w, count(*) AS members FROM {p}w GROUP BY w), {p}t AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM {p}g) GROUP BY ALL), {p}sq AS (SELECT id, sum(n * n) AS sq FROM {p}t GROUP BY id),
+{p}p AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS ab, sum(a.n * a.n) AS aa, sum(b.n * b.n) AS bb FROM {p}t a JOIN {p}t b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+{p}c AS (SELECT a, b, round(ab / sqrt((pow(1 + ln(1.5::DOUBLE), 2) * x.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * aa) * (pow(1 + ln(1.5::DOUBLE), 2) * y.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * bb)), 6) AS similarity FROM {p}p JOIN {p}sq x ON x.id = a JOIN {p}sq y ON y.id = b)"""
+
+
+_BAGS = _bags("documents")
 
 
 def _hundredths(x: str) -> str:
@@ -65,7 +70,7 @@ def _common(a: str, b: str) -> str:
 
 #: Pairs of similar vendors, one amount, and at most 90 days, as ``duplicates.time_window`` finds them.
 _WINDOW = f"""wv AS (SELECT invoice_id, array_to_string(list_sort(list_filter(string_split(vendor_name, ' '), lambda x: x <> '')), ' ') AS vendor, total_amount, invoice_date FROM {{inv}} WHERE vendor_name <> '' AND total_amount <> 0 AND invoice_date IS NOT NULL),
-wm AS (SELECT a.invoice_id, b.invoice_id AS matched_id, abs(floor((epoch(a.invoice_date) - epoch(b.invoice_date)) / 86400))::INTEGER AS day_diff, a.vendor AS va, b.vendor AS vb FROM wv a JOIN wv b ON a.total_amount = b.total_amount AND a.invoice_id <> b.invoice_id),
+wm AS (SELECT a.invoice_id, b.invoice_id AS matched_id, abs(floor((epoch(date_trunc('second', a.invoice_date)) - epoch(date_trunc('second', b.invoice_date))) / 86400))::INTEGER AS day_diff, a.vendor AS va, b.vendor AS vb FROM wv a JOIN wv b ON a.total_amount = b.total_amount AND a.invoice_id <> b.invoice_id),
 ww AS (SELECT invoice_id, matched_id, day_diff FROM wm WHERE day_diff <= 90 AND CASE WHEN va = vb THEN TRUE ELSE 200.0::DOUBLE * {_common("va", "vb")} / (length(va) + length(vb)) >= 85 END),
 wr AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY day_diff, matched_id)::INTEGER AS "rank" FROM ww)"""
 
@@ -310,14 +315,15 @@ def retrain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT quality AS label, ((l.doc_id * 37) % 100)::DOUBLE / 100 AS score FROM labels l), d AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s GROUP BY 1),
+    """WITH s AS (SELECT quality AS label, least(1.0::DOUBLE, length(text) / 3000.0::DOUBLE) AS score FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL), d AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s GROUP BY 1),
 w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d),
 t AS (SELECT coalesce(sum(p) FILTER (score >= 0.5), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (score >= 0.5), 0)::DOUBLE AS fp, sum(p)::DOUBLE AS np, sum(n)::DOUBLE AS nn, sum(p * (below + n / 2))::DOUBLE AS u FROM w)
 SELECT round(tp / (tp + fp), 6) AS "precision", round(tp / np, 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / np) / (tp / (tp + fp) + tp / np), 6) AS f1, round(u / (np * nn), 6) AS auc FROM t"""
 )
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), (((F.col("doc_id") * 37) % 100).cast("double") / 100).alias("score"))
-    return analytics.model_metrics(s)
+    """How well the length of a text tells its quality."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("quality IS NOT NULL AND text IS NOT NULL")
+    return analytics.model_metrics(d.select(F.col("quality").alias("label"), F.least(F.lit(1.0), F.length("text") / F.lit(3000.0)).alias("score")))
 
 
 # -- audit, webhooks, reviews -----------------------------------------------------------------------------------------
@@ -391,12 +397,28 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("WITH ev AS (SELECT event_id AS invoice_id, 'user ' || user_id AS vendor_name, value AS total_amount, ts AS invoice_date FROM events), " + _WINDOW.format(inv="ev") + ' SELECT invoice_id, matched_id, day_diff, "rank" FROM wr WHERE "rank" <= 10')
 def time_window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    vendor = F.concat_ws(" ", F.col("l_partkey").cast("string"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
-    inv = li.select(F.monotonically_increasing_id().alias("invoice_id"), vendor.alias("vendor_name"), F.col("l_extendedprice").alias("total_amount"), F.col("l_shipdate").alias("invoice_date"))
-    return duplicates.time_window(inv).agg(F.count("*").alias("matches"), F.count_distinct("invoice_id").alias("flagged"), F.coalesce(F.sum("day_diff"), F.lit(0)).cast("long").alias("days"))
+    """Events as payments: a user's number is the vendor, the value the amount."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("invoice_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("vendor_name"), F.col("value").alias("total_amount"), F.col("ts").alias("invoice_date"))
+    return duplicates.time_window(ev).select("invoice_id", "matched_id", "day_diff", "rank")
+
+
+@query(
+    "WITH "
+    + _bags("documents", chars="1000000000")
+    + r""", m AS (SELECT * FROM c WHERE similarity >= 0.85), ln AS (SELECT row_number() OVER () AS k, doc_id, list_sort(regexp_extract_all(lower(line), '[\pL\pN\p{Mn}\p{Mc}_]{2,}')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IN (SELECT a FROM m UNION SELECT b FROM m)) WHERE trim(line) <> ''),
+lt AS (SELECT k, t, count(*) AS n FROM (SELECT k, unnest(w) AS t FROM ln) GROUP BY ALL), ls AS (SELECT k, sum(n * n) AS sq FROM lt GROUP BY k),
+lp AS (SELECT a, b, x.k AS kx, y.k AS ky FROM m JOIN ln x ON x.doc_id = a JOIN ln y ON y.doc_id = b),
+lo AS (SELECT a, b, kx, ky, sum(x.n * y.n) AS ab, sum(x.n * x.n) AS aa, sum(y.n * y.n) AS bb FROM lp JOIN lt x ON x.k = kx JOIN lt y ON y.k = ky AND y.t = x.t GROUP BY ALL),
+lc AS (SELECT a, b, round(ab / sqrt((pow(1 + ln(1.5::DOUBLE), 2) * x.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * aa) * (pow(1 + ln(1.5::DOUBLE), 2) * y.sq - (pow(1 + ln(1.5::DOUBLE), 2) - 1) * bb)), 6) AS s FROM lo JOIN ls x ON x.k = kx JOIN ls y ON y.k = ky),
+f AS (SELECT a, b, count(*) AS matched_items, max(s) AS best_item FROM lc WHERE s >= 0.85 GROUP BY ALL)
+SELECT a, b, similarity, coalesce(matched_items, 0) AS matched_items, best_item FROM m LEFT JOIN f USING (a, b)"""
+)
+def item_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as invoices, their lines as items."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("invoice_id"), F.explode(F.split("text", "\n")).alias("item"))
+    return duplicates.item_matches(lines)
 
 
 @query("WITH " + _BAGS + " SELECT * FROM c WHERE similarity >= 0.85")
@@ -533,7 +555,20 @@ def field_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("document_id", "page_number", "relevance_score", "rank", "total_matches")
 
 
-@query()
+_HEADED = "|".join(docindex.BUSINESS_HEADINGS)
+
+
+@query(
+    rf"""WITH ln AS (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) AS l FROM pages)),
+lv AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z][A-Z0-9 \t/&-]{{4,}}[ \t\r]*$') AND length(regexp_replace(line, '[ \t\r]+$', '')) >= 5 THEN 1
+  WHEN regexp_matches(line, '^[0-9]+(\.[0-9]+)*[ \t]+[A-Z][A-Za-z0-9 \t,/&-]*[A-Za-z0-9,/&-][ \t\r]*$') OR regexp_matches(upper(line), '^({_HEADED})([^A-Z0-9_]|$)') THEN 2 WHEN regexp_matches(line, '^[A-Z][a-z]+([ \t]+[A-Z][a-z]+){{1,6}}[ \t\r]*$') THEN 3 ELSE 0 END AS level FROM ln),
+sg AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM lv),
+pt AS (SELECT page_id, s, max(level) AS level, max(CASE WHEN level > 0 THEN regexp_replace(line, '^\s+|\s+$', '', 'g') END) AS head, regexp_replace(string_agg(CASE WHEN level > 0 THEN '' ELSE line END, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM sg GROUP BY ALL),
+tx AS (SELECT *, CASE WHEN level = 0 THEN body WHEN body = '' THEN head ELSE head || chr(10) || body END AS text, count(*) OVER (PARTITION BY page_id) AS k FROM pt),
+nb AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s) - 1 AS ord, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM tx WHERE level > 0 OR text <> '' OR k = 1)
+SELECT page_id AS document_id, 1 AS page_number, ord::INTEGER AS section_ord, head AS section_heading, level, (sum(strlen(text)) OVER (PARTITION BY page_id ORDER BY ord) - strlen(text))::BIGINT AS byte_offset_start, (sum(strlen(text)) OVER (PARTITION BY page_id ORDER BY ord))::BIGINT AS byte_offset_end,
+  CASE WHEN trim(text) = trim(head) THEN 'heading' WHEN regexp_matches(text, '\|.*\|') OR regexp_matches(text, '\+[-+]+\+') OR regexp_matches(text, '\t.*\t.*\t') OR (len(l) > 0 AND len(list_filter(l, lambda x: regexp_matches(x, '^\s*[\d,]+\.?\d*\s*$')))::DOUBLE / len(l) > 0.4) THEN 'table' ELSE 'text' END AS content_type, substr(text, 1, 500) AS content_preview FROM nb"""
+)
 def segmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), F.lit(1).alias("page_number"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
     return docindex.index(docindex.segment(pages))
@@ -541,14 +576,19 @@ def segmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _INV
-    + """ SELECT a.invoice_id AS source_id, b.invoice_id AS target_id, CASE WHEN a.vendor_name IS NULL OR b.vendor_name IS NULL THEN 'incomplete' WHEN a.vendor_name = b.vendor_name AND a.vendor_name <> '' THEN 'match' ELSE 'mismatch' END AS match_status
-FROM inv a LEFT JOIN inv b ON b.invoice_id = a.invoice_id + 1 WHERE a.invoice_id % 2 = 0"""
+    + ", " + _RETRIEVE.format(score="(" + " + ".join(f"3 * contains(lower(role), '{w}')::INT + contains(lower(substr(text, 1, 500)), '{w}')::INT" for w in docindex.FIELD_KEYWORDS["vendor_name"]) + ")", k=5).removeprefix("WITH ").replace("s AS (", "rs AS (", 1).replace("FROM s WHERE", "FROM rs WHERE").replace("\nSELECT * FROM r", ", best AS (SELECT * FROM r") + """),
+sec AS (SELECT document_id, string_agg(page_number || ':' || relevance_score, ',' ORDER BY "rank") AS said FROM best GROUP BY 1)
+SELECT a.invoice_id AS source_id, b.invoice_id AS target_id, CASE WHEN a.vendor_name IS NULL OR b.vendor_name IS NULL THEN 'incomplete' WHEN a.vendor_name = b.vendor_name AND a.vendor_name <> '' THEN 'match' ELSE 'mismatch' END AS match_status, coalesce(x.said, '') AS source_sections, coalesce(y.said, '') AS target_sections
+FROM inv a LEFT JOIN inv b ON b.invoice_id = a.invoice_id + 1 LEFT JOIN sec x ON x.document_id = a.invoice_id LEFT JOIN sec y ON y.document_id = b.invoice_id WHERE a.invoice_id % 2 = 0"""
 )
 def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring invoices, with what their conversations say of the vendor."""
     inv = invoices(spark, sf_dir)
     have = inv.select(F.col("invoice_id").alias("target_id"))
     pairs = inv.where("invoice_id % 2 = 0").select(F.col("invoice_id").alias("source_id"), (F.col("invoice_id") + 1).alias("t")).join(have, F.col("t") == F.col("target_id"), "left").select("source_id", "target_id")
-    return docindex.cross_reference(inv, pairs, "vendor_name").select("source_id", "target_id", "match_status")
+    met = docindex.cross_reference(inv, pairs, "vendor_name", docindex.index(_sections(spark, sf_dir)))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["page_number"], x["relevance_score"])), ",").alias(c)
+    return met.select("source_id", "target_id", "match_status", said("source_sections"), said("target_sections"))
 
 
 # -- extraction -------------------------------------------------------------------------------------------------------

@@ -59,9 +59,12 @@ def test_contents_equal_a_stack(spark):
 
 
 def test_sections_and_offsets(spark):
-    assert docindex.sections("") == [(None, 0, "")]
-    got = docindex.sections("before\nPAYMENT TERMS\nNet 30\n2.1 Scope\nmore")
-    assert got == [(None, 0, "before"), ("PAYMENT TERMS", 1, "PAYMENT TERMS\nNet 30"), ("2.1 Scope", 2, "2.1 Scope\nmore")]
+    def sections(text):
+        return [(r.section_heading, r.level, r.text) for r in docindex.segment(spark.createDataFrame([(1, 1, text)], "document_id long, page_number int, text string")).orderBy("section_ord").collect()]
+
+    assert sections("") == sections(None) == sections(" \n ") == [(None, 0, "")]
+    assert sections("before\nPAYMENT TERMS\nNet 30\n2.1 Scope\nmore") == [(None, 0, "before"), ("PAYMENT TERMS", 1, "PAYMENT TERMS\nNet 30"), ("2.1 Scope", 2, "2.1 Scope\nmore")]
+    assert sections("Total due: 5\n\nFirst Second Third\nInvoices\n 2 Indented\n3..1 No\nABCD\nTAX") == [("Total due: 5", 2, "Total due: 5"), ("First Second Third", 3, "First Second Third\nInvoices\n 2 Indented\n3..1 No\nABCD"), ("TAX", 2, "TAX")]
     parts = spark.createDataFrame([(1, 1, 0, None, "é"), (1, 1, 1, None, "ab")], "document_id long, page_number int, section_ord int, section_heading string, text string")
     assert [(r.byte_offset_start, r.byte_offset_end) for r in docindex.index(parts).orderBy("section_ord").collect()] == [(0, 2), (2, 4)]
 
@@ -107,6 +110,14 @@ def test_labels_of_every_language(spark, text, want):
     assert {k: got[k] for k in want} == want
 
 
+def test_sections_of_a_field_on_both_sides(spark):
+    inv = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "invoice_id long, vendor_name string")
+    parts = docindex.index(spark.createDataFrame([(1, 1, k, "Vendor" if k % 2 else None, f"from supplier {k}") for k in range(8)] + [(2, 1, 0, None, "nothing")], "document_id long, page_number int, section_ord int, section_heading string, text string"))
+    got = {(r.source_id, r.target_id): r for r in docindex.cross_reference(inv, spark.createDataFrame([(1, 2), (2, 3)], "source_id long, target_id long"), "vendor_name", parts).collect()}
+    assert [x.relevance_score for x in got[1, 2].source_sections] == [5, 5, 5, 5, 2] and got[1, 2].target_sections == [] and got[1, 2].match_status == "match"
+    assert got[2, 3].source_sections == got[2, 3].target_sections == []
+
+
 def test_item_pairs(spark):
     inv = spark.createDataFrame([(1, ["a", " ", None]), (2, ["x", "y"]), (3, [])], "invoice_id long, line_items array<string>")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
