@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import near_dedup, packing, pii, suffix_dedup, toxicity
-from tallymark.llm.common import materialize, table
+from tallymark.llm.common import discard, materialize, table
 from tallymark.llm.queries import vocabulary
 
 
@@ -50,6 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)  # its last reader has run
     return STAGES[-1][1](spark, docs, sf_dir)

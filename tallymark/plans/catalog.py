@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from tallymark.config import DUPLICATE, RISK
 from tallymark.functions import expressions as X
 from tallymark.functions import strings
 from tallymark.operators import analytics, anomaly, docindex, duplicates, extraction, imaging, risk
-from tallymark.sources import ingest
+from tallymark.sources import ingest, vector_index
+from tallymark.sources.handoff import folder
 from tallymark.sources.views import branch_errors as stored_errors
 from tallymark.sources.views import heads, invoices, scored, table
 
@@ -444,6 +446,19 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.nearest(v, v.where(F.col("vec_id") % 20 == 0), cutoff=False)
 
 
+@query(
+    """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS "rank", vec_id, distance FROM d WHERE distance < 1.3)
+SELECT *, round(greatest(0.0::DOUBLE, (1 - distance) * 100), 4) AS similarity FROM r WHERE "rank" <= 5"""
+)
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that two batches have made, asked for what lies within the distance cutoff."""
+    v, path = table(spark, sf_dir, "embeddings"), folder(spark, "vector-index")
+    for half in (0, 1):
+        vector_index.append(v.where(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == half), path)
+    return vector_index.search(v.where(F.col("vec_id") % 20 == 0), path, replace(DUPLICATE, knn_distance=1.3))
+
+
 @query(
     """WITH p AS (SELECT p_partkey AS id, 'P-' || p_partkey || '-' || p_size AS num, p_brand AS br, p_size AS sz, p_retailprice AS amt FROM part)
 SELECT a.id AS a, b.id AS b, round(greatest(0.0::DOUBLE, 1 - damerau_levenshtein(a.num, b.num)::DOUBLE / greatest(length(a.num), length(b.num))) * 100, 6) AS number_sim,

@@ -30,6 +30,11 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _path(spark, path)
+    return fs.exists(target)
+
+
 @atexit.register
 def _sweep() -> None:
     while _written:
@@ -41,12 +46,18 @@ def _sweep() -> None:
             return
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name, which goes when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def hand_over(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
