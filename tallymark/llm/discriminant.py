@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, prefix_hash, ship_code, span_hash, text_chunks, words_of
+from .common import fold, materialize, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
 
 STATS = ("words", "chars_per_word", "chars_spread", "distinct", "repeat_next", "top_word", "upper", "digit", "symbol", "bang", "stop", "other_punct", "lines", "long_words")
 DIM = len(STATS)
@@ -178,10 +178,11 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fol
     Returns doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.  Null text is empty and scored;
     rows without doc_id are scored, not held out and never learned from; labels other than 0 and 1, null ones and those
     of unknown documents are not used; repeated rows weigh and are scored each.  If a class has no labelled row, every
-    score is 0.5.  Empty tables give no rows; other columns are ignored.
+    score is 0.5.  Equal texts score alike; texts are read whole, however long; bytes that are no UTF-8 read as U+FFFD.
+    Empty tables give no rows; other columns are ignored.
     """
     ship_code(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     features = materialize(base.mapInArrow(_measure, "doc_id long, x array<double>"), "statistics")
     learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(fold(F.col("doc_id"), folds) != held)
     model = train(features, learn)

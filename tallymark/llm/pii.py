@@ -171,7 +171,7 @@ def _patterns(before: np.ndarray, before2: np.ndarray, after: np.ndarray, after2
 
 
 _MENTION = pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("stop", pa.int32()), ("i", pa.int64()), ("p", pa.list_(pa.int64()))])
-_FOUND = "uid long, doc_id long, h long, mentions array<struct<kind:tinyint,start:int,stop:int,i:long,p:array<long>>>"
+_FOUND = "uid long, doc_id long, h binary, mentions array<struct<kind:tinyint,start:int,stop:int,i:long,p:array<long>>>"
 
 
 def _instance(text: str) -> int:
@@ -312,22 +312,21 @@ def _enclosed(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[p
         hit = _among(p, bits)
         at = np.flatnonzero(hit[:4].any(0) & hit[4:].any(0))
         rows, hs, out = np.searchsorted(offsets, starts[at], "right") - 1, cut.column("h").to_pylist(), []
-        for j, row in zip(at.tolist(), rows.tolist(), strict=True):
-            body = data[offsets[row] : offsets[row + 1]].tobytes()
-            start = len(body[: starts[j] - offsets[row]].decode("utf-8", "ignore"))
-            word = body[starts[j] - offsets[row] : ends[j] - offsets[row]].decode("utf-8", "ignore")
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])  # code points before each byte
+        for j, row, start in zip(at.tolist(), rows.tolist(), (points[starts[at]] - points[offsets[rows]]).tolist(), strict=True):
+            word = data[starts[j] : ends[j]].tobytes().decode("utf-8", "ignore")
             bare = word.strip(_EDGE)
             if len(bare) >= 3 and not _CUE.search(bare):
                 start += len(word) - len(word.lstrip(_EDGE))
                 out += [(hs[row], start, start + len(bare), x) for x in p[hit[:, j], j].tolist()]
         cols = zip(*out, strict=True) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["h", "start", "stop", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["h", "start", "stop", "p"])
 
 
 def _words_between(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(h, words): by the hash of a text, the spans without digits that trusted patterns enclose from both sides."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(patterns.select("p")))
-    places = docs.select("h", "text").mapInArrow(lambda it: _enclosed(it, shared.value), "h long, start int, stop int, p long").distinct()
+    places = docs.select("h", "text").mapInArrow(lambda it: _enclosed(it, shared.value), "h binary, start int, stop int, p long").distinct()
     side = lambda k: F.coalesce(_or(F.when(F.pmod(F.col("p"), F.lit(2)) == k, F.col("conf"))), F.lit(0.0))
     both = places.join(patterns, "p").groupBy("h", "start", "stop", "kind").agg(side(0).alias("l"), side(1).alias("r"))
     sure = both.where((F.col("l") >= MIN_CONFIDENCE) & (F.col("r") >= MIN_CONFIDENCE) & (1 - (1 - F.col("l")) * (1 - F.col("r")) >= ACCEPT_WORD))
@@ -344,8 +343,19 @@ def spans(docs: DataFrame) -> DataFrame:
     result each (an instance that occurs in several rows is one node of the graph); equal confidences go to the kind
     listed first; empty tables give no rows; other columns are ignored.
     """
+    return _spans(docs).drop("h")
+
+
+def _key(text: Column) -> Column:
+    """128 bits that stand for a text: two of 1e10 texts are alike by chance once in 1e19 corpora."""
+    return F.unhex(F.md5(text))
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """``spans`` with ``h``, the key of the text."""
     ship_code(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"), F.xxhash64(valid_text()).alias("h"))
+    text = valid_text()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _key(text).alias("h"))
     found = materialize(base.mapInArrow(_find, _FOUND), "mentions")
     trusted, patterns = discover(found, base)
     seeds = F.transform(F.filter("mentions", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
@@ -358,17 +368,19 @@ def spans(docs: DataFrame) -> DataFrame:
     if patterns is not None and not patterns.where("p % 2 <> 0").isEmpty():
         words = _words_between(base, patterns)
         out = out.join(words, "h", "left").withColumn("more", F.concat("more", F.coalesce("words", none))).drop("words")
-    return out.select("uid", "doc_id", "base", F.array_sort("more").alias("more"))
+    return out.select("uid", "doc_id", "h", "base", F.array_sort("more").alias("more"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every span of ``spans`` replaced by its kind in angle brackets; other columns stay.
 
-    A row's spans are those of its own text, found by the hash of the text, so repeated rows are masked alike.
+    A row's spans are those of its own text, found by a key of 128 bits of the text, so repeated rows are masked alike.  Null
+    texts stay null, empty ones empty; bytes that are no UTF-8 become U+FFFD; texts are masked whole, however long; of
+    overlapping spans the one that starts first gives the mark; empty tables give no rows.
     """
-    keyed = docs.withColumn("text", valid_text()).withColumn("__h", F.xxhash64("text"))
-    of = spans(docs.select(F.xxhash64(valid_text()).alias("doc_id"), "text"))
-    hit = of.select(F.col("doc_id").alias("__h"), F.concat("base", "more").alias("__s")).where(F.size("__s") > 0)
+    keyed = docs.withColumn("text", valid_text()).withColumn("__h", _key(F.col("text")))
+    of = _spans(docs.select("doc_id", "text"))
+    hit = of.select(F.col("h").alias("__h"), F.concat("base", "more").alias("__s")).where(F.size("__s") > 0)
     one = hit.groupBy("__h").agg(F.max("__s").alias("__s"))
     names = docs.columns
 
