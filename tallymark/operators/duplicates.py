@@ -21,23 +21,33 @@ def exact(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFr
     return h.join(first, "file_hash").where(F.col(key) != F.col("duplicate_of")).select(key, "duplicate_of", "file_hash", F.lit(100.0).alias("score"))
 
 
+def vendor_words(x: str) -> Column:
+    """A vendor's words in order, any blanks between them as one space."""
+    return sorted_tokens(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]", " "))
+
+
+def vendor_ratio(a: Column, b: Column, cutoff: float) -> Column:
+    """Token-sort ratio of two ``vendor_words``; null where it is less than ``cutoff`` for certain.
+
+    The JVM's edit distance, which never exceeds the one behind the ratio, leaves few pairs to Python.
+    """
+    most = F.floor((1 - cutoff / 100) * (F.length(a) + F.length(b)) + 1e-9)
+    worth = (a != b) & (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
+    return F.when(a == b, 100.0).otherwise(strings.udf_token_sort_ratio()(F.when(worth, a), F.when(worth, b)))
+
+
 def time_window(inv: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     """Pairs of similar vendors (token-sort ratio) and one amount, at most ``window_days`` apart; nearest first, ``top_k`` per invoice.
 
-    Blocks are an amount and a stretch of days as long as the window, met with its neighbours.  The JVM's edit distance,
-    which never exceeds the one behind the ratio, leaves few pairs to the exact ratio.
+    Blocks are an amount and a stretch of days as long as the window, met with its neighbours.
     """
     day = F.floor(F.unix_timestamp(F.col("invoice_date").cast("timestamp")) / (86400 * (cfg.window_days + 1)))
-    vendor = sorted_tokens(F.regexp_replace("vendor_name", r"(?U)[\s\x1c-\x1f]", " "))
-    v = inv.where(truthy("vendor_name") & truthy("total_amount") & F.col("invoice_date").isNotNull()).select("invoice_id", vendor.alias("vendor"), "total_amount", "invoice_date", day.alias("stretch"))
+    v = inv.where(truthy("vendor_name") & truthy("total_amount") & F.col("invoice_date").isNotNull()).select("invoice_id", vendor_words("vendor_name").alias("vendor"), "total_amount", "invoice_date", day.alias("stretch"))
     a, b = v.withColumn("stretch", F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)]))), v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
     diff = F.abs(day_difference("invoice_date", "b_invoice_date"))
-    most = F.floor((1 - cfg.vendor_cutoff / 100) * (F.length("vendor") + F.length("b_vendor")) + 1e-9)
     met = _met(a, b, ["total_amount", "stretch"]).where((F.col("invoice_id") != F.col("b_invoice_id")) & (diff <= cfg.window_days))
-    met = met.select("invoice_id", F.col("b_invoice_id").alias("matched_id"), diff.alias("day_diff"), "vendor", "b_vendor", (F.col("vendor") == F.col("b_vendor")).alias("same"), most.alias("most"))
-    like = met.where(~F.col("same") & (F.abs(F.length("vendor") - F.length("b_vendor")) <= F.col("most")) & (F.levenshtein("vendor", "b_vendor") <= F.col("most")))
-    like = like.withColumn("ratio", strings.udf_token_sort_ratio()(F.col("vendor"), F.col("b_vendor"))).where(F.col("ratio") >= cfg.vendor_cutoff)
-    pairs = met.where("same").select("invoice_id", "matched_id", "day_diff").unionByName(like.select("invoice_id", "matched_id", "day_diff"))
+    ratio = vendor_ratio(F.col("vendor"), F.col("b_vendor"), cfg.vendor_cutoff)
+    pairs = met.withColumn("ratio", ratio).where(F.col("ratio") >= cfg.vendor_cutoff).select("invoice_id", F.col("b_invoice_id").alias("matched_id"), diff.alias("day_diff"))
     w = Window.partitionBy("invoice_id").orderBy("day_diff", "matched_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.top_k)
 
@@ -174,7 +184,7 @@ def best_matches(inv: DataFrame, k: int = DUPLICATE.top_k, cfg: DuplicateConfig
     """
     given = lambda c: F.when(truthy(c), F.col(c))
     amount = F.when(F.col("total_amount") > 0, F.col("total_amount"))
-    vendor_key = F.when(truthy("vendor_name"), sorted_tokens(F.regexp_replace("vendor_name", r"(?U)[\s\x1c-\x1f]", " ")))
+    vendor_key = F.when(truthy("vendor_name"), vendor_words("vendor_name"))
     v = inv.select("invoice_id", given("invoice_number").alias("invoice_number"), given("vendor_name").alias("vendor_name"), amount.alias("total_amount"), "invoice_date", vendor_key.alias("vendor_key"), *([F.substring("raw_text", 1, 500).alias("raw_text")] if "raw_text" in inv.columns else []))
     v = hand_over(v, "fuzzy-fields")
     ordered = F.least("invoice_id", "b_invoice_id").alias("x"), F.greatest("invoice_id", "b_invoice_id").alias("y")

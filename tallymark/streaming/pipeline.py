@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tallymark.config import DUPLICATE
-from tallymark.functions.expressions import sorted_tokens, truthy
+from tallymark.config import DUPLICATE, DuplicateConfig
+from tallymark.functions.expressions import day_difference, truthy
 from tallymark.operators.assessment import Assessed, Branch, anomaly_branch, assess
+from tallymark.operators.duplicates import vendor_ratio, vendor_words
 
 
 def read(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -67,21 +68,23 @@ def start(stream: DataFrame, out: str, checkpoint: str, after: Callable[[DataFra
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def window_matches(new: DataFrame, known: DataFrame, days: int = DUPLICATE.window_days, late: str = "1 day") -> DataFrame:
-    """Pairs of a new and a known invoice with one amount and the same vendor words (case counts), dated at most ``days`` apart.
+def window_matches(new: DataFrame, known: DataFrame, cfg: DuplicateConfig = DUPLICATE, late: str = "1 day") -> DataFrame:
+    """Pairs of a new and a known invoice with one amount and similar vendors, dated at most ``window_days`` apart, as ``duplicates.time_window``.
 
-    Both sides (invoice_id, vendor_name, total_amount, invoice_date) may be streams: the watermarks and the interval
-    bound the state.  Similar vendors with other words are left to ``duplicates.time_window``, which runs on tables.
+    Both sides (invoice_id, vendor_name, total_amount, invoice_date) may be streams.  They meet by amount and interval, so
+    the watermarks bound the state to the invoices of a window; vendors are compared behind the join, as on tables.
     """
 
     def side(df: DataFrame, pre: str) -> DataFrame:
-        cols = [F.col("invoice_id").alias(f"{pre}id"), sorted_tokens("vendor_name").alias(f"{pre}vendor"), F.col("total_amount").alias(f"{pre}amount"), F.col("invoice_date").cast("timestamp").alias(f"{pre}at")]
+        cols = [F.col("invoice_id").alias(f"{pre}id"), vendor_words("vendor_name").alias(f"{pre}vendor"), F.col("total_amount").alias(f"{pre}amount"), F.col("invoice_date").cast("timestamp").alias(f"{pre}at")]
         return df.where(truthy("vendor_name") & truthy("total_amount")).select(*cols).withWatermark(f"{pre}at", late)
 
-    reach = F.expr(f"INTERVAL {days} DAYS")
+    reach = F.expr(f"INTERVAL {cfg.window_days + 1} DAYS")
     near = (F.col("b_at") >= F.col("a_at") - reach) & (F.col("b_at") <= F.col("a_at") + reach)
-    pairs = side(new, "a_").join(side(known, "b_"), (F.col("a_vendor") == F.col("b_vendor")) & (F.col("a_amount") == F.col("b_amount")) & near & (F.col("a_id") != F.col("b_id")))
-    return pairs.select(F.col("a_id").alias("invoice_id"), F.col("b_id").alias("matched_id"), F.abs(F.datediff("a_at", "b_at")).alias("day_diff"))
+    met = side(new, "a_").join(side(known, "b_"), (F.col("a_amount") == F.col("b_amount")) & near & (F.col("a_id") != F.col("b_id")))
+    diff = F.abs(day_difference("a_at", "b_at"))
+    pairs = met.where(diff <= cfg.window_days).withColumn("ratio", vendor_ratio(F.col("a_vendor"), F.col("b_vendor"), cfg.vendor_cutoff)).where(F.col("ratio") >= cfg.vendor_cutoff)
+    return pairs.select(F.col("a_id").alias("invoice_id"), F.col("b_id").alias("matched_id"), diff.alias("day_diff"))
 
 
 def daily(events: DataFrame, watermark: str = "1 day") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tallymark.operators import analytics, anomaly, assessment, imaging
+from tallymark.operators import analytics, anomaly, assessment, duplicates, imaging
 from tallymark.sources import ingest
 from tallymark.streaming import pipeline
 
@@ -177,7 +177,7 @@ INVOICE = "invoice_id long, vendor_name string, total_amount double, invoice_dat
 
 def test_window_matches_on_streams_equal_those_on_tables(spark, tmp_path):
     day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
-    known = [(1, "acme corp", 10.0, day(0)), (5, "Acme Corp", 10.0, day(0)), (2, "corp acme", 10.0, day(80)), (3, "Other", 10.0, day(0)), (4, None, 10.0, day(0))]
+    known = [(1, "acme corp", 10.0, day(0)), (5, "Acme Corp", 10.0, day(0)), (2, "corp acme", 10.0, day(80)), (3, "Other", 10.0, day(0)), (4, None, 10.0, day(0)), (6, "acme corpo", 10.0, day(5)), (7, "acme corp", 10.0, day(181))]
     new = [(10, "acme corp", 10.0, day(90)), (11, "Acme Corp", 11.0, day(1)), (12, "Other", None, day(0))]
     for name, rows in (("new", new), ("known", known)):
         spark.createDataFrame(rows, INVOICE).write.parquet(f"{tmp_path}/{name}")
@@ -185,5 +185,7 @@ def test_window_matches_on_streams_equal_those_on_tables(spark, tmp_path):
     streams = [pipeline.read(spark, f"{tmp_path}/{n}", t.schema) for n, t in zip(("new", "known"), tables, strict=True)]
     q = pipeline.window_matches(*streams).writeStream.format("memory").queryName("window_matches").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    want = [(10, 1, 90), (10, 2, 10)]
+    want = [(10, 1, 90), (10, 2, 10), (10, 6, 85)]
+    every = spark.createDataFrame(new + known, INVOICE)
+    assert sorted((r.invoice_id, r.matched_id, r.day_diff) for r in duplicates.time_window(every).collect() if r.invoice_id in (10, 11, 12) and r.matched_id < 10) == want
     assert sorted(map(tuple, spark.table("window_matches").collect())) == sorted(map(tuple, pipeline.window_matches(*tables).collect())) == want
