@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.expressions import day_difference
@@ -308,11 +308,29 @@ def learned(std: DataFrame, allowed: DataFrame | None = None, model: Model | Non
     return rows.withColumn("anomaly_score", mean).withColumn("anomalous", F.col("anomaly_score") > 50)
 
 
+def quartiles(counts: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, q1, q3) of ``counts`` (group, value, n: rows with that value): quartiles by interpolation.
+
+    The window runs over one row a value, so a group of any size is as large as its distinct values.
+    """
+    w = Window.partitionBy(group)
+    run = counts.withColumns({"upto": F.sum("n").over(w.orderBy(value)), "total": F.sum("n").over(w)})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+
+    def quantile(q: float) -> Column:
+        place = q * (F.col("total") - 1)
+        lo = F.floor(place)
+        below, above = at(lo), at(F.least(lo + 1, F.col("total") - 1))
+        return below + (above - below) * F.max(place - lo)
+
+    return run.groupBy(group).agg(F.max("total").alias("n"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+
+
 def fence(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Interquartile fence of each group: quartiles by interpolation, reach 1.5 times the range, the range at least 1."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    reach = 1.5 * F.greatest(F.lit(1.0), F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
-    return q.select(group, "n", (F.get("q", F.lit(0)) - reach).alias("lower"), (F.get("q", F.lit(1)) + reach).alias("upper"))
+    """Interquartile fence of each group: reach 1.5 times the range, the range at least 1; null values don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    reach = 1.5 * F.greatest(F.lit(1.0), F.col("q3") - F.col("q1"))
+    return quartiles(counts, group, value).select(group, "n", (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 64) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.operators.anomaly import quartiles
+
 
 def gray(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """Luminance, rows first, from Spark's channel order (blue, green, red[, alpha])."""
@@ -106,20 +108,8 @@ def font_consistency(chars: DataFrame, least: int = 5) -> DataFrame:
     Usual is within 1.5 quartile ranges (at least 1) of the quartiles; fewer than ``least`` characters tell nothing.
     Heights are counted first, so that the quartiles come from one row a height.
     """
-    from pyspark.sql import Window
-
     by = chars.where("height IS NOT NULL").groupBy("image_id", "height").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("image_id")
-    run = by.withColumns({"upto": F.sum("n").over(w.orderBy("height")), "total": F.sum("n").over(w)})
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("height")))
-
-    def quantile(q: float) -> Column:
-        place = q * (F.col("total") - 1)
-        lo = F.floor(place)
-        below, above = at(lo), at(F.least(lo + 1, F.col("total") - 1))
-        return below + (above - below) * F.max(place - lo)
-
-    edge = run.groupBy("image_id").agg(F.max("total").alias("characters"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    edge = quartiles(by, "image_id", "height").withColumnRenamed("n", "characters")
     reach = 1.5 * F.greatest(F.col("q3") - F.col("q1"), F.lit(1.0))
     edge = edge.withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
     odd = by.join(edge, "image_id").groupBy("image_id").agg(F.sum(F.when((F.col("height") < F.col("lower")) | (F.col("height") > F.col("upper")), F.col("n")).otherwise(0)).alias("outliers"))

@@ -161,15 +161,14 @@ def invoice_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _SCORED
     + """ SELECT invoice_id, plain_rule_score AS rule_score, concat_ws(';', CASE WHEN total_amount > 10000 AND total_amount = floor(total_amount) THEN 'round_number_high_amount' END,
-  CASE WHEN tax_amount > 0 AND total_amount > 0 AND (rate > 0.25 OR rate < 0.03) THEN 'unusual_tax_rate' END,
+  CASE WHEN tax_amount > 0 AND total_amount > 0 AND (rate > 0.25 OR rate < 0.03) THEN 'unusual_tax_rate_' || round((rate * 100)::DECIMAL(24, 10), 2)::VARCHAR || '%' END,
   CASE WHEN isodow(invoice_date) >= 6 THEN 'weekend_invoice_date' END, CASE WHEN total_amount > 100000 THEN 'very_high_amount' END,
   CASE WHEN days > 0 AND days < 15 THEN 'short_payment_terms_' || days || '_days' END,
   CASE WHEN missing > 0 THEN 'missing_fields:' || concat_ws(',', CASE WHEN coalesce(vendor_name, '') = '' THEN 'vendor_name' END, CASE WHEN coalesce(total_amount, 0) = 0 THEN 'total_amount' END) END) AS flags FROM s"""
 )
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = risk.with_rule_score(invoices(spark, sf_dir))
-    plain = F.transform("rule_flags", lambda f: F.regexp_replace(f, r"^(unusual_tax_rate)_.*", "$1"))
-    return r.select("invoice_id", "rule_score", F.array_join(plain, ";").alias("flags"))
+    return r.select("invoice_id", "rule_score", F.array_join("rule_flags", ";").alias("flags"))
 
 
 @query(_SCORED + " SELECT invoice_id, anomaly_score, total_amount > 50000 AS high_value, coalesce(rate > 0.25 OR (rate > 0 AND rate < 0.03), FALSE) AS unusual_tax, coalesce(ocr_confidence, 100) < 70 AS low_confidence FROM s")
@@ -218,21 +217,24 @@ def vendor_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.vendor_statistics(invoices(spark, sf_dir))
 
 
-@query(
+_FEATURES = (
     _INV
-    + """ SELECT invoice_id, coalesce(total_amount, 0)::DOUBLE AS total, coalesce(tax_amount, 0)::DOUBLE AS tax, coalesce(subtotal, 0)::DOUBLE AS subtotal,
+    + """, ft AS (SELECT invoice_id, coalesce(total_amount, 0)::DOUBLE AS total, coalesce(tax_amount, 0)::DOUBLE AS tax, coalesce(subtotal, 0)::DOUBLE AS subtotal,
   CASE WHEN total_amount > 0 THEN coalesce(tax_amount, 0) / total_amount ELSE 0 END AS tax_ratio, total_amount / greatest(1, n_items) AS amount_per_item,
   (isodow(invoice_date) - 1)::DOUBLE AS weekday, day(invoice_date)::DOUBLE AS day, month(invoice_date)::DOUBLE AS month,
-  coalesce(floor((epoch(due_date) - epoch(invoice_date)) / 86400), 30)::DOUBLE AS days_until_due, coalesce(ocr_confidence, 50) AS confidence, 0.0::DOUBLE AS text_length, 1.0::DOUBLE AS vendor_frequency, 0.0::DOUBLE AS vendor_deviation FROM inv"""
+  coalesce(floor((epoch(due_date) - epoch(invoice_date)) / 86400), 30)::DOUBLE AS days_until_due, coalesce(ocr_confidence, 50) AS confidence, 0.0::DOUBLE AS text_length, 1.0::DOUBLE AS vendor_frequency, 0.0::DOUBLE AS vendor_deviation FROM inv)"""
 )
+
+
+@query(_FEATURES + " SELECT * FROM ft")
 def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.features(invoices(spark, sf_dir))
 
 
-@query(_INV + " SELECT invoice_id, round((coalesce(ocr_confidence, 50) - avg(coalesce(ocr_confidence, 50)) OVER ()) / stddev_pop(coalesce(ocr_confidence, 50)) OVER (), 6) AS confidence, round((day(invoice_date) - avg(day(invoice_date)) OVER ()) / stddev_pop(day(invoice_date)) OVER (), 6) AS day FROM inv")
+@query(_FEATURES + " SELECT invoice_id, " + ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) ELSE 0.0::DOUBLE END AS {c}" for c in anomaly.FEATURES) + " FROM ft")
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = anomaly.standardise(anomaly.features(invoices(spark, sf_dir)), ("confidence", "day"))
-    return s.select("invoice_id", F.round("confidence", 6).alias("confidence"), F.round("day", 6).alias("day"))
+    s = anomaly.standardise(anomaly.features(invoices(spark, sf_dir)))
+    return s.select("invoice_id", *[F.round(c, 6).alias(c) for c in anomaly.FEATURES])
 
 
 @query()

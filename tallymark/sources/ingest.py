@@ -31,6 +31,18 @@ def ingest(rows: DataFrame, cfg: IngestConfig = INGEST) -> tuple[DataFrame, Data
     return good, checked.where("error IS NOT NULL").select("path", "error")
 
 
+def ingest_batch(rows: DataFrame, cfg: IngestConfig = INGEST) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` of one call: at most ``max_files`` files, each with a ``tracking_id`` that is the same whenever it comes again.
+
+    A call with more files is refused as a whole, before any is read.
+    """
+    if rows.select("path").limit(cfg.max_files + 1).count() > cfg.max_files:
+        raise ValueError(f"more than {cfg.max_files} files in one batch")
+    track = F.substring(F.sha2("path", 256), 1, 32).alias("tracking_id")
+    good, bad = ingest(rows, cfg)
+    return good.select(track, *good.columns), bad.select(track, *bad.columns)
+
+
 def retrieval_log(df: DataFrame) -> DataFrame:
     """Log rows with their texts cut to the lengths of the log's columns."""
     return df.select(F.substring("query_text", 1, 2000).alias("query_text"), "page_number", F.substring("section_heading", 1, 500).alias("section_heading"), F.substring("context", 1, 2000).alias("context"))

@@ -3,10 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tallymark.config import IngestConfig
 from tallymark.operators import analytics, duplicates
-from tallymark.sources import pages, vector_index
+from tallymark.sources import ingest, pages, vector_index
 from tallymark.streaming import delivery
 
 
@@ -39,6 +41,15 @@ def test_empty_index(spark, tmp_path):
     assert hits(vector_index.search(one, f"{tmp_path}/other")) == [(1, 1, 2, 0.0, 100.0), (2, 1, 1, 0.0, 100.0)]
 
 
+def test_batch_limit_and_tracking(spark):
+    rows = spark.createDataFrame([(f"{k}.pdf", 1, b"x") for k in range(3)] + [("b.exe", 1, b"x")], "path string, length long, content binary")
+    good, bad = ingest.ingest_batch(rows)
+    ids = {r.path: r.tracking_id for r in [*good.collect(), *bad.collect()]}
+    assert len(set(ids.values())) == 4 and all(len(x) == 32 for x in ids.values()) and ids == {r.path: r.tracking_id for part in ingest.ingest_batch(rows.limit(4)) for r in part.collect()}
+    with pytest.raises(ValueError, match="more than 3 files"):
+        ingest.ingest_batch(rows, IngestConfig(max_files=3))
+
+
 def test_pages_of_files(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     for name, content in {"a.txt": b"one\ftwo", "b.html": "<p>PAYMENT TERMS</p>é".encode(), "c.txt": b"\xff\xfe", "d.pdf": b"%PDF", "deep/e.scan": b"abc", "f": b"x", "g.none": b"0"}.items():
