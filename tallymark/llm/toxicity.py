@@ -119,6 +119,8 @@ def subsequences(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray
     room[:] = last - np.arange(len(code))
     first, second = c * (LETTERS * LETTERS), c * LETTERS
     for a, b in _PAIRS:
+        if len(c) <= b:
+            continue
         yield b, np.flatnonzero(room[: len(c) - b] >= b), first[: len(c) - b] + second[a : len(c) - b + a] + c[b:]
 
 
