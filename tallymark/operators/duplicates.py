@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,15 +307,59 @@ def item_matches(items: DataFrame, cfg: DuplicateConfig = DUPLICATE) -> DataFram
     return pairs.join(found, ["a", "b"], "left").select("a", "b", "similarity", F.coalesce("matched_items", F.lit(0)).cast("long").alias("matched_items"), "best_item")
 
 
+#: Vectors of one packed block.
+PACK = 1024
+#: Parts that these blocks are dealt over where all have one length.
+SALTS = 64
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dims, ids, data): blocks of vectors of one length as bytes; vectors with nulls are left out, as they have no distance."""
+    for batch in batches:
+        by: dict[int, list[tuple[int, list[float]]]] = {}
+        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+            if i is not None and v is not None and None not in v:
+                by.setdefault(len(v), []).append((i, v))
+        for dims, rows in by.items():
+            for at in range(0, len(rows), PACK):
+                cut = rows[at : at + PACK]
+                cols = [pa.array([dims], pa.int32()), pa.array([np.array([i for i, _ in cut], np.int64).tobytes()], pa.binary()), pa.array([np.array([v for _, v in cut], float).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["dims", "ids", "data"])
+
+
+def _best_of_blocks(batches: Iterator[pa.RecordBatch], k: int, cutoff: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id): the k nearest of each block to each query of the other, and whatever is as near."""
+    for batch in batches:
+        for dims, ids, data, q_ids, q_data in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "data", "q_ids", "q_data")), strict=True):
+            v, x = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dims)
+            q, y = np.frombuffer(q_ids, np.int64), np.frombuffer(q_data).reshape(-1, dims)
+            out = []
+            for i, one in zip(q.tolist(), y, strict=True):
+                d = np.square(x - one).sum(1)
+                d[v == i] = np.inf
+                near = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+                use = np.flatnonzero((d <= min(near, cutoff) + 1e-5) & np.isfinite(d))
+                out += [(i, j) for j in v[use].tolist()]
+            cols = zip(*out, strict=True) if out else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, cfg: DuplicateConfig = DUPLICATE, cutoff: bool = True) -> DataFrame:
-    """The ``knn_k`` nearest vectors by squared distance for each query (vec_id, embedding).
+    """The ``knn_k`` nearest vectors by squared distance for each query (vec_id, embedding); vectors of other lengths have none.
 
-    ``queries`` is a stated query set; it is met with all vectors block by block.
+    ``queries`` is a stated query set; its blocks meet the blocks of all vectors, and each meeting hands on its nearest only.
     """
-    blocks = max(1, -(-queries.count() // 1024))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    met = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(F.broadcast(q) if blocks == 1 else q, "block")
-    pairs = met.select("vec_id", "embedding", F.explode("qs").alias("x")).select("vec_id", "x.query_id", F.round(squared_distance("embedding", F.col("x.q")), 6).alias("distance")).where("vec_id <> query_id")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    q = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    shape = "dims int, ids binary, data binary"
+    ours = v.mapInArrow(_packed, shape)
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))  # all vectors have one length: their blocks are dealt, and the queries' go to each
+    ours = ours.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
+    theirs = q.mapInArrow(_packed, shape).select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(salts).alias("salt"))
+    met = ours.join(theirs, ["dims", "salt"])
+    far = float(cfg.knn_distance) if cutoff else float("inf")
+    few = met.mapInArrow(lambda it: _best_of_blocks(it, cfg.knn_k, far), "query_id long, vec_id long")
+    pairs = few.join(v, "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("query_id", "vec_id", F.round(squared_distance("embedding", "q"), 6).alias("distance"))
     if cutoff:
         pairs = pairs.where(F.col("distance") < cfg.knn_distance)
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
