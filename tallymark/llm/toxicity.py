@@ -43,6 +43,8 @@ TOP, ROUNDS = 3, 3
 FLOOR, MOST = -2.0, 4.6
 #: Evidence from which a word is doubtful, and words that are added to a text's, as the share in a few proves little.
 DOUBT, FEW = 1.0, 10
+#: Letters that one vectorised step looks at; its temporaries are some 60 bytes a letter.
+PIECE = 1 << 17
 _END = re.compile(r"(?<=[.!?…])(?=[ \t\r])|[\n。！？]+")
 _MARK = "\x1e"
 
@@ -133,15 +135,23 @@ class Model:
     top: np.ndarray | None = None  # weights of a text's features, and a constant
 
     def worst(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(margin of each word, its first place in ``code``)."""
-        total = np.zeros(len(code))
-        for b, at, triple in subsequences(code):
-            total[at] += DECAY ** (b + 1) * self.weight[triple[at]]
+        """(margin of each word, its first place in ``code``); a long text is worked on in pieces of whole words."""
         zero = np.flatnonzero(code == 0)
         if len(zero) < 2:
             return np.empty(0), np.empty(0, np.int64)
-        sums = np.add.reduceat(total, zero[:-1])
-        return sums / scale(np.diff(zero) - 1) + self.bias, zero[:-1]
+        sums, at = [], 0
+        while at < len(zero) - 1:
+            end = max(at + 1, int(np.searchsorted(zero, zero[at] + PIECE, "right")) - 1)
+            sums.append(self._sums(code[zero[at] : zero[end] + 1], zero[at : end + 1] - zero[at]))
+            at = end
+        return np.concatenate(sums) / scale(np.diff(zero) - 1) + self.bias, zero[:-1]
+
+    def _sums(self, code: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        """Weights of each word's subsequences; ``zero``: the words' borders."""
+        total = np.zeros(len(code))
+        for b, at, triple in subsequences(code):
+            total[at] += DECAY ** (b + 1) * self.weight[triple[at]]
+        return np.add.reduceat(total, zero[:-1])
 
     def words(self, vocab: list[str]) -> np.ndarray:
         """Margin of each normalised word."""
