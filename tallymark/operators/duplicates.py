@@ -160,13 +160,16 @@ def _within(a: DataFrame, b: DataFrame, amounts: bool, dates: bool, weight: floa
     return near.where(~fixed | (F.col("cost") + number + vendor <= F.col("slack") + 1e-6)).select("invoice_id", "b_invoice_id")
 
 
-def _at_least() -> Column:
-    """A fuzzy score (without texts) that the pair reaches at least, inside the JVM: its edit distance is an upper bound of
-    the number's, and twice it of what the vendors' ratio counts.
+def _bound(upper: bool) -> Column:
+    """A fuzzy score (without texts) that the pair reaches at most, or at least, inside the JVM.
+
+    Its edit distance is between the number's and twice that, and between half of what the vendors' ratio counts and that.
     """
+    edits = F.levenshtein("invoice_number", "b_invoice_number")
+    words = F.levenshtein("vendor_key", "b_vendor_key")
     both = lambda c: F.col(c).isNotNull() & F.col(f"b_{c}").isNotNull()
-    number = F.when(both("invoice_number"), 100 * (1 - F.levenshtein("invoice_number", "b_invoice_number") / F.greatest(F.length("invoice_number"), F.length("b_invoice_number"))))
-    vendor = F.when(both("vendor_key"), 100 * F.greatest(F.lit(0.0), 1 - 2 * F.levenshtein("vendor_key", "b_vendor_key") / (F.length("vendor_key") + F.length("b_vendor_key"))))
+    number = F.when(both("invoice_number"), 100 * (1 - (F.ceil(edits / 2) if upper else edits) / F.greatest(F.length("invoice_number"), F.length("b_invoice_number"))))
+    vendor = F.when(both("vendor_key"), 100 * F.greatest(F.lit(0.0), 1 - (words if upper else 2 * words) / (F.length("vendor_key") + F.length("b_vendor_key"))))
     amount = F.when(both("total_amount"), amount_similarity("total_amount", "b_total_amount"))
     date = F.when(both("invoice_date"), date_similarity("invoice_date", "b_invoice_date"))
     return weighted_mean([(number, WEIGHTS["number"]), (vendor, WEIGHTS["vendor"]), (amount, WEIGHTS["amount"]), (date, WEIGHTS["date"])])
@@ -180,7 +183,7 @@ def best_matches(inv: DataFrame, k: int = DUPLICATE.top_k, cfg: DuplicateConfig
     2. What is below that score doesn't matter.  A score is a weighted mean, so amount and date alone, which are numbers,
        tell most pairs off: those that cost more than the rest can make good (``_within``).  Missing fields leave less
        weight, so pairs with both fields, with amounts only and with dates only are met separately.
-    3. What is left is bounded by the JVM's edit distance, and then scored.
+    3. What is left is bounded by the JVM's edit distance from both sides, and the few that can be among the best are scored.
     Pairs with neither amount nor date in common are met where vendor words are equal or numbers are one edit apart.
     Ties go to the smaller id.  Texts (raw_text), if there are any, count, and a pair's are allowed to be equal in 2.
     """
@@ -199,10 +202,15 @@ def best_matches(inv: DataFrame, k: int = DUPLICATE.top_k, cfg: DuplicateConfig
     around = _within(v.where(some & dated).withColumn("least", F.lit(100 - 100 * FIRST_SLACK / whole)), v.where(some & dated), True, True, whole, strings_too=False)
     seeds = once(reduce(DataFrame.unionAll, [around, *(_neighbours(v, o, k) for o in orders)]))
     found = _with_fields(seeds, v)
-    scored = (found.withColumn("similarity", _at_least()) if "raw_text" not in v.columns else fuzzy(found, cfg)).select("invoice_id", "b_invoice_id", "similarity").where(F.col("similarity") > cfg.fuzzy_keep)
-    sides = scored.select("invoice_id", "similarity").unionAll(scored.select("b_invoice_id", "similarity"))
+    scored = (found.withColumn("similarity", _bound(upper=False)) if "raw_text" not in v.columns else fuzzy(found, cfg)).select("invoice_id", "b_invoice_id", "similarity").where(F.col("similarity") > cfg.fuzzy_keep)
     w = Window.partitionBy("invoice_id").orderBy(F.desc("similarity"))
-    least = sides.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("invoice_id", (F.col("similarity") - 0.1).alias("least"))
+
+    def kth(found: DataFrame) -> DataFrame:
+        """(invoice_id, least): a little less than each invoice's ``k`` th best of pairs (invoice_id, b_invoice_id, similarity)."""
+        sides = found.select("invoice_id", "similarity").unionAll(found.select("b_invoice_id", "similarity"))
+        return sides.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("invoice_id", (F.col("similarity") - 0.1).alias("least"))
+
+    least = kth(scored)
     a = hand_over(v.join(least, "invoice_id", "left").withColumn("least", F.coalesce("least", F.lit(cfg.fuzzy_keep))), "fuzzy-least")
     found = [_within(a.where(some & dated), v.where(some & dated), True, True, whole)]
     if not v.where(~(some & dated)).isEmpty():
@@ -211,6 +219,12 @@ def best_matches(inv: DataFrame, k: int = DUPLICATE.top_k, cfg: DuplicateConfig
         apart = lambda c: F.col(c).isNull() | F.col(f"b_{c}").isNull()
         found.append(candidates(v).where(apart("total_amount") & apart("invoice_date")).select("invoice_id", "b_invoice_id"))
     pairs = once(reduce(DataFrame.unionAll, found))
+    if "raw_text" not in v.columns:  # among all that is left, the k th best is better known, and tells more off
+        held = hand_over(_with_fields(pairs, v).select("invoice_id", "b_invoice_id", _bound(upper=False).alias("similarity"), _bound(upper=True).alias("most")), "fuzzy-bounds")
+        of = kth(held)
+        near = held.join(of, "invoice_id", "left").join(of.select(F.col("invoice_id").alias("b_invoice_id"), F.col("least").alias("b_least")), "b_invoice_id", "left")
+        reach = lambda c: F.col("most") >= F.coalesce(c, F.lit(cfg.fuzzy_keep - 0.1))
+        pairs = near.where(reach("least") | reach("b_least")).select("invoice_id", "b_invoice_id")
     return pair_rows(fuzzy(_with_fields(pairs, v), cfg), k)
 
 
