@@ -259,7 +259,7 @@ def semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: in
     words are one class (key: least), so copies do not multiply; ``semantic_members`` gives the class of every text.
     """
     bags = docs.select(key, _bag(text, chars).alias("w")).groupBy("w").agg(F.min(key).alias("id"))
-    counts = bags.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    counts = hand_over(bags.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n")), "words")  # read five times
     total = counts.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
     df = counts.groupBy("t").agg(F.count("*").alias("df"))
     held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("bag"), F.sum(F.col("n") * F.col("n")).alias("sq"))
