@@ -7,12 +7,17 @@
    further apart than DISTANCE.
 3. First round: in each key's bucket, everyone is paired with the bucket's least member only; pairs are confirmed on the
    full sets, and links joined to components.
-4. Second round: buckets that still hold several components.  Members outside the largest component meet all others, in
+4. Crowded buckets, of more than BLOCK classes, are split.  Those that share many members take one of these as their
+   centre, and every member meets it on the full sets.  Two sets whose differences from the centre are disjoint differ by
+   both of these together; if that allows a link, either is linked to the centre.  So all other links share a shingle of
+   the differences, and each member has a row in the buckets of its first differences, as many as a link must meet.
+   Differences that many members have come last.
+5. Second round: buckets that still hold several components.  Members outside the largest component meet all others, in
    blocks that are bounded in rows and in shingles.  A first pass without texts leaves the members that have a partner of
-   another component whose size allows a link; the second compares the full sets.  A pair is looked at only in the first
-   of the buckets that it shares.
+   another component whose size and differences allow a link; the second compares the full sets.  A pair is looked at
+   only in the first of the buckets of signature keys that it shares.
 So no bucket is emitted as pairs, none is cut off, and every pair that shares a key is confirmed on full sets, or its
-members are already linked, or their sizes rule a link out.
+members are already linked, or their sizes or differences rule a link out.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ WIDTH = SYMBOLS // CHUNKS
 DISTANCE = 15
 #: Rows on either side of one comparison in the second round, and shingles (8 bytes each), on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Last bits of a key that names no chunk and symbol, but a shingle by which members differ from their centre.
+DIFFERENCE = 63
+#: A difference comes last if one in so many of the centre's members has it, so fewer than so many times their mean number do.
+FREQUENT = 8
 #: Bits of a row's incidence with the block's shingles that are counted at once.
 BITS = 1 << 19
 
@@ -130,6 +139,64 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([a_ids[k] for k in keep], pa.int64()), pa.array([b_ids[k] for k in keep], pa.int64())], names=["a", "b"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """For a centre a and each member b: whether they are linked, how many of b's differences a link shares at least, and the differences' keys.
+
+    A link of b differs from it in (100 - percent) * n / percent shingles at most, and is no more than that nearer to the
+    centre.  Where b is linked to the centre, only those that are not are looked for, which are further from it.
+    """
+    last_id, last = None, None
+    for batch in batches:
+        a_ids, b_ids = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        for at in range(0, batch.num_rows, 64):
+            cut = batch.slice(at, 64)
+            linked, least, keys = [], [], []
+            b_sets = [s for _, d, o in text_chunks([cut], "text_b") for s in shingle_sets(d, o, size)]
+            for k, t in enumerate(b_sets):
+                if a_ids[at + k] != last_id:
+                    ((_, d, o),) = text_chunks([cut.slice(k, 1)], "text_a")
+                    last_id, last = a_ids[at + k], shingle_sets(d, o, size)[0]
+                differ = np.setxor1d(t, last, assume_unique=True)
+                n, m, apart = len(t), len(last), len(differ)
+                near = n + m > apart and 100 * (n + m - apart) >= percent * (n + m + apart)
+                linked.append(near)
+                least.append(max(1, apart - (100 - percent) * n // percent, ((100 + percent) * apart + (100 - percent) * (m - n)) // (2 * (100 + percent)) + 1 if near else 1))
+                centre = mix64(np.array([last_id], np.uint64) + _C[0])
+                keys.append((mix64(differ ^ centre) | np.uint64(DIFFERENCE)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a_ids[at : at + 64], pa.int64()), pa.array(b_ids[at : at + 64], pa.int64()), pa.array(linked, pa.bool_()), pa.array(least, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["a", "b", "linked", "least", "keys"],
+            )
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, key, times) of the differences that many of the centre's members in a batch have; any order of them is right, so the rest need no count."""
+    for batch in batches:
+        a, keys = batch.column("a").to_numpy(), batch.column("keys")
+        for centre in np.unique(a):
+            mine = np.flatnonzero(a == centre)
+            found, times = np.unique(keys.take(pa.array(mine)).flatten().to_numpy(), return_counts=True)
+            many = (times > 1) & (times * FREQUENT >= len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), centre)), pa.array(found[many]), pa.array(times[many])], names=["a", "key", "times"])
+
+
+def _first_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, apart, rest) for the first differences of each member: how many it has, and how many follow this one."""
+    for batch in batches:
+        frequent, order = None, {}
+        out = []
+        for b, least, keys, now in zip(batch.column("b").to_pylist(), batch.column("least").to_pylist(), batch.column("keys"), batch.column("frequent"), strict=True):
+            if now != frequent:
+                frequent = now
+                order = {x["key"]: x["times"] for x in now.as_py() or ()}
+            keys = keys.values.to_numpy()
+            times = np.array([order.get(x, 0) for x in keys.tolist()], np.int64)
+            keys = keys[np.lexsort((keys, times))][: len(keys) - least + 1]
+            out.append((keys, np.full(len(keys), b), np.full(len(keys), len(times)), len(times) - 1 - np.arange(len(keys))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["key", "id", "apart", "rest"])
+
+
 def _shared_first(a: np.ndarray, b: np.ndarray, slot: int) -> np.ndarray:
     """Whether ``slot`` is the first key that each of ``a`` shares with each of ``b``."""
     differ = (a[:, None] != b[None]).reshape(len(a), len(b), CHUNKS, WIDTH)
@@ -146,17 +213,26 @@ class _Block:
     def __init__(self, table: pa.Table):
         self.asked = np.asarray(table.column("asked").to_numpy(zero_copy_only=False), bool)
         self.ids, self.comp, self.n = table.column("id").to_numpy(), table.column("comp").to_numpy(), table.column("n").to_numpy()
-        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         self.slot = int(np.uint64(table.column("key")[0].as_py() & 63))
+        if self.slot == DIFFERENCE:
+            self.apart, self.rest = table.column("apart").to_numpy(), table.column("rest").to_numpy()
+        else:
+            self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         self.q, self.r = np.flatnonzero(self.asked), np.flatnonzero(~self.asked)
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of pairs of different components whose sizes allow a link, a few askers at a time."""
+        """Places of pairs of different components whose sizes and differences allow a link, a few askers at a time."""
         for at in range(0, len(self.q), 32):
             mine = self.q[at : at + 32]
             n, m = self.n[mine][:, None], self.n[self.r][None]
             may = (self.comp[mine][:, None] != self.comp[self.r][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            i, j = np.nonzero(may & _shared_first(self.sig[mine], self.sig[self.r], self.slot))
+            if self.slot != DIFFERENCE:
+                may &= _shared_first(self.sig[mine], self.sig[self.r], self.slot)
+            else:  # this is the first difference that they share, or they meet under that one; the shared ones are among the rest
+                shared = 1 + np.minimum(self.rest[mine][:, None], self.rest[self.r][None])
+                apart = self.apart[mine][:, None] + self.apart[self.r][None] - 2 * shared
+                may &= (100 + percent) * apart <= (100 - percent) * (n + m)
+            i, j = np.nonzero(may)
             yield mine[i], self.r[j]
 
 
@@ -215,10 +291,32 @@ def _settle(table: pa.Table, size: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return full.select("a", "b", "text_a", "text_b")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets."""
-    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
+    return _with_texts(pairs, texts).mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
+
+
+def _split(crowded: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the members of crowded buckets (key, id) with a centre, and the buckets of their differences (key, id, apart, rest)."""
+    weights = crowded.groupBy("id").agg(F.count("*").alias("weight"))
+    centres = materialize(crowded.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"), F.count("*").alias("n")), "centres")
+    pairs = join_counted(crowded, centres, ["key"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    met = materialize(_with_texts(pairs, texts).mapInArrow(lambda it: _differences(it, size, percent), "a long, b long, linked boolean, least long, keys array<long>"), "differences")
+    members = met.groupBy("a").agg(F.count("*").alias("n"))
+    times = met.mapInArrow(_frequent, "a long, key long, times long").groupBy("a", "key").agg(F.sum("times").alias("times"))
+    frequent = times.join(members, "a").where(F.col("times") * FREQUENT >= F.col("n")).groupBy("a").agg(F.collect_list(F.struct("key", "times")).alias("frequent"))
+    known = materialize(members.join(frequent, "a", "left"), "frequent")
+    rows = materialize(join_counted(met, known, ["a"]).select("b", "least", "keys", "frequent").mapInArrow(_first_differences, "key long, id long, apart long, rest long"), "firsts")
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    found = materialize(met.where("linked").select("a", "b"), "links")
+    buckets = materialize(join_counted(rows, shared, ["key"]).drop("n"), "split")
+    discard(centres, met, known, rows, shared)
+    return found, buckets
 
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -233,17 +331,23 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = materialize(own.withColumn("id", F.monotonically_increasing_id()), "classes")
     keyed = materialize(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
     hubs = materialize(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    members = materialize(join_counted(keyed, hubs, ["key"]).select("key", "id", "hub"), "members")
+    members = materialize(join_counted(keyed, hubs, ["key"]).select("key", "id", "hub", "n"), "members")
     discard(keyed, hubs)
     wanted = members.select("id").distinct().join(classes.select("id", "one.*"), "id")
     texts = materialize(base.join(wanted, ["doc_id", "h"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    is_crowded = F.col("n") > BLOCK
+    first = members.where(~is_crowded & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links1 = materialize(_links(first, texts, size, percent), "links")
+    buckets = members.where(~is_crowded).select("key", "id", F.lit(0).cast("long").alias("apart"), F.lit(0).cast("long").alias("rest"))
+    if not members.where(is_crowded).isEmpty():
+        found, differing = _split(members.where(is_crowded).select("key", "id"), texts, size, percent)
+        links1, buckets = links1.unionAll(found), buckets.unionAll(differing)
     comp = materialize(components(links1.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     facts = classes.select("id", "sig", F.col("n_shingles").alias("n")).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    placed = materialize(members.select("key", "id").join(facts, "id"), "placed")
+    has_sig = F.col("key").bitwiseAND(63) != DIFFERENCE
+    placed = materialize(buckets.join(facts, "id").withColumn("sig", F.when(has_sig, F.col("sig"))), "placed")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n").alias("weight")).where("lo <> hi").select("key", "n", "weight")
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     largest = by_comp.groupBy("key").agg(F.max(F.struct("rows", "comp", "weight")).alias("big")).select("key", "big")
@@ -251,11 +355,11 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     plan = open_keys.join(largest, "key").select("key", "n", F.col("big.comp").alias("big"), blocks(F.col("n"), F.col("weight")).alias("nr"), blocks(F.col("n") - F.col("big.rows"), F.col("weight") - F.col("big.weight")).alias("nq"))
     spread = join_counted(placed.withColumnRenamed("n", "size"), materialize(plan, "open"), ["key"]).drop("n").withColumnRenamed("size", "n")
     slot = F.abs(F.xxhash64("id") % F.lit(1 << 40))
-    of = lambda q, r, asked: ("key", r.cast("int").alias("r"), q.cast("int").alias("q"), "id", "comp", "n", "sig", F.lit(asked).alias("asked"))
+    of = lambda q, r, asked: ("key", r.cast("int").alias("r"), q.cast("int").alias("q"), "id", "comp", "n", "sig", "apart", "rest", F.lit(asked).alias("asked"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = spread.withColumn("_q", each("nq")).select(*of(F.col("_q"), slot % F.col("nr"), False))
     asked = spread.where("comp <> big").withColumn("_r", each("nr")).select(*of(slot % F.col("nq"), F.col("_r"), True))
-    involved = rows.unionByName(asked).groupBy("key", "r", "q").applyInArrow(lambda t: _involved(t, percent), "key long, r int, q int, id long, comp long, n long, sig binary, asked boolean")
+    involved = rows.unionByName(asked).groupBy("key", "r", "q").applyInArrow(lambda t: _involved(t, percent), "key long, r int, q int, id long, comp long, n long, sig binary, apart long, rest long, asked boolean")
     involved = materialize(involved, "involved")
     links2 = materialize(involved.join(texts, "id").groupBy("key", "r", "q").applyInArrow(lambda t: _settle(t, size, percent), "a long, b long"), "links")
     discard(members, texts, comp, placed, involved)
