@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code, valid_text
+from .common import kept, lean, ship_code, valid_text
 
 #: Distinct words, and pieces of words, whose ids a worker remembers; beyond it, it starts anew.
 CACHE_WORDS = 600_000
@@ -220,14 +220,11 @@ class Codec:
         return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist() if i in names])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(spec: str) -> Codec:
     key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    if key not in kept:
+        kept[key] = Codec(spec)
+    return kept[key]
 
 
 def spec_of(path: str) -> str:
@@ -258,7 +255,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)], names=["doc_id", "ids"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _columns(docs).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -272,7 +269,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             texts = [c.decode(np.array([i for i in x or [] if i is not None and i >= 0], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -292,7 +289,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _columns(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _columns(docs).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def crc32(ids: bytes) -> int:

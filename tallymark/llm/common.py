@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,37 @@ def ship_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+#: What a Python worker keeps from task to task; it goes when the worker turns to another module's tasks.
+kept: dict[str, object] = {}
+_tasks_of: str | None = None
+
+
+def give_back() -> None:
+    """Return free memory, that of Arrow's pool and of the C library, to the system: workers live on, idle, beside all later stages."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function of ``mapInArrow``, as a task that leaves no free memory in its worker, and drops what other modules keep there."""
+    module = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _turn_to(module)
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def _turn_to(module: str) -> None:
+    global _tasks_of
+    if module != _tasks_of:
+        _tasks_of = module
+        kept.clear()
+    give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

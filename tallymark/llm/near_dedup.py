@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
+from .common import discard, join_counted, lean, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
 from .common import _LOWER
 from .components import components
 
@@ -298,7 +298,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets."""
-    return _with_texts(pairs, texts).mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
+    return _with_texts(pairs, texts).mapInArrow(lean(lambda it: _confirm(it, size, percent)), "a long, b long")
 
 
 def _split(crowded: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -306,12 +306,12 @@ def _split(crowded: DataFrame, texts: DataFrame, size: int, percent: int) -> tup
     weights = crowded.groupBy("id").agg(F.count("*").alias("weight"))
     centres = materialize(crowded.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"), F.count("*").alias("n")), "centres")
     pairs = join_counted(crowded, centres, ["key"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    met = materialize(_with_texts(pairs, texts).mapInArrow(lambda it: _differences(it, size, percent), "a long, b long, linked boolean, least long, keys array<long>"), "differences")
+    met = materialize(_with_texts(pairs, texts).mapInArrow(lean(lambda it: _differences(it, size, percent)), "a long, b long, linked boolean, least long, keys array<long>"), "differences")
     members = met.groupBy("a").agg(F.count("*").alias("n"))
-    times = met.mapInArrow(_frequent, "a long, key long, times long").groupBy("a", "key").agg(F.sum("times").alias("times"))
+    times = met.mapInArrow(lean(_frequent), "a long, key long, times long").groupBy("a", "key").agg(F.sum("times").alias("times"))
     frequent = times.join(members, "a").where(F.col("times") * FREQUENT >= F.col("n")).groupBy("a").agg(F.collect_list(F.struct("key", "times")).alias("frequent"))
     known = materialize(members.join(frequent, "a", "left"), "frequent")
-    rows = materialize(join_counted(met, known, ["a"]).select("b", "least", "keys", "frequent").mapInArrow(_first_differences, "key long, id long, apart long, rest long"), "firsts")
+    rows = materialize(join_counted(met, known, ["a"]).select("b", "least", "keys", "frequent").mapInArrow(lean(_first_differences), "key long, id long, apart long, rest long"), "firsts")
     shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     found = materialize(met.where("linked").select("a", "b"), "links")
     buckets = materialize(join_counted(rows, shared, ["key"]).drop("n"), "split")
@@ -325,11 +325,11 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ship_code(spark)
     text = valid_text()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    sketches = materialize(base.mapInArrow(lambda it: _sketch(it, size), "doc_id long, h long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
+    sketches = materialize(base.mapInArrow(lean(lambda it: _sketch(it, size)), "doc_id long, h long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
     linked = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     own = linked.groupBy("n_shingles", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("one"), F.min("sig").alias("sig"))
     classes = materialize(own.withColumn("id", F.monotonically_increasing_id()), "classes")
-    keyed = materialize(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "keys")
+    keyed = materialize(classes.select("id", "sig").mapInArrow(lean(_keys), "key long, id long"), "keys")
     hubs = materialize(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     members = materialize(join_counted(keyed, hubs, ["key"]).select("key", "id", "hub", "n"), "members")
     discard(keyed, hubs)

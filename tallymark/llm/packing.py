@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialize, ship_code
+from .common import lean, materialize, ship_code
 
 CAPACITY = 4096
 #: Id that ends every document.
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
 
         return run
 
-    bins = materialize(bpe._columns(docs).mapInArrow(first, BIN_SCHEMA), "bins")
+    bins = materialize(bpe._columns(docs).mapInArrow(lean(first), BIN_SCHEMA), "bins")
     parts = (bins.agg(F.max("part")).first()[0] or 0) + 1
     if parts > FAN_IN**ROUNDS:
         raise ValueError("more tasks than the rounds can join")

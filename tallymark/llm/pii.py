@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, BLANKS, flat, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
+from .common import BLANKS, _LOWER, flat, lean, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances that a pattern needs, and the confidence from which it counts.
@@ -257,7 +257,7 @@ def _count(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.R
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(p, total) of the patterns over the whole corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(patterns))
-    counted = docs.select("text").mapInArrow(lambda it: _count(it, shared.value), "p long, n long").groupBy("p").agg(F.sum("n").alias("total"))
+    counted = docs.select("text").mapInArrow(lean(lambda it: _count(it, shared.value)), "p long, n long").groupBy("p").agg(F.sum("n").alias("total"))
     return materialize(counted.join(patterns, "p", "left_semi"), "totals")
 
 
@@ -326,7 +326,7 @@ def _enclosed(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[p
 def _words_between(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(h, words): by the hash of a text, the spans without digits that trusted patterns enclose from both sides."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(patterns.select("p")))
-    places = docs.select("h", "text").mapInArrow(lambda it: _enclosed(it, shared.value), "h binary, start int, stop int, p long").distinct()
+    places = docs.select("h", "text").mapInArrow(lean(lambda it: _enclosed(it, shared.value)), "h binary, start int, stop int, p long").distinct()
     side = lambda k: F.coalesce(_or(F.when(F.pmod(F.col("p"), F.lit(2)) == k, F.col("conf"))), F.lit(0.0))
     both = places.join(patterns, "p").groupBy("h", "start", "stop", "kind").agg(side(0).alias("l"), side(1).alias("r"))
     sure = both.where((F.col("l") >= MIN_CONFIDENCE) & (F.col("r") >= MIN_CONFIDENCE) & (1 - (1 - F.col("l")) * (1 - F.col("r")) >= ACCEPT_WORD))
@@ -356,7 +356,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     ship_code(docs.sparkSession)
     text = valid_text()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _key(text).alias("h"))
-    found = materialize(base.mapInArrow(_find, _FOUND), "mentions")
+    found = materialize(base.mapInArrow(lean(_find), _FOUND), "mentions")
     trusted, patterns = discover(found, base)
     seeds = F.transform(F.filter("mentions", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     none = F.array().cast("array<struct<kind:tinyint,start:int,stop:int>>")
@@ -390,7 +390,7 @@ def mask(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
     schema = docs.schema
-    return keyed.join(one, "__h", "left").select(*names, "__s").mapInArrow(run, schema)
+    return keyed.join(one, "__h", "left").select(*names, "__s").mapInArrow(lean(run), schema)
 
 
 def _masked(text: str | None, found: list[dict] | None) -> str | None:

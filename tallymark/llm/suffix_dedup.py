@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, discard, join_counted, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text
+from .common import CHUNK_BYTES, discard, join_counted, lean, materialize, mix64, prefix_hash, ship_code, span_hash, text_chunks, valid_text
 
 LENGTH = 200
 GRAM = 48
@@ -84,7 +84,7 @@ def packed(rows: DataFrame, *columns: str) -> DataFrame:
                 z = [press(t.encode("utf-8", "surrogatepass")) for t in cut.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in columns), pa.array(z, pa.binary())], names=[*columns, "z"])
 
-    return rows.select(*columns, "text").mapInArrow(run, f"{schema}, z binary")
+    return rows.select(*columns, "text").mapInArrow(lean(run), f"{schema}, z binary")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     spark = docs.sparkSession
     ship_code(spark)
     base = docs.select("dk", "h", "text")
-    found = materialize(base.mapInArrow(lambda it: _find_runs(it, length, gram), _RUNS), "runs")
+    found = materialize(base.mapInArrow(lean(lambda it: _find_runs(it, length, gram)), _RUNS), "runs")
     digit1 = materialize(found.groupBy("kh").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("kh", "n", (F.col("lo") != F.col("hi")).alias("contested")), "digits")
     live = materialize(join_counted(found, digit1, ["kh"]).drop("n"), "runs")
     discard(found, digit1)
@@ -201,9 +201,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     ends = digit2.select("one.*", "kh", (F.col("n") == 1).alias("single")).groupBy("dk", "h").agg(F.collect_list(F.struct("pos", "kh", "single")).alias("ends"))
     texts = packed(base, "dk", "h").join(ends, ["dk", "h"]).select("dk", "h", "z", "ends")
-    parts = materialize(texts.mapInArrow(lambda it: _stretches(it, length), "dk long, h long, kh long, single boolean, text binary, digit long, lo long, dist long"), "stretches")
+    parts = materialize(texts.mapInArrow(lean(lambda it: _stretches(it, length)), "dk long, h long, kh long, single boolean, text binary, digit long, lo long, dist long"), "stretches")
     digit3 = materialize(parts.groupBy("kh", "digit").agg(F.count("*").alias("n")).where("n > 1"), "digits")
-    suffixes = materialize(join_counted(parts, digit3, ["kh", "digit"]).select("dk", "h", "kh", "single", "text", "lo", "dist").mapInArrow(lambda it: _suffixes(it, length), "kh long, w long, dk long, h long, start long, single boolean"), "suffixes")
+    suffixes = materialize(join_counted(parts, digit3, ["kh", "digit"]).select("dk", "h", "kh", "single", "text", "lo", "dist").mapInArrow(lean(lambda it: _suffixes(it, length)), "kh long, w long, dk long, h long, start long, single boolean"), "suffixes")
     discard(parts, digit3)
     digit4 = suffixes.groupBy("kh", "w").agg(F.count("*").alias("n")).where("n > 1").select("kh", "w")
     alone = suffixes.where("single").join(digit4, ["kh", "w"]).select("dk", "h", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
@@ -238,7 +238,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """
     rows = keyed(docs)
     found = repeated(rows, length, gram)
-    return packed(rows, "doc_id", "dk", "h").join(found, ["dk", "h"], "left").select("doc_id", "z", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    return packed(rows, "doc_id", "dk", "h").join(found, ["dk", "h"], "left").select("doc_id", "z", "ranges").mapInArrow(lean(_cut), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -267,4 +267,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize, mix64, ship_code, text_chunks, valid_text
+from .common import discard, fold, lean, materialize, mix64, ship_code, text_chunks, valid_text
 
 SPAN, DECAY = 6, 0.7
 LETTERS = 27  # 0: a word's border
@@ -265,7 +265,7 @@ def _word_machine(vocab: DataFrame, ratio: float) -> Model | None:
     shared = vocab.sparkSession.sparkContext.broadcast((marks, whiten.astype(np.float32)))
     ridge, w = np.append(np.ones(d - 1), 1e-3), None
     for _ in range(STEPS):
-        rows = vocab.mapInArrow(lambda it, w=w: _step(it, *shared.value, w, ratio), "sums binary").toArrow().column("sums").to_pylist()
+        rows = vocab.mapInArrow(lean(lambda it, w=w: _step(it, *shared.value, w, ratio)), "sums binary").toArrow().column("sums").to_pylist()
         total = np.sum([np.frombuffer(x) for x in rows], axis=0)
         now = np.zeros(d) if w is None else w
         step = np.linalg.solve(total[d:].reshape(d, d) + np.diag(ridge), total[:d] + ridge * now)
@@ -340,7 +340,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = pick(1, MOST_TOXIC).unionAll(pick(0, MOST_CLEAN))  # bounded by the two parameters, so it may be broadcast
     parts = 2 * spark.sparkContext.defaultParallelism
     got = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").repartition(parts)
-    got = materialize(got.mapInArrow(_profile, "label int, text string, words array<string>, keys array<long>").withColumn("id", F.monotonically_increasing_id()), "sample")
+    got = materialize(got.mapInArrow(lean(_profile), "label int, text string, words array<string>, keys array<long>").withColumn("id", F.monotonically_increasing_id()), "sample")
     keys = got.select("id", F.posexplode("keys").alias("k", "key"))
     sizes = keys.groupBy("k", "key").agg(F.count("*").alias("size"))
     share = keys.join(sizes, ["k", "key"]).groupBy("id").agg((1 / F.max("size")).alias("share"))
@@ -357,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if model is None:
         return Model(np.zeros(LETTERS**3), -1.0, 1.0, float(np.log((mass[1] + 1) / (mass[0] + 1))) + 1.0)
     for _ in range(ROUNDS):
-        seen = sample.select("label", "share", "text").mapInArrow(lambda it, m=model: _worst(it, m), "label int, share double, x array<double>").toArrow()
+        seen = sample.select("label", "share", "text").mapInArrow(lean(lambda it, m=model: _worst(it, m)), "label int, share double, x array<double>").toArrow()
         y, cost = seen.column("label").to_numpy().astype(float), seen.column("share").to_numpy()
         model.top = _logistic(np.array(seen.column("x").combine_chunks().flatten()).reshape(len(y), TOP + 1), y, cost)
     discard(got, sample, vocab)
@@ -385,7 +385,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds
             s = m.texts(texts) if m else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    out = base.mapInArrow(scored, "doc_id long, score double")
+    out = base.mapInArrow(lean(scored), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -406,4 +406,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fol
             ok = m.texts([t or "" for t in cut.column("text").to_pylist()]) < threshold if m else np.ones(cut.num_rows, bool)
             yield cut.filter(pa.array(ok))
 
-    return docs.withColumn("text", valid_text()).mapInArrow(clean, docs.schema)
+    return docs.withColumn("text", valid_text()).mapInArrow(lean(clean), docs.schema)
