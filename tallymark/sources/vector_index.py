@@ -2,11 +2,15 @@
 
 PIVOTS vectors of the first batch are fixed.  Every stored vector keeps its distances to them and lies in the cell of the
 nearest.  A query can have a neighbour within r only where its own distance to each pivot differs by r at most (triangle
-inequality): whole cells are told off by their ranges of distances, then single rows, before a vector is looked at.
+inequality): whole cells are told off by their ranges of distances; what is left of the vectors and of the queries meets in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ PIVOTS = 16
 ROUNDING = 1e-6
 #: Rows of a cell that meet a query in one task; larger cells are dealt over salts.
 SALT_ROWS = 20_000
+#: Vectors of one packed block.
+PACK = 1024
+_PACKED = pa.schema([("cell", pa.int32()), ("dims", pa.int32()), ("salts", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -53,6 +60,49 @@ def _pivots(spark: SparkSession, path: str) -> list[list[float]]:
     return [list(r.embedding) for r in spark.read.schema("embedding array<double>").parquet(f"{path}/pivots").collect()]  # PIVOTS rows
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, dims, salts, ids, data): blocks of rows (cell, id, v, salts) of one cell and length, as bytes."""
+    for batch in batches:
+        by: dict[tuple[int, int, int], list[int]] = {}
+        lists, ids = batch.column("v"), batch.column("id").to_numpy()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, (cell, salts) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("salts").to_pylist(), strict=True)):
+            by.setdefault((cell, int(ends[i + 1] - ends[i]), salts), []).append(i)
+        for (cell, dims, salts), rows in by.items():
+            for at in range(0, len(rows), PACK):
+                cut = rows[at : at + PACK]
+                data = np.stack([flat[ends[i] : ends[i + 1]] for i in cut])
+                yield pa.RecordBatch.from_pylist([{"cell": cell, "dims": dims, "salts": salts, "ids": ids[cut].tobytes(), "data": data.tobytes()}], schema=_PACKED)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int, cutoff: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, distance): of each block, the ``k`` nearest to each query of the other that lie within the cutoff, and whatever is as near.
+
+    Distances of these are summed in the order of the dimensions, as the JVM does, so that rounding shows nowhere.
+    """
+    for batch in batches:
+        for dims, ids, data, q_ids, q_data in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "data", "q_ids", "q_data")), strict=True):
+            v, x = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dims)
+            q, y = np.frombuffer(q_ids, np.int64), np.frombuffer(q_data).reshape(-1, dims)
+            apart, mine, other = np.empty_like(x), [], []
+            for i, one in enumerate(y):
+                np.subtract(x, one, out=apart)
+                d = np.einsum("ij,ij->i", apart, apart)
+                d[v == q[i]] = np.inf
+                use = np.flatnonzero(d <= cutoff * (1 + 1e-9) + 1e-5)
+                if len(use) > k:
+                    near = np.partition(d[use], k - 1)[k - 1]
+                    use = use[d[use] <= near * (1 + 1e-9) + 1e-5]
+                other.append(use)
+                mine.append(np.full(len(use), i))
+            a, b = np.concatenate(mine), np.concatenate(other)
+            exact = np.zeros(len(a))
+            for j in range(dims):
+                step = x[b, j] - y[a, j]
+                exact += step * step
+            yield pa.RecordBatch.from_arrays([pa.array(q[a]), pa.array(v[b]), pa.array(exact)], names=["query_id", "vec_id", "distance"])
+
+
 def search(queries: DataFrame, path: str, cfg: DuplicateConfig = DUPLICATE) -> DataFrame:
     """The ``knn_k`` nearest stored vectors within ``knn_distance`` (squared) of each query: query_id, rank, vec_id, distance, similarity.
 
@@ -70,10 +120,13 @@ def search(queries: DataFrame, path: str, cfg: DuplicateConfig = DUPLICATE) -> D
     alike = F.col("dq").isNull() == (F.col("cell") == 0)
     asked = q.crossJoin(cells).where(alike & F.coalesce(open_, F.lit(True)))
     salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("query_id", "q", "dq", "cell", "salt")
-    dealt = rows.join(F.broadcast(ranges.select("cell", salts.alias("salts"))), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
-    met = dealt.join(asked, ["cell", "salt"]).where(F.col("vec_id") != F.col("query_id"))
-    near = F.coalesce(F.forall(each, lambda i: F.abs(F.get("d", i) - F.get("dq", i)) <= reach), F.size("embedding") == F.size("q"))
-    found = met.where(near).select("query_id", "vec_id", F.round(squared_distance("embedding", "q"), 6).alias("distance")).where(F.col("distance") < cfg.knn_distance)
+    asked = asked.select("cell", F.col("query_id").alias("id"), F.col("q").alias("v"), salts.alias("salts"))
+    stored = rows.join(F.broadcast(ranges.select("cell", salts.alias("salts"))), "cell").select("cell", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "salts")
+    shape = "cell int, dims int, salts int, ids binary, data binary"
+    ours = stored.mapInArrow(_packed, shape).withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int")).drop("salts")
+    theirs = asked.repartition("cell").mapInArrow(_packed, shape).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("cell", "dims", "salt", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    far = float(cfg.knn_distance)
+    near = ours.join(theirs, ["cell", "dims", "salt"]).mapInArrow(lambda it: _nearest(it, cfg.knn_k, far), "query_id long, vec_id long, distance double")
+    found = near.select("query_id", "vec_id", F.round("distance", 6).alias("distance")).where(F.col("distance") < cfg.knn_distance)
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.knn_k).select("query_id", "rank", "vec_id", "distance", F.round(F.greatest(F.lit(0.0), (1 - F.col("distance")) * 100), 4).alias("similarity"))
